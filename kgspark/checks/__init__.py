@@ -1,6 +1,6 @@
 """Queries over the test tables, with their DuckDB twins."""
 
-_MODULES = ["retrieval_queries"]
+_MODULES = ["retrieval_queries", "graph_queries", "review_queries", "text_queries", "ingest_queries"]
 
 
 def load():

@@ -143,14 +143,16 @@ def twin(body: str, recursive: bool = False, **extra: str) -> str:
     known = {**CTES, **extra}
     names = re.compile(r"\b(" + "|".join(sorted(known, key=len, reverse=True)) + r")\b")
     order: list[str] = []
+    open_: set[str] = set()
 
-    def visit(sql: str, own: str | None = None) -> None:
+    def visit(sql: str) -> None:
         for name in names.findall(sql):
-            if name == own or name in order:
+            if name in order or name in open_:
                 continue
-            visit(known[name], name)
-            if name not in order:
-                order.append(name)
+            open_.add(name)
+            visit(known[name])
+            open_.remove(name)
+            order.append(name)
 
     visit(body)
     if not order:

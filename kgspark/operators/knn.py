@@ -6,6 +6,8 @@ Two exact strategies share one block kernel that never emits pairs, only each bl
   where it lies, without a shuffle.
 * ``grid`` - beyond the bound both sides are cut into cells of bounded size by hashed ids, so one large tenant
   spreads over many tasks; each (query cell, collection cell) is one bounded co-group.
+* ``lookup`` - the mirror image of broadcast, for many queries against a small checked collection: every query
+  finds its best rows in its own task, with no shuffle at all.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ..schema import SIMILARITY_DECIMALS
 
-BROADCAST_BYTES = 32 << 20
+BROADCAST_ROWS = 4096
+BROADCAST_BYTES = 64 << 20
 CELL_ROWS = 16_384
 OUT = "user_id string, query_id {q}, {id} {t}, similarity double"
 
@@ -197,14 +200,43 @@ def _grid_partial(queries: DataFrame, collection: DataFrame, id_col: str, k: int
     return lefts.cogroup(rights).applyInArrow(meet, schema)
 
 
-def _bounded(queries: DataFrame, limit_bytes: int) -> pa.Table | None:
-    """The query set as one Arrow table when it fits the bound, else None. Reads at most the bound."""
-    width = queries.select(F.size("embedding")).head()
-    if width is None:
-        return queries.limit(0).toArrow()
-    rows = max(1, limit_bytes // (4 * max(1, width[0]) + 64))
-    table = queries.limit(rows + 1).toArrow()
-    return table if table.num_rows <= rows else None
+def bounded(queries: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> pa.Table | None:
+    """The query set as one Arrow table when it fits the bounds, else None. Reads at most one row beyond."""
+    table = queries.select("user_id", "query_id", "embedding").limit(max_rows + 1).toArrow()
+    return table if table.num_rows <= max_rows and table.nbytes <= max_bytes else None
+
+
+def _lookup(queries: DataFrame, collection: pa.Table, id_col: str, k: int, floor, schema: str) -> DataFrame:
+    units = _unit_rows(collection["embedding"])
+    users = np.asarray(collection["user_id"].to_pylist(), dtype=object)
+    keys = collection[id_col].combine_chunks()
+    order = _id_order(keys)
+    by_user = {u: np.flatnonzero(users == u) for u in set(users.tolist())}
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            codes = table["user_id"].combine_chunks().dictionary_encode()
+            code = codes.indices.to_numpy(zero_copy_only=False)
+            for i, user in enumerate(codes.dictionary.to_pylist()):
+                rows = by_user.get(user)
+                if rows is None:
+                    continue
+                part = table.take(pa.array(np.flatnonzero(code == i)))
+                q, c, sim = block_best(_unit_rows(part["embedding"]), units[rows], order[rows], k, floor)
+                found = pa.table(
+                    {
+                        "user_id": pa.array([user] * len(q), pa.string()),
+                        "query_id": part["query_id"].combine_chunks().take(pa.array(q)),
+                        id_col: keys.take(pa.array(rows[c])),
+                        "similarity": pa.array(sim),
+                        # block_best returns each query's picks in rank order
+                        "rank": pa.array((np.arange(len(q)) - np.searchsorted(q, q) + 1).astype(np.int32)),
+                    }
+                )
+                yield from found.to_batches()
+
+    return queries.mapInArrow(scan, schema + ", rank int")
 
 
 def nearest(
@@ -214,19 +246,26 @@ def nearest(
     k: int,
     min_similarity: float | None = None,
     strategy: str = "auto",
-    broadcast_bytes: int = BROADCAST_BYTES,
     cell_rows: int = CELL_ROWS,
+    query_table: pa.Table | None = None,
 ) -> DataFrame:
     """Top ``k`` of the collection per query: ``user_id, query_id, <id>, similarity, rank``.
 
     ``queries(user_id, query_id, embedding)`` meet only the collection rows of their tenant. Ties go to the
     lowest id. ``min_similarity`` is inclusive and, as in a filter after the limit, never changes who ranks.
+    ``query_table`` is the result of :func:`bounded`, when a caller uses one query set several times.
     """
     schema = _out_schema(queries, collection, id_col)
     queries = queries.select("user_id", "query_id", "embedding")
-    table = _bounded(queries, broadcast_bytes) if strategy in ("auto", "broadcast") else None
+    table = query_table
+    if table is None and strategy in ("auto", "broadcast"):
+        table = bounded(queries)
     if table is None and strategy == "broadcast":
         raise ValueError("the query set exceeds the broadcast bound")
+    if strategy == "lookup":
+        small = bounded(collection.withColumnRenamed(id_col, "query_id"))
+        if small is not None:
+            return _lookup(queries, small.rename_columns(["user_id", id_col, "embedding"]), id_col, k, min_similarity, schema)
     if table is not None:
         partial = _broadcast_partial(table, collection, id_col, k, min_similarity, schema)
     else:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import expand as X
 from ..operators.history import with_current_type
-from ..operators.knn import nearest
+from ..operators.knn import bounded, nearest
 from ..schema import BRAINDUMP_TOP_K, EXPAND_DEPTH, SEED_SIMILARITY_FLOOR, SEED_TOP_K
 
 
@@ -49,6 +49,9 @@ def retrieve(
     The note hits are computed once and serve both the backfill (minus the subgraph's notes, after the limit) and
     the queries that found no seed.
     """
+    if knn.get("strategy", "auto") == "auto":
+        table = bounded(queries)
+        knn = {**knn, "query_table": table} if table is not None else {**knn, "strategy": "grid"}
     seeds = seeds_of(queries, concept_embeddings, floor, seed_k, **knn)
     asked = queries.select("query_id", "user_id")
     seeded = seeds.select("query_id", "user_id").distinct()
