@@ -1,6 +1,8 @@
 """Queries over the test tables, with their DuckDB twins."""
 
-_MODULES = ["retrieval_queries", "graph_queries", "review_queries", "text_queries", "ingest_queries"]
+_MODULES = [
+    "retrieval_queries", "graph_queries", "review_queries", "text_queries", "ingest_queries", "cluster_queries", "stream_queries",
+]
 
 
 def load():

@@ -9,7 +9,8 @@ from ..operators.accrete import accrete_edges, first_edges, first_labels, outcom
 from ..operators.identity import resolve_identity
 from ..operators.ontology import seed_ontology
 from ..plans.ingest import batch_ingest, edit_notes
-from ..schema import TABLES
+from ..schema import TABLES, empty
+from ..session import cut
 from ..sources.extraction import parse_extractions
 from .oracle import twin
 from .registry import query
@@ -46,7 +47,7 @@ _JUDGED = {
 
 
 def _accretion(v):
-    none = v.spark.createDataFrame([], TABLES["edges"])
+    none = empty(v.spark, "edges")
     return accrete_edges(parse_extractions(v.extractions).edges, _by_label(v), _ontology(v), none, NOW)
 
 
@@ -130,11 +131,12 @@ _WORDS = {
 def identity_labels(v):
     """Identity of every label of every document at the real thresholds."""
     labels = first_labels(parse_extractions(v.extractions).concepts).withColumn("embedding", text_vector(F.col("label")))
+    labels = cut(labels, "labels")
     return resolve_identity(labels).occurrences
 
 
 def _empty_graph(v) -> dict:
-    tables = {n: v.spark.createDataFrame([], TABLES[n]) for n in TABLES}
+    tables = {n: empty(v.spark, n) for n in TABLES}
     tables["ontology"] = _ontology(v)
     return tables
 

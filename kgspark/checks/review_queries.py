@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.models import constant_answer
-from ..functions.text import type_text
-from ..functions.vectors import text_vector
 from ..operators import inference as I
 from ..operators import lookups as L
 from ..operators import merge as M
 from ..operators import ontology as O
-from ..operators import queues as Q
 from ..operators import retract as R
-from ..schema import TABLES
+from ..schema import empty
 from .graph_queries import INFERRED, inferred
 from .oracle import twin
 from .registry import query
@@ -21,13 +18,12 @@ from .views import NOW
 
 
 def b_tables(v, with_inference: bool = True) -> dict:
-    empty = lambda n: v.spark.createDataFrame([], TABLES[n])
     return {
         "concepts": v.b_concepts, "edges": v.b_edges, "concept_provenance": v.b_concept_provenance,
         "edge_provenance": v.b_edge_provenance, "edge_type_history": v.b_history,
         "edge_inference_provenance": inferred(v).where("mode = 'structural_inference'") if with_inference
-        else empty("edge_inference_provenance"),
-        "merge_suggestions": v.b_suggestions, "graph_tombstones": empty("graph_tombstones"),
+        else empty(v.spark, "edge_inference_provenance"),
+        "merge_suggestions": v.b_suggestions, "graph_tombstones": empty(v.spark, "graph_tombstones"),
         "braindumps": v.b_note_ids,
     }
 
@@ -455,6 +451,3 @@ def housekeeping_queue(v):
     details = L.suggestion_details(v.b_suggestions, v.b_concepts, no_notes)
     return L.housekeeping_queue(details, _queue(v), v.b_ontology).select(
         "user_id", "item_id", "kind", "left_label", "right_label", F.round("similarity", 4).alias("similarity"))
-
-
-__all__ = ["Q", "b_tables", "text_vector", "type_text"]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..schema import ACCRETION_SIMILARITY, SIMILARITY_DECIMALS, SUGGESTION_FLOOR_SIMILARITY
 from ..session import cut
-from .knn import CELL_ROWS, _id_order, _unit_rows, grid
+from .knn import CELL_ROWS, _id_order, _unit_rows, meet
 
 # Stored concepts come before every new label.
 BEFORE_ALL = -1
@@ -50,7 +50,7 @@ def _earlier(right: pa.Table, left: pa.Table) -> np.ndarray:
 
 
 def _meet_any(threshold: float):
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             hit = np.zeros(left.num_rows, dtype=bool)
         else:
@@ -59,11 +59,11 @@ def _meet_any(threshold: float):
         rows = pa.array(np.flatnonzero(hit))
         return pa.table({c: left[c].combine_chunks().take(rows) for c in ("user_id", "vector_id")})
 
-    return meet
+    return near
 
 
 def _meet_nearest():
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = {"user_id": pa.string(), "vector_id": pa.int64(), "leader_id": pa.string(), "leader_at": pa.int64(),
                   "leader_pos": pa.int64(), "similarity": pa.float64()}
         if left.num_rows == 0 or right.num_rows == 0:
@@ -88,7 +88,7 @@ def _meet_nearest():
             }
         )
 
-    return meet
+    return near
 
 
 _VECTOR = ["user_id", "vector_id", "at", "pos", "embedding"]
@@ -97,45 +97,43 @@ _KEY = ["user_id", "vector_id"]
 
 def _near(left: DataFrame, right: DataFrame, threshold: float, cell_rows: int) -> DataFrame:
     """Keys of left vectors with an earlier right vector at or above the threshold."""
-    lefts, rights = grid(left.select(*_VECTOR), "vector_id", right.select(*_VECTOR), "vector_id", cell_rows)
-    return lefts.cogroup(rights).applyInArrow(_meet_any(threshold), "user_id string, vector_id bigint").distinct()
+    return meet(
+        left.select(*_VECTOR), "vector_id", right.select(*_VECTOR), "vector_id", _meet_any(threshold),
+        "user_id string, vector_id bigint", cell_rows,
+    ).distinct()
 
 
 def nearest_earlier(left: DataFrame, leaders: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """The nearest earlier leader per left row (ties: the earliest leader)."""
-    lefts, rights = grid(
-        left.select(*_VECTOR), "vector_id", leaders.select(*_VECTOR, "concept_id"), "vector_id", cell_rows
-    )
-    partial = lefts.cogroup(rights).applyInArrow(
-        _meet_nearest(),
-        "user_id string, vector_id bigint, leader_id string, leader_at bigint, leader_pos bigint, similarity double",
+    partial = meet(
+        left.select(*_VECTOR), "vector_id", leaders.select(*_VECTOR, "concept_id"), "vector_id", _meet_nearest(),
+        "user_id string, vector_id bigint, leader_id string, leader_at bigint, leader_pos bigint, similarity double", cell_rows,
     )
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "leader_at", "leader_pos", "leader_id"))
     return partial.groupBy(*_KEY).agg(best.alias("b")).select(*_KEY, "b.leader_id", (-F.col("b.s")).alias("similarity"))
 
 
-def elect(vectors: DataFrame, accrete: float, cell_rows: int) -> DataFrame:
-    """First independent set over distinct non-zero vectors: ``vectors`` with ``leads``."""
-    # Stored concepts already lead; everything near one of them follows.
-    decided = None
+def elect(vectors: DataFrame, accrete: float, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """First independent set over distinct non-zero vectors: (leaders, followers)."""
+    columns = [*_VECTOR, "concept_id", "copy_a", "copy_b"]
+    leaders = followers = None
     open_ = vectors
-    led = vectors.where(F.col("at") == BEFORE_ALL)
-    first = True
+    # Stored concepts already lead; everything near one of them follows.
+    stored = vectors.where(F.col("at") == BEFORE_ALL)
+    winners = stored if stored.limit(1).count() else None
     while True:
-        if first and led.limit(1).count():
-            winners = led
-        else:
+        if winners is None:
             blocked = _near(open_, open_, accrete, cell_rows)
-            winners = open_.join(blocked, _KEY, "left_anti")
-        winners = cut(winners.select(*_VECTOR), "winners")
+            winners = cut(open_.join(blocked, _KEY, "left_anti"), "winners")
         rest = open_.join(winners, _KEY, "left_anti")
-        followers = cut(_near(rest, winners, accrete, cell_rows), "followers")
-        round_ = winners.select(*_KEY, F.lit(True).alias("leads")).unionByName(followers.withColumn("leads", F.lit(False)))
-        decided = round_ if decided is None else decided.unionByName(round_)
-        open_ = cut(rest.join(followers, _KEY, "left_anti").select(*_VECTOR), "undecided")
-        first = False
+        near = _near(rest, winners, accrete, cell_rows).withColumn("follows", F.lit(True))
+        judged = cut(rest.join(near, _KEY, "left").select(*columns, F.coalesce("follows", F.lit(False)).alias("follows")), "judged")
+        led, followed = winners.select(*columns), judged.where("follows").select(*columns)
+        leaders = led if leaders is None else leaders.unionByName(led)
+        followers = followed if followers is None else followers.unionByName(followed)
+        open_, winners = judged.where("NOT follows").select(*columns), None
         if not open_.limit(1).count():
-            return decided
+            return leaders, followers
 
 
 def resolve_identity(
@@ -150,49 +148,50 @@ def resolve_identity(
     ``stored(user_id, concept_id, embedding)`` are the tenant's concepts. New ids are ``k:<note>:<pos>``.
     """
     arrived = labels.select(
-        "user_id", F.col("braindump_id").cast("bigint").alias("at"), F.col("pos").cast("bigint").alias("pos"), "label", "embedding"
+        "user_id", F.col("braindump_id").cast("bigint").alias("at"), F.col("pos").cast("bigint").alias("pos"), "label", "embedding",
+        F.forall("embedding", lambda x: x == 0).alias("zero"),
+        # 128 bits stand for the vector wherever only equality matters, so occurrences travel without it.
+        F.xxhash64("embedding").alias("copy_a"), F.xxhash64(F.lit(1), "embedding").alias("copy_b"),
     )
-    zero = F.forall("embedding", lambda x: x == 0)
+    copy = ["user_id", "copy_a", "copy_b"]
     # Copies of one vector share the fate of their first occurrence, combined before the shuffle.
-    copies = arrived.where(~zero).groupBy("user_id", "embedding").agg(F.min(F.struct("at", "pos")).alias("f")).select(
-        "user_id", "embedding", "f.at", "f.pos"
-    )
+    first = F.struct("at", "pos")
+    copies = arrived.where("NOT zero").groupBy(*copy).agg(F.min(first).alias("f"), F.min_by("embedding", first).alias("embedding"))
     new = copies.select(
-        "user_id", F.xxhash64("at", "pos").alias("vector_id"), "at", "pos", "embedding",
-        F.concat_ws(":", F.lit("k"), "at", "pos").alias("concept_id"),
+        "user_id", F.xxhash64("f.at", "f.pos").alias("vector_id"), "f.at", "f.pos", "embedding",
+        F.concat_ws(":", F.lit("k"), "f.at", "f.pos").alias("concept_id"), "copy_a", "copy_b",
     )
     if stored is not None:
         # Stored ids rank by id, so a tie between stored concepts goes to the lowest.
-        old = stored.select("user_id", "concept_id", "embedding").where(~zero)
+        old = stored.select("user_id", "concept_id", "embedding").where(F.exists("embedding", lambda x: x != 0))
         old = old.select(
             "user_id", F.xxhash64(F.lit("stored"), "concept_id").alias("vector_id"),
             F.lit(BEFORE_ALL).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("pos"), "embedding", "concept_id",
+            F.lit(None).cast("bigint").alias("copy_a"), F.lit(None).cast("bigint").alias("copy_b"),
         )
         new = old.unionByName(new)
     vectors = cut(new, "vectors")
-    fate = cut(elect(vectors, accrete, cell_rows), "fate")
-    decided = vectors.join(fate, _KEY)
-    leaders = cut(decided.where("leads").select(*_VECTOR, "concept_id"), "leaders")
+    leaders, followers = elect(vectors, accrete, cell_rows)
+    decided = leaders.withColumn("leads", F.lit(True)).unionByName(followers.withColumn("leads", F.lit(False)))
 
     # Copies whose first occurrence leads belong to it: nothing else can be nearer than an equal vector.
     # Copies of a follower look up the nearest leader that was there when each of them arrived.
-    by_vector = decided.select("user_id", "embedding", "vector_id", "leads", F.col("at").alias("first_at"),
-                               F.col("pos").alias("first_pos"), F.col("concept_id").alias("own_id"))
-    # Where a stored concept has the very vector, its row and the label's row both exist; the follower row decides.
-    mine = by_vector.where(F.col("first_at") != BEFORE_ALL)
-    seen = arrived.where(~zero).join(mine, ["user_id", "embedding"])
+    mine = decided.where(F.col("at") != BEFORE_ALL).select(
+        *copy, "leads", F.col("at").alias("first_at"), F.col("pos").alias("first_pos"), F.col("concept_id").alias("own_id")
+    )
+    seen = arrived.where("NOT zero").select(*copy, "at", "pos", "label").join(mine, copy)
     of_leader = seen.where("leads").select(
         "user_id", "at", "pos", "label", F.col("own_id").alias("concept_id"), F.lit(1.0).alias("similarity"),
         ((F.col("at") == F.col("first_at")) & (F.col("pos") == F.col("first_pos"))).alias("is_first"),
     )
-    late = seen.where("NOT leads").select(
+    late = arrived.where("NOT zero").join(followers.select(*copy), copy, "left_semi").select(
         "user_id", F.xxhash64("at", "pos").alias("vector_id"), "at", "pos", "label", "embedding"
     )
     near_late = nearest_earlier(late, leaders, cell_rows)
     of_follower = late.join(near_late, _KEY).select(
         "user_id", "at", "pos", "label", F.col("leader_id").alias("concept_id"), "similarity", F.lit(False).alias("is_first")
     )
-    of_zero = arrived.where(zero).select(
+    of_zero = arrived.where("zero").select(
         "user_id", "at", "pos", "label", F.concat_ws(":", F.lit("k"), "at", "pos").alias("concept_id"),
         F.lit(0.0).alias("similarity"), F.lit(True).alias("is_first"),
     )

@@ -158,7 +158,8 @@ def with_cells(rows: DataFrame, key: str, cell: str, cell_rows: int) -> tuple[Da
 def grid(left: DataFrame, left_key: str, right: DataFrame, right_key: str, cell_rows: int = CELL_ROWS):
     """Both sides cut into bounded cells and replicated so that every left cell meets every right cell once."""
     lefts, left_sizes = with_cells(left, left_key, "left_cell", cell_rows)
-    rights, right_sizes = with_cells(right, right_key, "right_cell", cell_rows)
+    # Fresh column identities, so a set can meet itself.
+    rights, right_sizes = with_cells(right.toDF(*right.columns), right_key, "right_cell", cell_rows)
     lefts = lefts.join(right_sizes, "user_id").withColumn(
         "right_cell", F.explode(F.sequence(F.lit(0), F.col("right_cell_count") - 1))
     )
@@ -169,6 +170,36 @@ def grid(left: DataFrame, left_key: str, right: DataFrame, right_key: str, cell_
     return lefts.drop("right_cell_count").groupBy(*keys), rights.drop("left_cell_count").groupBy(*keys)
 
 
+def meet(left: DataFrame, left_key: str, right: DataFrame, right_key: str, kernel, schema: str,
+         cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``kernel(left rows, right rows)`` over every left and right block of a tenant; its outputs are united.
+
+    A right side within the broadcast bound travels to the tasks and the left side is scanned in place; beyond it
+    both sides meet in the grid. The kernel must give the union over blocks the meaning it wants.
+    """
+    small = right.limit(BROADCAST_ROWS + 1).toArrow()
+    if small.num_rows > BROADCAST_ROWS or small.nbytes > BROADCAST_BYTES:
+        lefts, rights = grid(left, left_key, right, right_key, cell_rows)
+        return lefts.cogroup(rights).applyInArrow(
+            lambda l, r: kernel(l, r) if l.num_rows and r.num_rows else kernel(l.slice(0, 0), r.slice(0, 0)), schema
+        )
+    small = small.combine_chunks()
+    users = np.asarray(small["user_id"].to_pylist(), dtype=object)
+    parts = {u: small.take(pa.array(np.flatnonzero(users == u))) for u in set(users.tolist())}
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            codes = table["user_id"].combine_chunks().dictionary_encode()
+            code = codes.indices.to_numpy(zero_copy_only=False)
+            for i, user in enumerate(codes.dictionary.to_pylist()):
+                if user in parts:
+                    rows = pa.array(np.flatnonzero(code == i))
+                    yield from kernel(table.take(rows), parts[user]).to_batches()
+
+    return left.mapInArrow(scan, schema)
+
+
 def _grid_partial(queries: DataFrame, collection: DataFrame, id_col: str, k: int, floor, schema: str, cell_rows: int):
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = right[id_col].combine_chunks()

@@ -90,6 +90,15 @@ TABLES = {
     "type_embeddings": ("user_id string, ontology_id bigint, embedding array<float>"),
 }
 
+
+def empty(spark, name: str):
+    """An empty table the optimizer recognises as such."""
+    from pyspark.sql.types import StructType
+
+    columns = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in StructType.fromDDL(TABLES[name]))
+    return spark.sql(f"SELECT {columns} WHERE false")
+
+
 EXTRACTION = (
     "concepts array<struct<label:string>>, edges array<struct<source:string,type:string,target:string>>"
 )

@@ -6,15 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import ranked
-from ..schema import TABLES
+from ..schema import empty
 
 KEY = ["user_id", "braindump_id"]
 
 
-def empty(spark, name: str) -> DataFrame:
-    return spark.createDataFrame([], TABLES[name])
-
-
 def insert_notes(arrivals: DataFrame, existing: DataFrame, at: int, order: list[str]) -> DataFrame:
     """Rows to append for non-blank ``arrivals(user_id, verbatim, <order>)``: pending, not yet cleaned.
 

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import TABLES
+from ..schema import TABLES, empty
 
 # Clustering key next to the tenant; files sorted by it skip row groups on tenant and id filters.
 _SORT = {
@@ -61,7 +61,7 @@ class GraphStore:
     def read(self, name: str, state: dict | None = None) -> DataFrame:
         paths = (state or self.state())["tables"]
         if name not in paths:
-            return self.spark.createDataFrame([], TABLES[name])
+            return empty(self.spark, name)
         return self.spark.read.schema(TABLES[name]).parquet(paths[name])
 
     def tables(self) -> dict[str, DataFrame]:
@@ -75,7 +75,7 @@ class GraphStore:
         paths = dict(state["tables"])
         for name, df in changed.items():
             path = f"{self.root}/{name}/v={version}-{uuid.uuid4().hex[:8]}"
-            out = df.select(*self.spark.createDataFrame([], TABLES[name]).columns)
+            out = df.select(*empty(self.spark, name).columns)
             if name in _SORT:
                 # Ranges over (tenant, id): a large tenant spreads over files, a small one sits in few row groups.
                 out = out.repartitionByRange("user_id", _SORT[name]).sortWithinPartitions("user_id", _SORT[name])
