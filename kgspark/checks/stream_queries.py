@@ -25,10 +25,16 @@ from .views import NOW, SINCE
 
 
 def arriving(v, df, name: str, files: int):
-    """The rows written as ``files`` files, read back as a stream one file at a time."""
-    path = scratch_path(v.spark, name)
-    df.repartitionByRange(files, df.columns[0]).write.parquet(path)
-    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """The rows in order of their first column, as ``files`` drops of files, read back as a stream drop by drop."""
+    path, key = scratch_path(v.spark, name), df.columns[0]
+    cuts = df.agg(F.percentile_approx(key, [i / files for i in range(1, files)])).head()[0]
+    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+        part = df if low is None else df.where(F.col(key) > low)
+        part = part if high is None else part.where(F.col(key) <= high)
+        part.coalesce(1).write.parquet(f"{path}/drop={i}")
+    return (
+        v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    )
 
 
 def finish(q) -> None:
@@ -43,21 +49,11 @@ def stream_ingest(v):
     """All documents streamed in note order in two files; the graph equals that of one batch."""
     store = GraphStore(v.spark, scratch_path(v.spark, "store"))
     store.commit({"ontology": _ontology(v)})
-    path = scratch_path(v.spark, "notes")
-    raw = _raw(v)
-    half = raw.agg(F.percentile_approx("braindump_id", 0.5)).head()[0]
-    raw.where(F.col("braindump_id") <= half).coalesce(1).write.parquet(f"{path}/part=1")
-    q = start_ingest(_stream(v, path, raw), store, f"{path}-checkpoint", lambda b: NOW)
-    finish(q)
-    raw.where(F.col("braindump_id") > half).coalesce(1).write.parquet(f"{path}/part=2")
-    finish(start_ingest(_stream(v, path, raw), store, f"{path}-checkpoint", lambda b: NOW))
+    stream = arriving(v, _raw(v).select("braindump_id", "user_id", "verbatim", "payload"), "notes", 2)
+    finish(start_ingest(stream, store, scratch_path(v.spark, "notes-checkpoint"), lambda batch: NOW))
     return store.read("edges").select("user_id", "source_concept_id", "original_type", "target_concept_id")
 
 
-def _stream(v, path, raw):
-    return v.spark.readStream.schema(raw.schema).option("recursiveFileLookup", "true").parquet(path)
-
-
 @query("stream_retry", twin(
     """SELECT 'events' AS user_id, braindump_id, coalesce(f.outcome, 'pending') AS ingest_status, coalesce(f.attempt, l.attempt) AS ingest_attempts FROM
        (SELECT braindump_id, max(attempt) AS attempt FROM attempts GROUP BY 1) l
