@@ -187,6 +187,9 @@ def vectors_of(rows: str, key: str, text: str) -> dict[str, str]:
         f"{rows}_fnv": f"SELECT w, {_FNV} % 64 AS bucket FROM (SELECT DISTINCT w FROM {rows}_tok) q",
         f"{rows}_cnt": f"SELECT {key}, bucket, count(*) AS n FROM {rows}_tok JOIN {rows}_fnv USING (w) GROUP BY ALL",
         f"{rows}_vec": f"SELECT {key}, sqrt(sum(n * n)) AS norm FROM {rows}_cnt GROUP BY ALL",
+        # Stored vectors are single precision; similarities are taken over the stored values.
+        f"{rows}_x": f"SELECT {key}, bucket, CAST(CAST(n / norm AS FLOAT) AS DOUBLE) AS x FROM {rows}_cnt JOIN {rows}_vec USING ({key})",
+        f"{rows}_len": f"SELECT {key}, sqrt(sum(x * x)) AS len FROM {rows}_x GROUP BY ALL",
     }
 
 
@@ -201,9 +204,9 @@ _PROPOSED = {
     **vectors_of("good_p", "user_id, proposal_id", "text"),
     **vectors_of("seed_text", "i", "text"),
     "near_p": """SELECT user_id, proposal_id, i, sim FROM (SELECT *, row_number() OVER (PARTITION BY user_id, proposal_id ORDER BY sim DESC, i) AS rn FROM (
-        SELECT a.user_id, a.proposal_id, b.i, round(coalesce(d.dot, 0) / (a.norm * b.norm), 10) AS sim
-        FROM good_p_vec a, seed_text_vec b LEFT JOIN (
-            SELECT x.user_id, x.proposal_id, y.i, sum(x.n * y.n) AS dot FROM good_p_cnt x JOIN seed_text_cnt y USING (bucket) GROUP BY 1, 2, 3) d
+        SELECT a.user_id, a.proposal_id, b.i, round(coalesce(d.dot, 0) / (a.len * b.len), 10) AS sim
+        FROM good_p_len a, seed_text_len b LEFT JOIN (
+            SELECT x.user_id, x.proposal_id, y.i, sum(x.x * y.x) AS dot FROM good_p_x x JOIN seed_text_x y USING (bucket) GROUP BY 1, 2, 3) d
         ON d.user_id = a.user_id AND d.proposal_id = a.proposal_id AND d.i = b.i) q) q WHERE rn = 1""",
     "proposals_p": f"""SELECT j.*, CASE WHEN reason IS NOT NULL THEN NULL WHEN sim >= 0.995 THEN 'auto_merged' ELSE 'pending' END AS status,
         s.slug AS near_match_slug, sim AS near_match_similarity FROM judged_p j

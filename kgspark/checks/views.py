@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.scalars import edge_key, epoch
 from ..schema import ONTOLOGY_SEED, SILENCE_TEXT
-from ..session import scratch_path
+from ..session import scratch_path, spread
 
 # Cut-off for change feeds and the clock of the writing operators (epoch seconds).
 SINCE = 891_000_000
@@ -66,7 +66,9 @@ class Views:
         self.dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.schema(TABLES[name]).parquet(f"{self.dir}/{name}.parquet")
+        # Texts cost much per row: a file too small to split is spread over the cores.
+        return spread(df) if name in ("documents", "conversations") else df
 
     def _count(self, name: str):
         return self.table(name).agg(F.count(F.lit(1))).scalar()
@@ -391,7 +393,7 @@ class Views:
             F.posexplode(X.tokens(F.col("text"))).alias("pos", "token"),
         )
 
-    @cached_property
+    @stored
     def extractions(self) -> DataFrame:
         """JSON per document: long tokens are concepts, neighbours are edges, a hash picks the type."""
         slugs = F.array(*[F.lit(s) for s, _, _ in ONTOLOGY_SEED], F.lit("invented_type"))

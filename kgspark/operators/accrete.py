@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import edge_key
+from ..session import cut
 from .history import first_history
 
 NOTE = ["user_id", "braindump_id"]
@@ -43,12 +44,13 @@ class Accretion:
 
 
 def accrete_edges(
-    edges: DataFrame, label_ids: DataFrame, ontology: DataFrame, existing: DataFrame, at: int
+    edges: DataFrame, label_ids: DataFrame, ontology: DataFrame, existing: DataFrame, at: int, materialize: bool = False
 ) -> Accretion:
     """Judge extracted edges in note order: unknown end, then unsanctioned type, else create or accrete.
 
     The creator of a new edge is the earliest (note, position) asserting its key; the earliest is found by a
-    combined minimum, so an edge asserted by very many notes is never gathered.
+    combined minimum, so an edge asserted by very many notes is never gathered. ``materialize`` writes the judged
+    edges and their keys once, for callers that use more than one result.
     """
     types = ontology.select("user_id", F.col("slug").alias("type"), F.lit(True).alias("sanctioned")).distinct()
     judged = (
@@ -63,6 +65,8 @@ def accrete_edges(
         .withColumn("key_id", edge_key(F.col("source_concept_id"), F.col("type"), F.col("target_concept_id")))
         .drop("sanctioned")
     )
+    if materialize:
+        judged = cut(judged, "judged_edges")
     valid = judged.where("reason IS NULL")
     held = existing.select(
         "user_id", "source_concept_id", F.col("original_type").alias("type"), "target_concept_id",
@@ -71,6 +75,8 @@ def accrete_edges(
     asserted = valid.groupBy("user_id", "source_concept_id", "type", "target_concept_id", "key_id").agg(
         F.min(F.struct("braindump_id", "pos")).alias("first")
     ).join(held, ["user_id", "source_concept_id", "type", "target_concept_id"], "left")
+    if materialize:
+        asserted = cut(asserted, "asserted_edges")
     new = asserted.where("held_id IS NULL")
     new_edges = new.select(
         "user_id", F.col("key_id").alias("edge_id"), "source_concept_id", "target_concept_id",

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import SIMILARITY_DECIMALS
+from ..session import spread
 
 BROADCAST_ROWS = 4096
 BROADCAST_BYTES = 64 << 20
@@ -129,7 +130,7 @@ def _broadcast_partial(query_table: pa.Table, collection: DataFrame, id_col: str
         for found in held.values():
             yield from found.to_batches()
 
-    return collection.select("user_id", id_col, "embedding").mapInArrow(scan, schema)
+    return spread(collection.select("user_id", id_col, "embedding")).mapInArrow(scan, schema)
 
 
 def _fold(kept, found: pa.Table, id_col: str, k: int) -> pa.Table:
@@ -197,7 +198,7 @@ def meet(left: DataFrame, left_key: str, right: DataFrame, right_key: str, kerne
                     rows = pa.array(np.flatnonzero(code == i))
                     yield from kernel(table.take(rows), parts[user]).to_batches()
 
-    return left.mapInArrow(scan, schema)
+    return spread(left).mapInArrow(scan, schema)
 
 
 def _grid_partial(queries: DataFrame, collection: DataFrame, id_col: str, k: int, floor, schema: str, cell_rows: int):
@@ -267,7 +268,7 @@ def _lookup(queries: DataFrame, collection: pa.Table, id_col: str, k: int, floor
                 )
                 yield from found.to_batches()
 
-    return queries.mapInArrow(scan, schema + ", rank int")
+    return spread(queries).mapInArrow(scan, schema + ", rank int")
 
 
 def nearest(

@@ -13,7 +13,7 @@ from ..operators.identity import resolve_identity
 from ..operators.provenance import add_provenance
 from ..operators.retract import retract
 from ..schema import ACCRETION_SIMILARITY, DEFAULT_DIM, SUGGESTION_FLOOR_SIMILARITY
-from ..session import cut
+from ..session import cut, spread
 from ..sources.extraction import parse_extractions
 from ..sources.notes import correct_notes
 
@@ -34,7 +34,7 @@ def batch_ingest(
     Notes count in id order. What a note asserted before is retracted first, so ingesting again replaces it.
     """
     embed = embed or (lambda t: text_vector(t, dim))
-    parsed = parse_extractions(raw)
+    parsed = parse_extractions(spread(raw))
     rejects = cut(parsed.rejects, "rejects")
     notes = raw.join(rejects, NOTE, "left_anti").select(*NOTE, "verbatim")
     keys = cut(notes.select(*NOTE), "ingest_keys")
@@ -48,9 +48,8 @@ def batch_ingest(
     labels = cut(first_labels(parsed.concepts).withColumn("embedding", embed(F.col("label"))), "labels")
     identity = resolve_identity(labels, out["concept_embeddings"], accrete, floor)
     placed = cut(identity.occurrences, "placed")
-    edges = accrete_edges(parsed.edges, placed, out["ontology"], out["edges"], at)
-    judged = cut(edges.judged, "judged")
-    counts = outcome_counts(placed, judged)
+    edges = accrete_edges(parsed.edges, placed, out["ontology"], out["edges"], at, materialize=True)
+    counts = outcome_counts(placed, edges.judged)
     outcome = keys.join(counts, NOTE, "left").na.fill(0)
 
     stamp = F.lit(at).cast("bigint")
