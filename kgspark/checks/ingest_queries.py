@@ -48,7 +48,7 @@ _JUDGED = {
 
 def _accretion(v):
     none = empty(v.spark, "edges")
-    return accrete_edges(parse_extractions(v.extractions).edges, _by_label(v), _ontology(v), none, NOW)
+    return accrete_edges(parse_extractions(v.extractions).edges, _by_label(v), _ontology(v), none, NOW, materialize=True)
 
 
 @query("accrete_edges", twin(

@@ -78,9 +78,10 @@ CTES: dict[str, str] = {
     "b_suggestions": f"""SELECT s.user_id, s.s_suppkey AS suggestion_id, n.braindump_id,
         's:' || s.s_suppkey AS new_concept_label, 's:' || s.s_suppkey AS new_concept_id, 's:' || s.before AS existing_concept_id,
         0.9::DOUBLE AS similarity, 'pending' AS status, CAST({NOW} AS BIGINT) AS created_at
-        FROM (SELECT *, lag(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS before FROM b_suppliers) s
+        FROM (SELECT a.*, b.s_suppkey AS before FROM b_places a JOIN b_places b ON a.s_nationkey = b.s_nationkey AND a.place // 2 = b.place) s
         LEFT JOIN (SELECT l_suppkey, min(l_orderkey) AS braindump_id FROM lineitem GROUP BY 1) n ON n.l_suppkey = s.s_suppkey
-        WHERE s.before IS NOT NULL""",
+        """,
+    "b_places": "SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place FROM b_suppliers",
     "b_deletes": """SELECT DISTINCT a.user_id, a.note AS braindump_id FROM b_assert a JOIN orders o ON o.o_orderkey = a.note
         WHERE o.o_orderstatus = 'P'""",
     "b_note_ids": "SELECT DISTINCT user_id, note AS braindump_id FROM b_assert",

@@ -79,7 +79,7 @@ def delete_outcome(v):
 
 # --- merges ---------------------------------------------------------------------------------------
 _WALK = {
-    "req": """SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY suggestion_id) AS n FROM b_suggestions""",
+    "req": """SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (suggestion_id * 7919) % 10007 * 4294967296 + suggestion_id) AS n FROM b_suggestions""",
     "walk": """SELECT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS folded FROM b_users UNION ALL
         SELECT w.user_id, r.n, CASE WHEN list_contains(w.folded, r.new_concept_id) OR list_contains(w.folded, r.existing_concept_id)
             THEN w.folded ELSE list_append(w.folded, r.new_concept_id) END
@@ -100,7 +100,9 @@ _WALK = {
 
 
 def _requests(v):
-    return v.b_suggestions.select("user_id", F.col("suggestion_id").alias("ord"), "suggestion_id")
+    """Requests in a shuffled order, so that some merges follow and some precede those they depend on."""
+    order = (F.col("suggestion_id") * 7919) % 10007 * 4294967296 + F.col("suggestion_id")
+    return v.b_suggestions.select("user_id", order.alias("ord"), "suggestion_id")
 
 
 @query("merge_outcomes", twin(

@@ -283,15 +283,17 @@ class Views:
             self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")
         ).select("s_suppkey", "s_nationkey", F.col("n_regionkey").cast("string").alias("user_id"))
 
-    @cached_property
+    @stored
     def b_suggestions(self) -> DataFrame:
-        """Each supplier is suggested to fold into the supplier before it in its nation."""
+        """Each supplier is suggested to fold into the one at half its place in its nation."""
         w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+        placed = self.b_suppliers.withColumn("place", F.row_number().over(w))
+        before = placed.select("s_nationkey", F.col("place").alias("half"), F.col("s_suppkey").alias("before"))
         first_note = self.table("lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
             F.min("l_orderkey").alias("braindump_id")
         )
         return (
-            self.b_suppliers.withColumn("before", F.lag("s_suppkey").over(w)).where("before IS NOT NULL")
+            placed.withColumn("half", F.floor(F.col("place") / 2).cast("int")).join(before, ["s_nationkey", "half"])
             .join(first_note, "s_suppkey", "left")
             .select(
                 "user_id", F.col("s_suppkey").alias("suggestion_id"), "braindump_id",
@@ -303,7 +305,7 @@ class Views:
             )
         )
 
-    @cached_property
+    @stored
     def b_deletes(self) -> DataFrame:
         """Notes of orders with status P are withdrawn, in every tenant that has them."""
         gone = self.table("orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("note"))
@@ -311,7 +313,7 @@ class Views:
             "user_id", F.col("note").alias("braindump_id")
         )
 
-    @cached_property
+    @stored
     def b_note_ids(self) -> DataFrame:
         return self.b_assert.select("user_id", F.col("note").alias("braindump_id")).distinct()
 
@@ -347,7 +349,7 @@ class Views:
         )
 
     # --- change feed ----------------------------------------------------------------------------
-    @cached_property
+    @stored
     def tombstones(self) -> DataFrame:
         """Error events tombstone the customer concept, signup events every edge of the order with their id."""
         ev = self.table("events").select("event_id", "user_id", "event_type")

@@ -7,43 +7,42 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hop_score
 from ..schema import EXPAND_DEPTH
-from .provenance import with_both_ends
+from ..session import cut
 
 
-def neighbours(edges: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Distinct undirected neighbour pairs between known concepts (``user_id, concept_id, neighbour_id``)."""
-    ends = with_both_ends(edges, concepts).select("user_id", "source_concept_id", "target_concept_id")
+def neighbours(edges: DataFrame) -> DataFrame:
+    """Undirected neighbour pairs, one row per direction (``user_id, concept_id, neighbour_id``)."""
     both = F.array(
         F.struct(F.col("source_concept_id").alias("concept_id"), F.col("target_concept_id").alias("neighbour_id")),
         F.struct(F.col("target_concept_id").alias("concept_id"), F.col("source_concept_id").alias("neighbour_id")),
     )
-    return (
-        ends.where("source_concept_id <> target_concept_id").select("user_id", F.inline(both)).distinct()
-    )
+    return edges.where("source_concept_id <> target_concept_id").select("user_id", F.inline(both))
 
 
-def expand(
-    seeds: DataFrame, edges: DataFrame, concepts: DataFrame, depth: int = EXPAND_DEPTH
-) -> DataFrame:
+def expand(seeds: DataFrame, edges: DataFrame, concepts: DataFrame, depth: int = EXPAND_DEPTH) -> DataFrame:
     """Minimum hop per concept from ``seeds(query_id, user_id, concept_id)``, up to ``depth`` hops, undirected.
 
-    Seeds that are not concepts are ignored. A frontier is not reduced by what was visited before it: the final
-    minimum settles that, and a shuffle per hop is saved.
+    Ids that are not concepts are ignored, as seeds and as neighbours. Each frontier is written once: its real size
+    then decides how it meets the edges (a small one is broadcast and the edges are scanned in place, a large one is
+    shuffled), and the result is written because retrieval reads it several times. A frontier is not reduced by what
+    was visited before it; the final minimum settles that.
     """
-    adjacency = neighbours(edges, concepts)
-    start = seeds.select("query_id", "user_id", "concept_id").distinct().join(
-        concepts.select("user_id", "concept_id"), ["user_id", "concept_id"], "left_semi"
+    adjacency = neighbours(edges)
+    known = concepts.select("user_id", "concept_id")
+    columns = ["query_id", "user_id", "concept_id"]
+    frontier = cut(
+        seeds.select(*columns).distinct().join(known, ["user_id", "concept_id"], "left_semi").select(*columns), "frontier"
     )
-    frontier = start.select("query_id", "user_id", "concept_id")
     reached = frontier.withColumn("hops", F.lit(0))
     for hop in range(1, depth + 1):
-        frontier = (
+        met = (
             frontier.join(adjacency, ["user_id", "concept_id"])
             .select("query_id", "user_id", F.col("neighbour_id").alias("concept_id"))
             .distinct()
         )
+        frontier = cut(met.join(known, ["user_id", "concept_id"], "left_semi").select(*columns), "frontier")
         reached = reached.unionByName(frontier.withColumn("hops", F.lit(hop)))
-    return reached.groupBy("query_id", "user_id", "concept_id").agg(F.min("hops").cast("int").alias("hops"))
+    return cut(reached.groupBy(*columns).agg(F.min("hops").cast("int").alias("hops")), "hops")
 
 
 def induced_edges(hops: DataFrame, typed_edges: DataFrame, concepts: DataFrame) -> DataFrame:

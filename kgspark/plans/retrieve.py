@@ -11,6 +11,7 @@ from ..operators import expand as X
 from ..operators.history import with_current_type
 from ..operators.knn import bounded, nearest
 from ..schema import BRAINDUMP_TOP_K, EXPAND_DEPTH, SEED_SIMILARITY_FLOOR, SEED_TOP_K
+from ..session import cut
 
 
 @dataclass
@@ -52,7 +53,7 @@ def retrieve(
     if knn.get("strategy", "auto") == "auto":
         table = bounded(queries)
         knn = {**knn, "query_table": table} if table is not None else {**knn, "strategy": "grid"}
-    seeds = seeds_of(queries, concept_embeddings, floor, seed_k, **knn)
+    seeds = cut(seeds_of(queries, concept_embeddings, floor, seed_k, **knn), "seeds")
     asked = queries.select("query_id", "user_id")
     seeded = seeds.select("query_id", "user_id").distinct()
     modes = asked.join(seeded.withColumn("hit", F.lit(True)), ["query_id", "user_id"], "left").select(
