@@ -57,10 +57,15 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Input estimated below this many bytes per core may sit in fewer files than there are cores.
+SPREAD_BYTES = 16 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over at least as many partitions as there are cores, for stages that compute much per row.
+    """Small input over as many partitions as there are cores, for stages that compute much per row.
 
-    Input that already has enough partitions, as any large table does, is left as it is.
+    Decided from the optimizer's size estimate, without running anything; larger input is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
