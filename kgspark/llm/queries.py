@@ -35,3 +35,4 @@ _register(
 _register(
     "op10_warc", "warc", "archive_pages", "pages", ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], oracles.WARC
 )
+_register("op5_best_fit_packing", "packing", "pack", "documents")
