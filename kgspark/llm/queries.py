@@ -36,3 +36,4 @@ _register(
     "op10_warc", "warc", "archive_pages", "pages", ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], oracles.WARC
 )
 _register("op5_best_fit_packing", "packing", "pack", "documents")
+_register("op8_language_id", "langid", "predict_ids", "documents", ["doc_id", "held_out", "lang_pred", "score", "rejected"])
