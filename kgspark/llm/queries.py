@@ -37,3 +37,4 @@ _register(
 )
 _register("op5_best_fit_packing", "packing", "pack", "documents")
 _register("op8_language_id", "langid", "predict_ids", "documents", ["doc_id", "held_out", "lang_pred", "score", "rejected"])
+_register("op1_max_scoring_text", "extract", "extract", "pages")
