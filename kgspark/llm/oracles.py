@@ -61,3 +61,14 @@ def url_graph(rounds: int = 12, damping: float = 0.85, threshold: float = 0.5) -
         "WITH " + ",\n".join(parts) + f"\nSELECT j.page_id, j.host, j.path, j.rule, coalesce(j.verdict, CASE WHEN coalesce(d.score, 0) - coalesce(t.score, 0) > {threshold} "
         f"THEN 'block' ELSE 'allow' END) AS verdict FROM judged j LEFT JOIN trust{rounds} t ON j.host = t.host LEFT JOIN distrust{rounds} d ON j.host = d.host"
     )
+
+
+TOP_K = """
+WITH p AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM p q JOIN p c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
