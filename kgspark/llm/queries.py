@@ -41,3 +41,4 @@ _register("op1_max_scoring_text", "extract", "extract", "pages")
 _register("op9_kdtree_topk", "kdtree", "top_k", "embeddings", None, oracles.TOP_K)
 _register("op3_pca_tiles", "vector_links", "links", "embeddings")
 _register("op7_probminhash", "minhash", "near_duplicates", "documents")
+_register("op6_katz_backoff", "katz", "score", "documents")
