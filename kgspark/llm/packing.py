@@ -24,8 +24,10 @@ from .tokens import encoder, public_path
 CAPACITY, END_ID = 4096, 1
 # Pieces that one task packs, and the share of them that it may hand on.
 SHARD, CARRY = 8192, 16
-# Branches that bin completion may open in a shard, and fillings it tries around one piece.
-NODES, WIDTH = 4000, 6
+# Steps that bin completion may spend on a shard, and fillings it tries around one piece.
+STEPS, WIDTH = 300_000, 6
+# Steps of the enumeration around one piece; its first path, largest sizes first, always ends in a filling.
+LOOK = 300
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -95,18 +97,20 @@ def _packs(inner: tuple, outer: tuple) -> bool:
     return False
 
 
-def fillings(counts: dict[int, int], bits: int, room: int, width: int = WIDTH) -> list[tuple]:
-    """Fullest maximal sets of the sizes left that fit into ``room``, without dominated ones.
+def fillings(counts: dict[int, int], bits: int, room: int, width: int = WIDTH) -> tuple[list[tuple], int]:
+    """Fullest maximal sets of the sizes left that fit into ``room``, without dominated ones, and the steps it took.
 
-    A filling is dominated when its sizes can be dealt into those of another. Each level looks at the ``width``
-    largest sizes that fit.
+    A filling is dominated when its sizes can be dealt into those of another (looked into for up to four sizes). Each
+    level looks at the ``width`` largest sizes that fit.
     """
-    found, most = {}, width * width
+    found, most, steps = {}, width * width, 0
 
     def grow(chosen: tuple, left: int, top: int) -> None:
+        nonlocal steps
+        steps += 1
         below = bits & ((1 << (min(left, top) + 1)) - 1)
         seen = 0
-        while below and seen < width and len(found) < most:
+        while below and seen < width and len(found) < most and steps < LOOK:
             size = below.bit_length() - 1
             below ^= 1 << size
             if chosen.count(size) < counts[size]:
@@ -126,12 +130,12 @@ def fillings(counts: dict[int, int], bits: int, room: int, width: int = WIDTH) -
     ordered = sorted(found, key=lambda f: (found[f], len(f)))[: 2 * width]
     kept: list[tuple] = []
     for f in ordered:
-        if not any(len(f) <= 8 and len(k) <= 8 and _packs(f, k) for k in kept):
+        if not any(len(f) <= 4 and len(k) <= 4 and _packs(f, k) for k in kept):
             kept.append(f)
-    return kept[:width] or [()]
+    return kept[:width] or [()], steps + len(found)
 
 
-def bin_completion(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODES, width: int = WIDTH) -> list[list[int]]:
+def bin_completion(sizes: list[int], capacity: int = CAPACITY, steps: int = STEPS, width: int = WIDTH) -> list[list[int]]:
     """Positions per bin, in as few bins as the search finds; never more than best-fit decreasing uses."""
     bins = best_fit(sizes, capacity)
     total = sum(sizes)
@@ -162,13 +166,14 @@ def bin_completion(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODE
     path: list[tuple] = []  # the fillings chosen, the largest size of each first
     open_: list[list[tuple]] = []  # what remains to try at each depth
     waste = 0
-    while nodes > 0:
+    while steps > 0:
         if bits:  # descend: fill a bin around the largest size left
             top = bits.bit_length() - 1
             take((top,))
-            options = [(top, *f) for f in fillings(counts, bits, capacity - top, width)]
+            filled, spent = fillings(counts, bits, capacity - top, width)
+            options = [(top, *f) for f in filled]
             give((top,))
-            nodes -= 1
+            steps -= spent
             open_.append([f for f in reversed(options) if waste + capacity - sum(f) <= allowed])
         else:  # all sizes placed within the allowed waste: fewer bins than before
             best = list(path)
