@@ -9,7 +9,8 @@ Without explicit ``weights`` a source's share is proportional to its size to the
 
 Defined results: null sources form a source of their own; a null text has size 0; size is n words plus one, so no
 document is free; null ids share one draw per source; rows that repeat an id get the same number of copies each; a source missing
-in ``weights`` has weight 0; an empty table gives an empty result. Rates above ``MAX_RATE`` are refused, not cut.
+in ``weights`` has weight 0; an empty table gives an empty result. A rate above ``PART`` is drawn as the sum of equal parts,
+each by its own hash, which is the same distribution.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import stage
 
 ALPHA, SEED = 0.5, 7
-# The inversion sums the distribution term by term; at this mean 60 terms miss less than 1e-18 of it.
-MAX_RATE, TERMS = 16.0, 60
+# The inversion sums the distribution term by term; at this mean 60 terms miss less than 1e-16 of it.
+PART, TERMS = 16.0, 60
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -63,10 +64,18 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha
     if total["n"] is None:
         return weighted.select("source", "size", F.lit(0.0).alias("rate"))
     want = float(budget if budget is not None else total["n"])
-    rates = weighted.select("source", "size", (F.col("weight") / F.lit(total["w"] or 1.0) * F.lit(want) / F.col("size")).alias("rate"))
-    if rates.where(F.col("rate") > MAX_RATE).head(1):
-        raise ValueError(f"a source would be repeated more than {MAX_RATE} times; lower its weight or the budget")
-    return rates
+    return weighted.select("source", "size", (F.col("weight") / F.lit(total["w"] or 1.0) * F.lit(want) / F.col("size")).alias("rate"))
+
+
+def draw(seed: int, source: Column, doc_id: Column, rate: Column) -> Column:
+    """Number of copies of a document at a mean of ``rate``."""
+    one = inverse_poisson(uniform(seed, source, doc_id), F.exp(-rate), rate)
+    parts = F.ceil(rate / PART).cast("int")
+    part = rate / parts
+    more = F.aggregate(
+        F.sequence(F.lit(1), parts), F.lit(0), lambda k, i: k + inverse_poisson(uniform(seed, source, doc_id, i), F.exp(-part), part)
+    )
+    return F.when(rate <= PART, one).otherwise(more)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, budget: float | None = None, seed: int = SEED) -> DataFrame:
@@ -74,11 +83,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     extra = [c for c in ("copy", "rate", "shuffle_key", "_rate", "_k") if c in docs.columns]
     docs = docs.drop(*extra)  # clashing names give way to the results
     rates = source_rates(docs.select("source", "text"), weights, alpha, budget)
-    rates = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.exp(-F.col("rate")).alias("_start"))
+    rates = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
     drawn = docs.join(rates, docs["source"].eqNullSafe(rates["_source"])).drop("_source")
-    u = uniform(seed, F.col("source"), F.col("doc_id"))
-    drawn = drawn.withColumn("_k", inverse_poisson(u, F.col("_start"), F.col("_rate"))).where("_k > 0")
+    drawn = drawn.withColumn("_k", draw(seed, F.col("source"), F.col("doc_id"), F.col("_rate"))).where("_k > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(seed + 1)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy")).cast("binary")))
     # The hash deals copies to partitions and orders them there: a global shuffle that needs no pass to sample bounds.
-    return keyed.withColumnRenamed("_rate", "rate").drop("_k", "_start").repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id")
+    return keyed.withColumnRenamed("_rate", "rate").drop("_k").repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id")
