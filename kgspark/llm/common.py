@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut, scratch_path
 
-__all__ = ["cut", "scratch_path", "table", "fold_of", "freeing_shuffles", "stage"]
+__all__ = ["cut", "scratch_path", "table", "fold_of", "freeing_shuffles", "small_batches", "stage"]
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -38,7 +39,19 @@ def freeing_shuffles(spark: SparkSession):
         spark.conf.set(_FREE, before)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """``cut`` that leaves no shuffle files behind: what is read later is the written table."""
-    with freeing_shuffles(df.sparkSession):
-        return cut(df, name)
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let batches of texts on their way to Python hold fewer rows; a smaller setting of the session's own stays."""
+    now = int(spark.conf.get(_BATCH, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(_BATCH, str(rows))
+
+
+def stage(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """``cut`` that leaves no shuffle files behind: what is read later is the written table.
+
+    ``few`` is for tables that are small beside the input, as ids and links are: one file per core at most instead of one per
+    shuffle partition. Every file costs the store calls of its own.
+    """
+    spark = df.sparkSession
+    with freeing_shuffles(spark):
+        return cut(df.coalesce(max(1, spark.sparkContext.defaultParallelism)) if few else df, name)

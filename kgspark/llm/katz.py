@@ -18,6 +18,7 @@ some mass is left for backing off.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, freeing_shuffles, scratch_path
+from .common import fold_of, freeing_shuffles, scratch_path, small_batches
 
 ORDER, FOLDS, HELD_OUT = 2, 7, 2
 # Counts up to this one are discounted.
 CUTOFF = 5
 # Bytes of text in a piece; n-grams that one task adds up.
-PIECE, RANGE = 8 << 20, 2_000_000
+PIECE, RANGE = 5 << 20, 1_500_000
 END, START = b"\n", b"\t"  # white space, so no word
 
 
@@ -53,13 +54,14 @@ def extend(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """An array byte plane by byte plane: what sorted or small numbers have in common lies together and compresses."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    """An array byte plane by byte plane, packed: what sorted or small numbers have in common lies together."""
+    z = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_RLE)
+    return z.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)) + z.flush()
 
 
 def whole(data: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data, -15), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def runs(hashes: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
@@ -107,7 +109,7 @@ class Level:
         return np.where(r > 0, self.discounted(r), lost if lost > 0 else 1.0) / total
 
 
-ENCODED = "piece bigint, ids array<bigint>, held array<boolean>, sizes binary, tokens binary, vocabulary binary, seen binary"
+ENCODED = "piece bigint, words bigint, ids array<bigint>, held array<boolean>, sizes binary, tokens binary, vocabulary binary, seen binary"
 
 
 def encode(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, piece: int = PIECE) -> DataFrame:
@@ -132,9 +134,9 @@ def encode(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, piece:
         context = TaskContext.get()
         number = ((context.partitionId() if context else 0) << 32) + row.number
         return pa.RecordBatch.from_arrays(
-            [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([planes(sizes)]),
+            [pa.array([number]), pa.array([len(flat)]), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([planes(sizes)]),
              pa.array([planes(codes)]), pa.array([planes(_hash(names)[order])]), pa.array([planes(seen)])],
-            names=["piece", "ids", "held", "sizes", "tokens", "vocabulary", "seen"],
+            names=["piece", "words", "ids", "held", "sizes", "tokens", "vocabulary", "seen"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,9 +370,10 @@ RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, trai
 def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, held_out: int = HELD_OUT, piece: int = PIECE, path: str | None = None) -> DataFrame:
     """Learn from all documents outside the held-out fold and score every document; tables stay below ``path``."""
     spark = docs.sparkSession
+    small_batches(spark)
     model = Exchange(spark, path or scratch_path(spark, "katz"))
     model.pieces = model.write(encode(docs, folds, held_out, piece), "pieces")
-    size = model.pieces.select((F.sum(F.octet_length("tokens")) / 4).alias("n")).first()["n"]
+    size = model.pieces.agg(F.sum("words").alias("n")).first()["n"]
     if size is None:
         return spark.createDataFrame([], RESULT)
     model.ranges = max(1, -(-int(size) // RANGE))
