@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,9 @@ from ..session import cut
 from .provenance import with_both_ends
 from .skew import ranked
 
+# Weighted edges of a tenant that one task may hold: some tens of MB.
+SMALL_EDGES = 200_000
+
 
 def undirected_weights(edges: DataFrame, concepts: DataFrame) -> DataFrame:
     """Weight 1 per typed edge on the unordered pair; self and dangling edges are skipped."""
@@ -120,14 +124,12 @@ def move_round(adjacent: DataFrame, state: DataFrame, round_: int) -> DataFrame:
     )
 
 
-def local_moving(
-    weights: DataFrame, max_passes: int = MAX_PASSES, min_gain: float = 1e-6
-) -> tuple[DataFrame, float]:
-    """Communities after local moving over all nodes of ``weights`` (``user_id, node, community``) and their gain.
+def local_moving(weights: DataFrame, max_passes: int = MAX_PASSES) -> tuple[DataFrame, DataFrame]:
+    """Communities after local moving over all nodes of ``weights`` (``user_id, node, community``), and the tenants
+    (``user_id``) whose modularity it raised.
 
-    Each pass also measures the assignment it started from, so progress costs no further joins. It stops when no
-    node wants to move, when the passes are used up, or when two passes running (both halves of the nodes had
-    their turn) raise the modularity, summed over tenants, by less than ``min_gain``. The best assignment is returned.
+    Every tenant is measured, stopped and given its best pass by itself: it leaves the loop when none of its nodes wants to
+    move or the passes are used up, whatever other tenants do.
     """
     adjacent = cut(
         weights.where("a <> b").select(
@@ -146,62 +148,137 @@ def local_moving(
         ),
         "louvain_state",
     )
-    best = None
-    quiet = 0
-    start = 0.0
+    passes, measures = [], None
     for round_ in range(max_passes):
         moved = cut(move_round(adjacent, state, round_), "louvain_round")
-        measured = moved.groupBy("user_id").agg(
-            F.sum("own_weight").alias("inside"), F.sum(F.col("degree") * F.col("own_sigma")).alias("squares"),
-            F.max("total").alias("total"), F.count_if("wants").alias("wants"),
-        ).join(loops, "user_id", "left").select(
-            "user_id", "wants",
-            ((F.col("inside") / 2 + F.coalesce("loops", F.lit(0.0))) / F.col("total")
-             - F.col("squares") / (4.0 * F.col("total") * F.col("total"))).alias("q"),
+        passes.append(moved)
+        # The pass measures the assignment it started from.
+        measured = cut(
+            moved.groupBy("user_id").agg(
+                F.sum("own_weight").alias("inside"), F.sum(F.col("degree") * F.col("own_sigma")).alias("squares"),
+                F.max("total").alias("total"), F.count_if("wants").alias("wants"),
+            ).join(loops, "user_id", "left").select(
+                "user_id", "wants", F.lit(round_).alias("pass"),
+                ((F.col("inside") / 2 + F.coalesce("loops", F.lit(0.0))) / F.col("total")
+                 - F.col("squares") / (4.0 * F.col("total") * F.col("total"))).alias("q"),
+            ),
+            "louvain_measure",
         )
-        wants, q = measured.agg(F.sum("wants"), F.sum("q")).head()
-        start = q if round_ == 0 else start
-        if best is None or q > best[0]:
-            quiet = 0 if best is None or q - best[0] >= min_gain else quiet + 1
-            best = (q, moved.select("user_id", "node", F.col("was").alias("community")))
-        else:
-            quiet += 1
-        if not wants or quiet >= 2:
+        measures = measured if measures is None else measures.unionByName(measured)
+        still = measured.where("wants > 0").select("user_id")
+        if not still.head(1):
+            break
+        state = moved.join(still, "user_id", "left_semi").select(*columns)
+    # The first of the best passes of each tenant, and whether it is better than where the tenant started.
+    best = cut(
+        measures.groupBy("user_id").agg(
+            F.max_by("pass", F.struct("q", -F.col("pass"))).alias("pass"), F.max("q").alias("q"),
+            F.max(F.when(F.col("pass") == 0, F.col("q"))).alias("start"),
+        ),
+        "louvain_best",
+    )
+    used = [r["pass"] for r in best.select("pass").distinct().collect()]  # at most ``max_passes``
+    chosen = [
+        passes[n].join(best.where(F.col("pass") == n).select("user_id"), "user_id", "left_semi")
+        .select("user_id", "node", F.col("was").alias("community")) for n in sorted(used)
+    ]
+    found = chosen[0]
+    for part in chosen[1:]:
+        found = found.unionByName(part)
+    return found, best.where(F.col("q") > F.col("start") + GAIN_EPSILON).select("user_id")
+
+
+def sequential_communities(ends: list[tuple[str, str, float]], max_levels: int, max_passes: int) -> dict[str, str]:
+    """Louvain over one small weighted graph, node by node in the order of their names; a community is named by its first node."""
+    names = sorted({n for a, b, _ in ends for n in (a, b)})
+    place = {n: i for i, n in enumerate(names)}
+    links: list[dict[int, float]] = [{} for _ in names]
+    loops = [0.0] * len(names)
+    for a, b, w in ends:
+        for x, y in ((place[a], place[b]), (place[b], place[a])):
+            links[x][y] = links[x].get(y, 0.0) + w
+    total, at = sum(w for _, _, w in ends), list(range(len(names)))
+    for _ in range(max_levels):
+        degree = [2 * loops[i] + sum(links[i].values()) for i in range(len(links))]
+        home, sigma, moved = list(range(len(links))), list(degree), False
+        for _ in range(max_passes):
+            quiet = True
+            for i, own in enumerate(list(home)):
+                into: dict[int, float] = {own: 0.0}
+                for j, w in links[i].items():
+                    into[home[j]] = into.get(home[j], 0.0) + w
+                sigma[own] -= degree[i]
+                gain = lambda c, i=i, into=into: into[c] / total - sigma[c] * degree[i] / (2 * total * total)
+                best = max(sorted(into), key=gain)
+                target = best if gain(best) > gain(own) + GAIN_EPSILON else own
+                sigma[target] += degree[i]
+                if target != own:
+                    home[i], quiet, moved = target, False, True
+            if quiet:
+                break
+        if not moved:
             break
-        state = moved.select(*columns)
-    return best[1], best[0] - start
+        new = {c: n for n, c in enumerate(dict.fromkeys(home))}
+        at = [new[home[i]] for i in at]
+        up: list[dict[int, float]] = [{} for _ in new]
+        inside = [0.0] * len(new)
+        for i, near in enumerate(links):
+            c = new[home[i]]
+            inside[c] += loops[i]
+            for j, w in near.items():
+                d = new[home[j]]
+                if c == d:
+                    inside[c] += w / 2
+                else:
+                    up[c][d] = up[c].get(d, 0.0) + w
+        links, loops = up, inside
+    first: dict[int, str] = {}
+    return {n: first.setdefault(at[i], n) for i, n in enumerate(names)}
+
+
+def small_communities(weights: DataFrame, max_levels: int, max_passes: int) -> DataFrame:
+    """``user_id, node, community`` of tenants whose edges are few: a tenant is one group of bounded size."""
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        found = sequential_communities(list(zip(rows["a"], rows["b"], rows["weight"])), max_levels, max_passes)
+        return pd.DataFrame({"user_id": rows["user_id"].iloc[0], "node": list(found), "community": list(found.values())})
+
+    return weights.groupBy("user_id").applyInPandas(solve, "user_id string, node string, community string")
 
 
 def louvain(edges: DataFrame, concepts: DataFrame, max_levels: int = MAX_LEVELS, max_passes: int = MAX_PASSES,
-            min_gain: float = 1e-6) -> DataFrame:
-    """Community per concept: ``user_id, concept_id, community``. Concepts without edges stay alone."""
+            small_edges: int = SMALL_EDGES) -> DataFrame:
+    """Community per concept: ``user_id, concept_id, community``. Concepts without edges stay alone.
+
+    A tenant of at most ``small_edges`` weighted edges is clustered node by node in one task, many tenants at a time; larger ones
+    in parallel passes over all their nodes. Either way the outcome for a tenant depends on its own graph alone.
+    """
     weights = cut(undirected_weights(edges, concepts), "louvain_weights")
     placed = concepts.select("user_id", F.col("concept_id").alias("node"), F.col("concept_id").alias("community"))
-    placed = cut(placed, "louvain_placed")
-    level = weights
+    large = cut(weights.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small_edges).select("user_id"), "louvain_large")
+    few = small_communities(weights.join(large, "user_id", "left_anti"), max_levels, max_passes)
+    few = few.select("user_id", F.col("node").alias("community"), F.col("community").alias("parent"))
+    placed = cut(_lift(placed, few), "louvain_placed")
+    level = weights.join(large, "user_id", "left_semi")
     for _ in range(max_levels):
-        if not level.where("a <> b").limit(1).count():
-            break
-        found, gain = local_moving(level, max_passes, min_gain)
-        if gain < min_gain:
+        if not level.where("a <> b").head(1):
             break
-        moved = cut(found, "louvain_level")
-        nodes, groups = moved.agg(
-            F.count(F.lit(1)), F.count_distinct("user_id", "community")
-        ).head()
-        if nodes == groups:
+        found, better = local_moving(level, max_passes)
+        moved = cut(found.join(better, "user_id", "left_semi"), "louvain_level")
+        if not moved.head(1):
             break
         up = moved.select("user_id", F.col("node").alias("community"), F.col("community").alias("parent"))
-        placed = cut(
-            placed.join(up, ["user_id", "community"], "left").select(
-                "user_id", "node", F.coalesce("parent", "community").alias("community")
-            ),
-            "louvain_placed",
-        )
-        level = cut(aggregate_level(level, moved), "louvain_weights")
+        placed = cut(_lift(placed, up), "louvain_placed")
+        level = cut(aggregate_level(level.join(better, "user_id", "left_semi"), moved), "louvain_weights")
     return placed.select("user_id", F.col("node").alias("concept_id"), "community")
 
 
+def _lift(placed: DataFrame, up: DataFrame) -> DataFrame:
+    return placed.join(up, ["user_id", "community"], "left").select(
+        "user_id", "node", F.coalesce("parent", "community").alias("community")
+    )
+
+
 # --- read models over a given assignment ----------------------------------------------------------
 def session_ranks(assignment: DataFrame) -> DataFrame:
     """``user_id, community, size, first_member, partition_id, label``: largest cluster first."""

@@ -1,5 +1,8 @@
 """Literal cases and properties of the operators."""
 
+import itertools
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -202,7 +205,7 @@ def test_louvain_beats_single_nodes(spark):
 
     v = Views(spark, "/root/testdata/sf0.001")
     weights = K.undirected_weights(v.b_edges, v.b_concepts)
-    found = K.louvain(v.b_edges, v.b_concepts, min_gain=1e-2)
+    found = K.louvain(v.b_edges, v.b_concepts)
     assert found.count() == v.b_concepts.count() == found.select("user_id", "concept_id").distinct().count()
     single = v.b_concepts.select("user_id", F.col("concept_id").alias("node"), F.col("concept_id").alias("community"))
     q = {r["user_id"]: r["modularity"] for r in K.modularity(weights, found.withColumnRenamed("concept_id", "node")).collect()}
@@ -210,6 +213,47 @@ def test_louvain_beats_single_nodes(spark):
     assert all(q[u] > base[u] for u in base)
 
 
+@pytest.mark.parametrize("small_edges", [200_000, 0])
+def test_louvain_of_a_tenant_does_not_depend_on_its_neighbours(spark, small_edges):
+    rng = random.Random(8)
+    rows, nodes = [], []
+    for user, size in (("u", 30), ("v", 40), ("w", 5)):
+        nodes += [(user, f"{user}{i}", f"{user}{i}", 1) for i in range(size)]
+        rows += [(user, f"{user}|{i}", f"{user}{rng.randrange(size)}", f"{user}{rng.randrange(size)}", "t", 1) for i in range(2 * size)]
+
+    def solve(users):
+        concepts = frame(spark, [n for n in nodes if n[0] in users], TABLES["concepts"])
+        found = K.louvain(frame(spark, [r for r in rows if r[0] in users], TABLES["edges"]), concepts, max_passes=4, small_edges=small_edges)
+        return {u: sorted((r["concept_id"], r["community"]) for r in found.where(F.col("user_id") == u).collect()) for u in users}
+
+    together = solve("uvw")
+    assert solve("u")["u"] == together["u"] and [len(together[u]) for u in "uvw"] == [30, 40, 5]
+
+
+def test_louvain_is_optimal_on_small_graphs():
+    rng = random.Random(2)
+
+    def quality(ends, home):
+        total = sum(w for *_, w in ends)
+        degree = {}
+        for a, b, w in ends:
+            degree[a], degree[b] = degree.get(a, 0) + w, degree.get(b, 0) + w
+        inside = sum(w for a, b, w in ends if home[a] == home[b])
+        squares = sum(sum(d for n, d in degree.items() if home[n] == c) ** 2 for c in set(home.values()))
+        return inside / total - squares / (4 * total * total)
+
+    for _ in range(40):
+        pairs = {tuple(sorted(rng.sample("abcdefgh", 2))) for _ in range(rng.randint(2, 14))}
+        ends = [(a, b, float(rng.randint(1, 3))) for a, b in sorted(pairs)]
+        home = K.sequential_communities(ends, 64, 100)
+        assert all(home[c] == c for c in set(home.values()))
+        q = quality(ends, home)
+        # No node gains by moving to a neighbouring community after the first level, nor by standing alone at the start.
+        assert q >= quality(ends, {n: n for n in home}) - 1e-12
+        brute = max(quality(ends, dict(zip(home, cut, strict=True))) for cut in itertools.islice(itertools.product(range(3), repeat=len(home)), 7000))
+        assert q >= 0.6 * brute - 1e-9
+
+
 # --- change feed ----------------------------------------------------------------------------------
 def test_applying_a_delta_twice_changes_nothing_more(spark):
     edge = "user_id string, edge_id string, source_concept_id string, target_concept_id string, original_type string, current_type string, created_at bigint"

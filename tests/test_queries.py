@@ -4,9 +4,10 @@ import pytest
 from check_queries import differences, duck
 
 import __spark_entry__ as entry
+from kgspark.checks import load
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load().QUERIES, load().ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -27,3 +28,4 @@ def test_twin(spark, con, name):
 def test_every_twin_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {"louvain_partition"}
+    assert QUERIES.keys() <= entry.queries().keys() and ORACLES.keys() <= entry.oracle_sql().keys()
