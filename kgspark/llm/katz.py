@@ -32,7 +32,7 @@ ORDER, FOLDS, HELD_OUT = 2, 7, 2
 # Counts up to this one are discounted.
 CUTOFF = 5
 # Bytes of text in a piece; n-grams that one task adds up.
-PIECE, RANGE = 5 << 20, 1_500_000
+PIECE, RANGE = 8 << 20, 1_500_000
 END, START = b"\n", b"\t"  # white space, so no word
 
 
@@ -167,7 +167,6 @@ class Piece:
         self.words = whole(row["tokens"], np.int32).astype(np.int64)
         self.held = np.repeat(np.array(row["held"], bool), self.sizes)
         self.vocabulary = whole(row["vocabulary"], np.uint64)
-        self.seen = whole(row["seen"], np.uint32)
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
         self.answers, self.levels = answers, levels
         self.order = np.argsort(self.vocabulary)
@@ -317,7 +316,7 @@ class Exchange:
         for name, df in self.answered:
             part = df.where("kind = 'answer'").select("piece", F.lit(name).alias("name"), "range", "told")
             told = part if told is None else told.unionByName(part)
-        return self.pieces.groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(run, shape)
+        return self.pieces.drop("seen", "words").groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(run, shape)
 
     def settle(self, asked: DataFrame, adder, name: str) -> DataFrame:
         told = self.write(asked.groupBy("range").applyInArrow(adder, TOLD), name, "kind")
