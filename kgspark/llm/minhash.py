@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_batches, stage
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
 # At similarity 0.8 a pair shares no band with probability (1 - 0.8**5)**25, about 5e-5.
 BANDS, ROWS = 25, 5
 # Characters of text whose shingles are in memory at once; members of a bucket compared at once.
-CHUNK, BLOCK = 2 << 20, 256
+CHUNK, BLOCK = 1 << 20, 256
 # So many candidate ids (8 bytes each) may travel to all tasks; beyond it they are joined.
 BROADCAST_IDS = 4_000_000
 
@@ -82,10 +82,10 @@ def probminhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs:
     first = np.full(docs * registers, np.inf)
     kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     active, time, turn = np.arange(len(doc)), np.zeros(len(doc)), 0
-    latest = np.full(docs, np.inf)
+    latest, source = np.full(docs, np.inf), mixed(element)
     while len(active):
         turn += 1
-        draw = mixed(element[active] + np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        draw = mixed(source[active] + np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         # In (0, 1), so that a waiting time is positive and finite.
         u = ((draw >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
         time = time - np.log(u) / weight[active]
@@ -209,21 +209,22 @@ def _numbered(members: DataFrame, block: int) -> DataFrame:
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, n_shingles): one row per row of ``docs``."""
+    small_batches(docs.sparkSession)
     signed = stage(signatures(docs, bands, rows, words), "signatures")
     real = signed.where("doc_id IS NOT NULL AND n > 0")
     same = ["n", "d1", "d2"]
     sets = real.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    sets = stage(sets, "shingle_classes")
+    sets = stage(sets, "shingle_classes", few=True)
     # Buckets with company. The smallest id of a bucket and a digest of its members are combined aggregates.
     placed = sets.select(F.explode("bands").alias("key"), "node", "n")
     buckets = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
     buckets = buckets.where("size > 1").groupBy("size", "hub", "who").agg(F.min("key").alias("key"))
-    members = stage(placed.join(buckets.select("key", "size", "hub"), "key").select("key", "size", "hub", "node", "n"), "buckets")
+    members = stage(placed.join(buckets.select("key", "size", "hub"), "key").select("key", "size", "hub", "node", "n"), "buckets", few=True)
     twins = real.join(sets.where("copies > 1").select(*same, "node"), same).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     edges = twins
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     if members.head(1):
-        wanted = stage(wanted, "wanted")
+        wanted = stage(wanted, "wanted", few=True)
         few = wanted.count() <= BROADCAST_IDS
         chosen = docs.select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
         # Rows that share an id are told apart by their sets: the smallest id stands for exactly one set.
@@ -234,20 +235,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, b
         pairs = near.join(found, "node").withColumnRenamed("set", "one").join(found.select(F.col("node").alias("hub"), F.col("set").alias("two")), "hub")
         both = F.size(F.array_intersect("one", "two"))
         linked = pairs.where(both >= threshold * (F.size("one") + F.size("two") - both)).select(F.col("node").alias("u"), F.col("hub").alias("v"))
-        stars = stage(linked, "star_links")
+        stars = stage(linked, "star_links", few=True)
         low = components(stars)
         named = members.join(low.select(F.col("u").alias("node"), F.col("v").alias("low")), "node", "left").withColumn("low", F.coalesce("low", "node"))
         mixed_ = named.where("size > 2").groupBy("key").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a <> b").select("key")
-        open_ = stage(members.join(mixed_, "key").select("key", "size", "node"), "open_buckets")
+        open_ = stage(members.join(mixed_, "key").select("key", "size", "node"), "open_buckets", few=True)
         edges = edges.unionByName(stars)
         if open_.head(1):
             blocks = _numbered(open_, block).join(found, "node")
             keys = ["key", "i", "j"]
-            blocks = stage(blocks, "bucket_blocks")
+            blocks = stage(blocks, "bucket_blocks", few=True)
             left = blocks.select("key", F.col("b").alias("i"), F.explode(F.sequence(F.col("b"), F.col("parts") - 1)).alias("j"), "node", "set")
             right = blocks.select(F.col("key").alias("key"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"), F.col("node").alias("node"), F.col("set").alias("set"))
             rest = left.groupBy(*keys).cogroup(right.groupBy(*keys))
-            edges = edges.unionByName(stage(rest.applyInArrow(_block_links(threshold), "u bigint, v bigint"), "block_links"))
+            edges = edges.unionByName(stage(rest.applyInArrow(_block_links(threshold), "u bigint, v bigint"), "block_links", few=True))
     low = components(edges).select(F.col("u").alias("doc_id"), F.col("v").alias("low"))
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(low, "doc_id", "left").select(
         "doc_id", F.coalesce("low", "doc_id").alias("class_id"), "n_shingles"
@@ -265,12 +266,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one with the smallest id."""
-    found = stage(classes(docs, threshold), "classes")
-    gone = stage(found.where("doc_id <> class_id").select("doc_id").distinct(), "gone")
+    found = stage(classes(docs, threshold), "classes", few=True)
+    gone = stage(found.where("doc_id <> class_id").select("doc_id").distinct(), "gone", few=True)
     few = gone.count() <= BROADCAST_IDS
     left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
     twice = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not twice.head(1):
         return left
-    twice = stage(twice, "twice")
+    twice = stage(twice, "twice", few=True)
     return left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
