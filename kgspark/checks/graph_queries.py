@@ -69,7 +69,7 @@ def concept_extractors(v):
 def inferred(v):
     """Every contradiction of graph B counts as endorsed structurally, every generic relation thematically."""
     return v.b_edges.where("original_type <> 'affects'").select(
-        "user_id", "edge_id", F.substring("target_concept_id", 3, 20).cast("bigint").alias("chat_inference_id"),
+        "user_id", "edge_id", F.substr("target_concept_id", F.lit(3)).cast("bigint").alias("chat_inference_id"),
         F.expr("CASE original_type WHEN 'contradicts' THEN 'structural_inference' ELSE 'thematic_inference' END").alias("mode"),
         F.lit(None).cast("string").alias("snapshot_id"), "created_at",
     )

@@ -54,6 +54,20 @@ def stream_ingest(v):
     return store.read("edges").select("user_id", "source_concept_id", "original_type", "target_concept_id")
 
 
+@query("stream_ingest_notes", twin(
+    """SELECT source AS user_id, doc_id AS braindump_id, text AS verbatim, CASE WHEN doc_id % 10 = 3 THEN 'failed' ELSE 'complete' END AS ingest_status,
+       1 AS ingest_attempts, CASE WHEN doc_id % 10 = 3 THEN 'not_json' END AS reason FROM documents"""))
+def stream_ingest_notes(v):
+    """Notes of a stream in which each tenth extraction is broken: all are stored, with their status and the reason of a failure."""
+    store = GraphStore(v.spark, scratch_path(v.spark, "store"))
+    store.commit({"ontology": _ontology(v)})
+    payload = F.when(F.col("braindump_id") % 10 == 3, "not json").otherwise(F.col("payload"))
+    raw = _raw(v).select("braindump_id", "user_id", "verbatim", payload.alias("payload"))
+    finish(start_ingest(arriving(v, raw, "notes", 2), store, scratch_path(v.spark, "notes-checkpoint"), lambda batch: NOW))
+    notes = store.read("braindumps").select("user_id", "braindump_id", "verbatim", "ingest_status", "ingest_attempts")
+    return notes.join(store.read("ingest_rejects").select("user_id", "braindump_id", "reason"), ["user_id", "braindump_id"], "left")
+
+
 @query("stream_retry", twin(
     """SELECT 'events' AS user_id, braindump_id, coalesce(f.outcome, 'pending') AS ingest_status, coalesce(f.attempt, l.attempt) AS ingest_attempts FROM
        (SELECT braindump_id, max(attempt) AS attempt FROM attempts GROUP BY 1) l
@@ -63,7 +77,7 @@ def stream_retry(v):
     """Attempts arriving in time order, folded with state; the last row per note is its status."""
     rows = v.attempts.select("attempt", F.lit("events").alias("user_id"), "braindump_id", "outcome", "attempted_at")
     out, check = scratch_path(v.spark, "retry"), scratch_path(v.spark, "retry-checkpoint")
-    states = retry_states(arriving(v, rows, "attempts", 3), timeouts=False)
+    states = retry_states(arriving(v, rows, "attempts", 3))
 
     def keep(batch, batch_id):
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/b={batch_id}")

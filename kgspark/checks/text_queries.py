@@ -147,7 +147,7 @@ _CLUSTERS = {
 def grounded_context(v):
     """Prompts from the nearest notes, the seeds' edge paths and a given clustering."""
     place = v.a_concepts.select(
-        "user_id", (F.substring("concept_id", 3, 20).cast("bigint") % 3).alias("partition_id"), "concept_id", "label"
+        "user_id", (F.substr("concept_id", F.lit(3)).cast("bigint") % 3).alias("partition_id"), "concept_id", "label"
     ).withColumn("cluster_label", F.concat(F.lit("Group "), "partition_id"))
     return C.grounded_context(
         v.a_queries, retrieval(v, floor=1.5).notes, retrieval(v).paths, v.a_braindumps, place

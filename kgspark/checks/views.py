@@ -90,7 +90,7 @@ class Views:
             .select(
                 "user_id",
                 F.concat(F.lit("c:"), F.col("o_custkey")).alias("source"),
-                F.lower(F.replace(F.substring("o_orderpriority", 3, 100), F.lit(" "), F.lit("_"))).alias("type"),
+                F.lower(F.replace(F.substr("o_orderpriority", F.lit(3)), F.lit(" "), F.lit("_"))).alias("type"),
                 F.concat(F.lit("p:"), F.col("l_partkey")).alias("target"),
                 F.col("o_orderkey").alias("note"),
                 epoch(F.col("o_orderdate")).alias("asserted_at"),
@@ -168,7 +168,7 @@ class Views:
 
     @stored
     def a_concept_embeddings(self) -> DataFrame:
-        number = F.substring("concept_id", 3, 20).cast("bigint")
+        number = F.substr("concept_id", F.lit(3)).cast("bigint")
         return (
             self.a_concepts.select("user_id", "concept_id", (number % self._count("embeddings")).alias("vec_id"))
             .join(self._vectors(), "vec_id")
@@ -320,7 +320,7 @@ class Views:
     @cached_property
     def assignment(self) -> DataFrame:
         return self.b_concepts.select(
-            "user_id", "concept_id", F.pmod(F.substring("concept_id", 3, 20).cast("bigint"), F.lit(8)).alias("community")
+            "user_id", "concept_id", F.pmod(F.substr("concept_id", F.lit(3)).cast("bigint"), F.lit(8)).alias("community")
         )
 
     @cached_property
@@ -331,7 +331,7 @@ class Views:
             F.min(F.struct("edge_id", "source_concept_id", "original_type")).alias("a"),
             F.max(F.struct("edge_id", "source_concept_id", "original_type")).alias("b"),
         )
-        number = F.substring("target_concept_id", 3, 20).cast("bigint")
+        number = F.substr("target_concept_id", F.lit(3)).cast("bigint")
         return left.select(
             "user_id", number.alias("proposal_id"),
             F.col("a.source_concept_id").alias("source_concept_id"),

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..schema import SNIPPET_CHARS
 
+# Fixed value: the latest and earliest date of the client's calendar, in seconds from 1970.
+SHOWN_SECONDS = 8_640_000_000_000
+
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -27,10 +30,10 @@ def snippet(text: Column, length: int = SNIPPET_CHARS) -> Column:
 
 
 def month_year(epoch: Column) -> Column:
-    """``Month YYYY`` in UTC; empty for a missing or unusable epoch."""
-    usable = epoch.isNotNull() & (F.abs(epoch) <= F.lit(200_000_000_000))
+    """``Month YYYY`` in UTC; empty for a missing epoch or one beyond the dates that can be shown."""
+    usable = epoch.isNotNull() & (F.abs(epoch) <= F.lit(SHOWN_SECONDS))
     stamp = F.when(usable, F.timestamp_add("SECOND", epoch, F.expr(_EPOCH)))
-    return F.coalesce(F.date_format(stamp, "MMMM yyyy"), F.lit(""))
+    return F.coalesce(F.date_format(stamp, "MMMM y"), F.lit(""))
 
 
 def epoch(stamp: Column) -> Column:
@@ -52,5 +55,9 @@ def modularity_gain(weight_into: Column, community_degree: Column, degree: Colum
 
 
 def edge_key(source: Column, type_slug: Column, target: Column) -> Column:
-    """Edge id = its identity key, so writers need no shared counter and replays are idempotent."""
-    return F.concat_ws("|", source, type_slug, target)
+    """Edge id = its identity key, so writers need no shared counter and replays are idempotent.
+
+    A bar inside a part is escaped, so different parts never make the same key.
+    """
+    part = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.concat_ws("|", part(source), part(type_slug), part(target))

@@ -12,10 +12,10 @@ from ..operators.accrete import accrete_edges, first_labels, outcome_counts
 from ..operators.identity import resolve_identity
 from ..operators.provenance import add_provenance
 from ..operators.retract import retract
-from ..schema import ACCRETION_SIMILARITY, DEFAULT_DIM, SUGGESTION_FLOOR_SIMILARITY
+from ..schema import ACCRETION_SIMILARITY, DEFAULT_DIM, SUGGESTION_FLOOR_SIMILARITY, empty
 from ..session import cut, spread
 from ..sources.extraction import parse_extractions
-from ..sources.notes import correct_notes
+from ..sources.notes import correct_notes, settle_notes
 
 NOTE = ["user_id", "braindump_id"]
 
@@ -31,7 +31,8 @@ def batch_ingest(
 ) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
     """Ingest ``raw(user_id, braindump_id, verbatim, payload)``: (tables after, counters per note, rejected notes).
 
-    Notes count in id order. What a note asserted before is retracted first, so ingesting again replaces it.
+    Notes count in id order. What a note asserted before is retracted first, so ingesting again replaces it. Every note
+    is in ``braindumps`` afterwards, complete or failed; the reasons of failed ones are kept in ``ingest_rejects``.
     """
     embed = embed or (lambda t: text_vector(t, dim))
     parsed = parse_extractions(spread(raw))
@@ -63,6 +64,12 @@ def batch_ingest(
     out["braindump_embeddings"] = out["braindump_embeddings"].unionByName(
         notes.select(*NOTE, embed(F.col("verbatim")).alias("embedding"))
     )
+    out["braindumps"] = settle_notes(out["braindumps"], raw.select(*NOTE, "verbatim"), rejects, at)
+    refused = tables.get("ingest_rejects")
+    refused = empty(raw.sparkSession, "ingest_rejects") if refused is None else refused
+    out["ingest_rejects"] = refused.join(raw.select(*NOTE), NOTE, "left_anti").select(*NOTE, "reason", "rejected_at").unionByName(
+        rejects.select(*NOTE, "reason", stamp.alias("rejected_at"))
+    )
     labelled = born.select("user_id", F.col("concept_id").alias("new_concept_id"), F.col("label").alias("new_concept_label"))
     out["merge_suggestions"] = out["merge_suggestions"].unionByName(
         identity.suggestions.join(labelled, ["user_id", "new_concept_id"]).select(

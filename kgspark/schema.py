@@ -52,6 +52,7 @@ TABLES = {
         "user_id string, braindump_id bigint, verbatim string, cleaned string, created_at bigint, "
         "ingest_status string, ingest_attempts int, last_attempt_at bigint"
     ),
+    "ingest_rejects": ("user_id string, braindump_id bigint, reason string, rejected_at bigint"),
     "ontology": (
         "user_id string, ontology_id bigint, slug string, label string, description string, created_at bigint"
     ),

@@ -42,6 +42,22 @@ def correct_notes(notes: DataFrame, corrections: DataFrame) -> DataFrame:
     )
 
 
+def settle_notes(notes: DataFrame, ingested: DataFrame, rejects: DataFrame, at: int) -> DataFrame:
+    """Notes after an ingest of ``ingested(user_id, braindump_id, verbatim)``: complete, or failed if among ``rejects``.
+
+    A note seen for the first time is added; a known one keeps its texts and counts one attempt more.
+    """
+    stamp = F.lit(at).cast("bigint")
+    tried = ingested.groupBy(*KEY).agg(F.min("verbatim").alias("arrived")).join(rejects.select(*KEY, "reason"), KEY, "left")
+    tried = tried.select(*KEY, "arrived", F.when(F.col("reason").isNull(), "complete").otherwise("failed").alias("outcome"))
+    fresh = {
+        "verbatim": F.coalesce("verbatim", "arrived"), "cleaned": F.coalesce("cleaned", F.lit("")), "created_at": F.coalesce("created_at", stamp),
+        "ingest_status": F.coalesce("outcome", "ingest_status"), "last_attempt_at": F.when(F.col("outcome").isNotNull(), stamp).otherwise(F.col("last_attempt_at")),
+        "ingest_attempts": F.coalesce("ingest_attempts", F.lit(0)) + F.col("outcome").isNotNull().cast("int"),
+    }
+    return notes.join(tried, KEY, "full").select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in notes.columns])
+
+
 def fold_attempts(attempts: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Status per note from its attempts in order: the first final outcome (complete or failed) decides.
 

@@ -19,6 +19,7 @@ _SORT = {
     "braindumps": "braindump_id", "ontology": "ontology_id", "concepts": "concept_id", "concept_provenance": "concept_id",
     "edges": "edge_id", "edge_provenance": "edge_id", "edge_type_history": "edge_id", "concept_embeddings": "concept_id",
     "braindump_embeddings": "braindump_id", "type_embeddings": "ontology_id",
+    "ingest_rejects": "braindump_id",
 }
 
 

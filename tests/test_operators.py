@@ -315,3 +315,58 @@ def test_alert_cases():
     for t, ((up, count, pct), want) in enumerate(cases):
         state, got = step(state, 1_000_000 + t, up, count, pct, 3600, 85)
         assert [kind for kind, *_ in got] == want
+
+
+def test_keys_and_requests_are_unambiguous(spark):
+    from kgspark.functions.scalars import edge_key, month_year
+    from kgspark.operators.queues import decide
+
+    parts = [("a|b", "c", "d"), ("a", "b|c", "d"), ("a\\", "b", "c|d"), ("a\\|b", "c", "d"), ("a", "b", "c")]
+    keys = [r[0] for r in frame(spark, parts, "s string, t string, o string").select(edge_key(F.col("s"), F.col("t"), F.col("o"))).collect()]
+    assert len(set(keys)) == len(parts) and keys[-1] == "a|b|c"
+    queue = frame(spark, [("u", 1, "pending"), ("u", 2, "pending")], "user_id string, item bigint, status string")
+    asked = frame(spark, [("u", 1, 5, "reject"), ("u", 1, 5, "approve"), ("u", 2, 1, "approve"), ("u", 2, 1, "approve")], "user_id string, item bigint, ord bigint, action string")
+    assert pairs(decide(asked, queue, "item"), "item", "action", "outcome") == [(1, "approve", "approve"), (1, "reject", "conflict"), (2, "approve", "approve"), (2, "approve", "conflict")]
+    shown = frame(spark, [(0,), (253_402_300_800,), (8_640_000_000_000,), (8_640_000_000_001,), (None,)], "e bigint").select(month_year(F.col("e"))).collect()
+    assert [r[0] for r in shown] == ["January 1970", "January 10000", "September 275760", "", ""]
+
+
+def test_retry_timer_runs_out(spark, tmp_path):
+    import time
+
+    from kgspark.streaming.retry import retry_states
+
+    ddl = "user_id string, braindump_id bigint, attempt int, outcome string, attempted_at bigint"
+    frame(spark, [("u", 1, 1, "transient", 10), ("u", 2, 1, "complete", 10)], ddl).coalesce(1).write.parquet(f"{tmp_path}/in")
+    seen = []
+
+    def keep(batch, _):
+        seen.extend(tuple(r) for r in batch.select("braindump_id", "ingest_status", "retry_due").collect())
+
+    states = retry_states(spark.readStream.schema(ddl).parquet(f"{tmp_path}/in"), interval=1)
+    q = states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="1 second").start()
+    try:
+        end = time.time() + 60
+        while (1, "pending", True) not in seen and time.time() < end and q.exception() is None:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert (1, "pending", False) in seen and (2, "complete", False) in seen
+    assert (1, "pending", True) in seen and (2, "complete", True) not in seen
+
+
+def test_a_streamed_note_is_stored_and_can_be_edited(spark, tmp_path):
+    from kgspark.plans.ingest import batch_ingest, edit_notes
+
+    tables = {n: empty(spark, n) for n in TABLES}
+    tables["ontology"] = frame(spark, [("u", 1, "helps", "Helps", "", 1)], TABLES["ontology"])
+    ddl = "user_id string, braindump_id bigint, verbatim string, payload string"
+    rows = [("u", 1, "one", '{"concepts":[{"label":"A"},{"label":"B"}],"edges":[{"source":"A","type":"helps","target":"B"}]}'), ("u", 2, "two", "broken")]
+    after, _, _ = batch_ingest(tables, frame(spark, rows, ddl), 7)
+    assert pairs(after["braindumps"], "braindump_id", "verbatim", "ingest_status", "ingest_attempts", "created_at") == [(1, "one", "complete", 1, 7), (2, "two", "failed", 1, 7)]
+    assert pairs(after["ingest_rejects"], "braindump_id", "reason", "rejected_at") == [(2, "not_json", 7)]
+    edit = frame(spark, [("u", 2, "new", "new", '{"concepts":[{"label":"A"}],"edges":[]}')], "user_id string, braindump_id bigint, verbatim string, cleaned string, payload string")
+    again, _, _ = edit_notes(after, edit, 9)
+    assert pairs(again["braindumps"], "braindump_id", "verbatim", "ingest_status", "ingest_attempts", "last_attempt_at") == [(1, "one", "complete", 1, 7), (2, "new", "complete", 2, 9)]
+    assert again["ingest_rejects"].count() == 0
+    assert pairs(again["concept_provenance"], "braindump_id") == [(1,), (1,), (2,)]
