@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import month_year
+from ..functions.scalars import id_list, month_year
 from ..operators import history as H
 from ..operators import lookups as L
 from ..operators import provenance as P
@@ -268,3 +268,15 @@ def embedding_upkeep(v):
     """SELECT user_id, braindump_id, strftime(make_timestamp(created_at * 1000000), '%B %Y') AS shown FROM a_note_ids"""))
 def month_year_query(v):
     return v.a_note_ids.select("user_id", "braindump_id", month_year(F.col("created_at")).alias("shown"))
+
+
+@query("json_id_lists", twin(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 5 = 1 THEN CAST(o_custkey AS VARCHAR) ELSE o_orderkey || ',' || o_custkey END AS ids FROM orders"""))
+def json_id_lists(v):
+    """Id lists kept as JSON text: of two ids, of one, or broken off, which reads as empty."""
+    key, other = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    text = (
+        F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("["), key, F.lit(","))).when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit("["), other, F.lit("]")))
+        .otherwise(F.concat(F.lit(" ["), key, F.lit(", "), other, F.lit("]")))
+    )
+    return v.table("orders").select("o_orderkey", F.array_join(id_list(text).cast("array<string>"), ",").alias("ids"))

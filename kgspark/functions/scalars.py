@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import SNIPPET_CHARS
+from ..schema import HOP, SNIPPET_CHARS
 
 # Fixed value: the latest and earliest date of the client's calendar, in seconds from 1970.
 SHOWN_SECONDS = 8_640_000_000_000
@@ -45,6 +45,21 @@ def now_seconds(at: int | None = None) -> Column:
     return F.lit(at).cast("bigint") if at is not None else F.unix_timestamp().cast("bigint")
 
 
+def id_list(text: Column) -> Column:
+    """Ids stored as a JSON array in a text; empty for anything that is not such an array."""
+    ids = F.from_json(text, "array<bigint>")
+    whole = F.startswith(F.ltrim(text), F.lit("[")) & ~F.exists(ids, lambda x: x.isNull())
+    return F.when(whole, ids).otherwise(F.array().cast("array<bigint>"))
+
+
+def hop_list(text: Column) -> Column:
+    """An evidence path stored as a JSON array of hops; empty for anything else or a hop with a missing field."""
+    hops = F.from_json(text, f"array<{HOP}>")
+    torn = F.exists(hops, lambda h: h.isNull() | h["source_concept_id"].isNull() | h["edge_type"].isNull() | h["target_concept_id"].isNull())
+    whole = F.startswith(F.ltrim(text), F.lit("[")) & ~torn
+    return F.when(whole, hops).otherwise(F.array().cast(f"array<{HOP}>"))
+
+
 def undirected_key(a: Column, b: Column) -> tuple[Column, Column]:
     return F.least(a, b), F.greatest(a, b)
 

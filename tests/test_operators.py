@@ -370,3 +370,30 @@ def test_a_streamed_note_is_stored_and_can_be_edited(spark, tmp_path):
     assert pairs(again["braindumps"], "braindump_id", "verbatim", "ingest_status", "ingest_attempts", "last_attempt_at") == [(1, "one", "complete", 1, 7), (2, "new", "complete", 2, 9)]
     assert again["ingest_rejects"].count() == 0
     assert pairs(again["concept_provenance"], "braindump_id") == [(1,), (1,), (2,)]
+
+
+def test_json_lists_and_the_clock(spark):
+    import time
+
+    from kgspark.functions.scalars import hop_list, id_list, now_seconds
+
+    texts = [("[1, 2]",), ("[]",), ("[1,",), ("{}",), ("[1, null]",), ('["x"]',), ("7",), (None,), ("",)]
+    assert [r[0] for r in frame(spark, texts, "t string").select(id_list(F.col("t"))).collect()] == [[1, 2], *[[]] * 8]
+    hop = '{"source_concept_id":"a","edge_type":"x","target_concept_id":"b"}'
+    got = frame(spark, [(f"[{hop}]",), ('[{"source_concept_id":"a"}]',), ("oops",), (None,)], "t string").select(hop_list(F.col("t"))).collect()
+    assert [[tuple(h) for h in r[0]] for r in got] == [[("a", "x", "b")], [], [], []]
+    at, now = frame(spark, [(1,)], "x int").select(now_seconds(5), now_seconds()).head()
+    assert at == 5 and abs(now - time.time()) < 600
+
+
+def test_silent_answers_carry_no_citations_and_notes_are_ranked(spark):
+    from kgspark.plans.chat import citations, gate
+    from kgspark.plans.retrieve import ranked as presented
+
+    key = "query_id bigint, user_id string"
+    answers = frame(spark, [(1, "u", "See [bd:4]."), (2, "u", "No notes behind this."), (3, "u", None), (4, "u", "By [cluster:1].")], f"{key}, answer string")
+    notes = frame(spark, [(1, "u", 4, 0.5), (1, "u", 3, 0.5), (1, "u", 9, 0.7), (3, "u", 4, 0.5), (4, "u", 4, 0.5)], f"{key}, braindump_id bigint, score double")
+    gated = gate(answers, notes)
+    assert pairs(gated, "query_id", "silent") == [(1, False), (2, True), (3, True), (4, True)]
+    assert pairs(citations(gated, notes), "query_id", "braindump_id") == [(1, 3), (1, 4), (1, 9)]
+    assert [r["braindump_id"] for r in presented(notes).where("query_id = 1").collect()] == [9, 3, 4]
