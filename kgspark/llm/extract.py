@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
 from .labelled_pages import PAGES
 
 # Content that is never text, comments and declarations, tags (quoted signs may hold ">"), runs of text.
@@ -153,6 +154,7 @@ def main_text(html: str | None, weights: dict[str, float]) -> tuple[str, float]:
 def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """page_id, url, text, n_chars and score of every page."""
     weights = weights or fit_weights()
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

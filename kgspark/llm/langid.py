@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 
-from .common import fold_of
+from .common import fold_of, small_batches
 
 ORDERS, BUCKETS, DIM = (2, 3, 4), 1 << 15, 16
 PER_LANG, MAX_LANGS = 500, 400
@@ -30,7 +30,7 @@ FOLDS, HELD_OUT = 4, 2
 # Share of right predictions that rejection may cost on the calibration sample, and the highest threshold it may set.
 LOSS, HIGHEST = 0.001, 0.5
 # Bytes of text whose n-grams are in memory at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 
 def subwords(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,6 +157,7 @@ ADDED = ("lang_pred", "score", "rejected", "held_out")
 
 def predict(docs: DataFrame, keep: list[str] | None = None, model: Model | None = None, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """``docs`` (or its columns ``keep``) with lang_pred, score, rejected and held_out."""
+    small_batches(docs.sparkSession)
     model = model or fit(docs, folds=folds, held_out=held_out)
     keep = [c for c in (keep or docs.columns) if c not in ADDED]
     flagged = docs.select(*dict.fromkeys(keep), F.col("text").alias("_text"), (fold_of("doc_id", folds) == held_out).alias("held_out"))

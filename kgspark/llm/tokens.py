@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 # Words remembered by one worker; when full, the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def public_path(name: str = "word_bpe_49k.json") -> str:
