@@ -220,8 +220,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, b
     buckets = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
     buckets = buckets.where("size > 1").groupBy("size", "hub", "who").agg(F.min("key").alias("key"))
     members = stage(placed.join(buckets.select("key", "size", "hub"), "key").select("key", "size", "hub", "node", "n"), "buckets", few=True)
-    twins = real.join(sets.where("copies > 1").select(*same, "node"), same).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    edges = twins
+    # Copies follow the document that stands for them; only those documents are linked.
+    twins = real.join(sets.where("copies > 1").select(*same, "node"), same).select("doc_id", "node").where("doc_id <> node").distinct()
+    edges = None
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     if members.head(1):
         wanted = stage(wanted, "wanted", few=True)
@@ -240,7 +241,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, b
         named = members.join(low.select(F.col("u").alias("node"), F.col("v").alias("low")), "node", "left").withColumn("low", F.coalesce("low", "node"))
         mixed_ = named.where("size > 2").groupBy("key").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a <> b").select("key")
         open_ = stage(members.join(mixed_, "key").select("key", "size", "node"), "open_buckets", few=True)
-        edges = edges.unionByName(stars)
+        edges = stars
         if open_.head(1):
             blocks = _numbered(open_, block).join(found, "node")
             keys = ["key", "i", "j"]
@@ -249,10 +250,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, b
             right = blocks.select(F.col("key").alias("key"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"), F.col("node").alias("node"), F.col("set").alias("set"))
             rest = left.groupBy(*keys).cogroup(right.groupBy(*keys))
             edges = edges.unionByName(stage(rest.applyInArrow(_block_links(threshold), "u bigint, v bigint"), "block_links", few=True))
-    low = components(edges).select(F.col("u").alias("doc_id"), F.col("v").alias("low"))
-    return signed.select("doc_id", F.col("n").alias("n_shingles")).join(low, "doc_id", "left").select(
-        "doc_id", F.coalesce("low", "doc_id").alias("class_id"), "n_shingles"
-    )
+    # A row that repeats an id with another text makes its sets one class as well.
+    if _repeats(signed):
+        twice = twins.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+        edges = twice if edges is None else edges.unionByName(twice)
+        twins = twins.groupBy("doc_id").agg(F.min("node").alias("node"))
+    named = signed.select("doc_id", F.col("n").alias("n_shingles")).join(twins, "doc_id", "left").withColumn("node", F.coalesce("node", "doc_id"))
+    if edges is None:
+        return named.select("doc_id", F.col("node").alias("class_id"), "n_shingles")
+    low = components(edges).select(F.col("u").alias("node"), F.col("v").alias("low"))
+    return named.join(low, "node", "left").select("doc_id", F.coalesce("low", "node").alias("class_id"), "n_shingles")
 
 
 def _repeats(signed: DataFrame) -> bool:

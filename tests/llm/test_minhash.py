@@ -82,6 +82,13 @@ def test_deduplicate_and_odd_tables(spark):
     assert deduplicate(empty).count() == near_duplicates(empty).count() == 0
 
 
+def test_one_id_with_several_texts_joins_their_classes(spark):
+    rows = [(5, "one two three four five six"), (5, "seven eight nine ten eleven"), (5, "alone"), (3, "one two three four five six"), (2, "seven eight nine ten eleven"), (9, "else")]
+    got = rows_of(near_duplicates(documents(spark, rows)), "doc_id", "class_id")
+    assert got == [(2, 2), (3, 2), (5, 2), (5, 2), (5, 2), (9, 9)]
+    assert sorted(r["doc_id"] for r in deduplicate(documents(spark, rows)).collect()) == [2, 9]
+
+
 def test_shingles_by_hand():
     doc, element, count = shingles(["a b c d e a b c d e a", None, "a b", "a b", "A  b\nc d e"])
     assert list(np.bincount(doc, minlength=5)) == [5, 0, 1, 1, 1]
