@@ -148,8 +148,40 @@ def _meeting(axes: dict[int, np.ndarray], threshold: float):
     return run
 
 
+def _placing(cuts: np.ndarray, parts: np.ndarray | None = None, reach: float = 0.0):
+    """Tile of every row by a binary search in the sorted cuts: row counts by tile or, given the parts of each tile, the rows with the
+    numbers of their part (``t``) and of the first and last part that may hold partners (``a``, ``z``).
+    """
+    if parts is not None:
+        low, high = np.append(-np.inf, cuts), np.append(cuts, np.inf)
+        # Tiles along the angle: those that may hold partners of one tile are neighbours in a row.
+        last = np.searchsorted(low, high + reach + SLACK, "right") - 1
+        start = np.searchsorted(last, np.arange(len(low)), "left")
+        base = np.append(0, np.cumsum(parts))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = np.zeros(len(cuts) + 1, np.int64)
+        for batch in batches:
+            sizes += np.bincount(np.searchsorted(cuts, batch.column("angle").to_numpy(), "right"), minlength=len(sizes))
+        t = np.flatnonzero(sizes)
+        yield pa.RecordBatch.from_pydict({"t": t, "n": sizes[t]})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = np.searchsorted(cuts, batch.column("angle").to_numpy(), "right")
+            part = base[t] + batch.column("h").to_numpy() % parts[t]
+            more = {"t": part, "a": base[start[t]], "z": base[last[t] + 1] - 1}
+            names = ["embedding", "id", "n", "dim"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(v.astype(np.int32)) for v in more.values())], names=[*names, *more])
+
+    return count if parts is None else place
+
+
 def _tiles(vectors: DataFrame, axes: dict[int, np.ndarray], threshold: float, tile: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides of all meetings: keyed by (dim, first tile, second tile)."""
+    """Both sides of all meetings: keyed by (dim, first tile, second tile).
+
+    Equal angles share a tile whatever their number, so a tile of more than two tiles' rows is split by a hash of the id.
+    """
     reach = math.acos(threshold)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     sizes = {r["dim"]: r["n"] for r in vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -165,18 +197,16 @@ def _tiles(vectors: DataFrame, axes: dict[int, np.ndarray], threshold: float, ti
             lefts.append(one)
             rights.append(one)
             continue
-        cuts = sorted(set(turned.approxQuantile("angle", [k / count for k in range(1, count)], 0.1 / count)))
-        low, high = [-math.inf, *cuts], [*cuts, math.inf]
-        # Tiles along the angle: those that may hold partners of one tile are neighbours in a row.
-        last = [max(j for j in range(len(low)) if low[j] <= high[i] + reach + SLACK) for i in range(len(low))]
-        start = [min(i for i in range(len(low)) if high[i] >= low[j] - reach - SLACK) for j in range(len(low))]
-        place = F.lit(0)
-        for c in cuts:
-            place = place + (F.col("angle") >= c).cast("int")
-        placed = turned.withColumn("t", place).drop("angle")
-        of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("t") + 1)
-        lefts.append(placed.withColumn("j", F.explode(F.sequence("t", of(last)))).withColumnRenamed("t", "i"))
-        rights.append(placed.withColumn("i", F.explode(F.sequence(of(start), F.col("t")))).withColumnRenamed("t", "j"))
+        cuts = np.unique(turned.approxQuantile("angle", [k / count for k in range(1, count)], 0.1 / count))
+        held = np.zeros(len(cuts) + 1, np.int64)
+        for r in turned.select("angle").mapInArrow(_placing(cuts), "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect():
+            held[r["t"]] = r["n"]
+        parts = np.where(held > 2 * tile, -(-held // tile), 1)
+        hashed = turned.withColumn("h", F.pmod(F.xxhash64("id"), F.lit((1 << 31) - 1)))
+        schema = f"embedding {vectors.schema['embedding'].dataType.simpleString()}, id bigint, n bigint, dim int, t int, a int, z int"
+        placed = hashed.mapInArrow(_placing(cuts, parts, reach), schema)
+        lefts.append(placed.withColumn("j", F.explode(F.sequence("t", "z"))).withColumnRenamed("t", "i").drop("a", "z"))
+        rights.append(placed.withColumn("i", F.explode(F.sequence("a", "t"))).withColumnRenamed("t", "j").drop("a", "z"))
     left, right = lefts[0], rights[0]
     for a, b in zip(lefts[1:], rights[1:], strict=True):
         left, right = left.unionByName(a), right.unionByName(b)

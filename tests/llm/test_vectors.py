@@ -3,10 +3,11 @@ import random
 import numpy as np
 import pytest
 from helpers import VECTORS, rows_of
+from pyspark.sql import functions as F
 
 from kgspark.llm.components import components
 from kgspark.llm.kdtree import KDTree, exact_type, search, top_k
-from kgspark.llm.vector_links import links, tile_links, unit
+from kgspark.llm.vector_links import _tiles, links, principal_axes, tile_links, unit
 
 
 def planted(n, d, seed=1, groups=6, size=8):
@@ -61,6 +62,27 @@ def test_links_of_odd_tables(spark):
     assert {r["component_id"] for r in hot} == {3} and len({r["n_links"] for r in hot}) == 1 and hot[0]["n_links"] >= 29
 
 
+def test_hundreds_of_tiles(spark):
+    x = np.random.default_rng(5).normal(size=(820, 2))
+    near = unit(x) @ unit(x).T >= 0.999
+    want = {i: int(n) - 1 for i, n in enumerate(near.sum(axis=1))}
+    low = np.arange(len(x))
+    while (now := np.where(near, low, len(x)).min(axis=1)).tolist() != low.tolist():
+        low = now
+    got = links(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>"), 0.999, tile=2).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == want
+    assert {r["vec_id"]: r["component_id"] for r in got} == dict(enumerate(low.tolist()))
+
+
+def test_equal_angles_do_not_share_one_tile(spark):
+    x = [[1.0 * k, 2.0 * k, 0.5 * k] for k in range(1, 81)] + planted(60, 3, seed=9).tolist()
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x)], VECTORS)
+    vectors = df.select("embedding", F.col("vec_id").alias("id"), F.lit(1).cast("bigint").alias("n"), F.size("embedding").alias("dim"))
+    for side in _tiles(vectors, principal_axes(vectors), 0.9, 8):
+        assert max(r["count"] for r in side.groupBy("dim", "i", "j").count().collect()) <= 24
+    assert sorted(tuple(r) for r in links(df, tile=8).collect()) == brute(x)
+
+
 def test_tiles_find_each_pair_once():
     x = unit(planted(150, 20, seed=4).astype(float))
     axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
