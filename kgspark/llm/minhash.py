@@ -4,7 +4,8 @@ A document is the set of its shingles of five words, each weighted 1 + ln(its co
 whose rate is its weight; its arrivals fall on random registers, a register keeps the first arrival, and a shingle stops once its
 next arrival comes after the latest register. The share of registers that agree estimates the probability Jaccard
 similarity of the weights. Bands of registers propose candidates; a link needs a Jaccard similarity of the shingle
-sets of at least the threshold, computed exactly.
+sets of at least the threshold, computed exactly. Repeated shingles can push the similarity of the weights far below that of the
+sets, so a document that has some also lies in the bands of its distinct shingles, all weighted 1.
 
 Documents with equal shingle sets shrink to one first. In each bucket the smallest id is compared with every other
 member, which already joins groups of copies of any size into one class. Only buckets that still hold several classes
@@ -29,7 +30,8 @@ from .common import small_batches, stage
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
-# At similarity 0.8 a pair shares no band with probability (1 - 0.8**5)**25, about 5e-5.
+# With equal weights the probability Jaccard similarity is |A n B| / max(|A|, |B|), at least the Jaccard similarity: at 0.8 a pair
+# shares no band of its distinct shingles with probability (1 - 0.8**5)**25, about 5e-5, whatever their counts.
 BANDS, ROWS = 25, 5
 # Characters of text whose shingles are in memory at once; members of a bucket compared at once.
 CHUNK, BLOCK = 1 << 20, 256
@@ -114,6 +116,18 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mixed(key).view(np.int64)
 
 
+def _bands(doc: np.ndarray, element: np.ndarray, count: np.ndarray, docs: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and the documents they belong to, by document: of the weighted shingles and, where they differ, of the distinct ones."""
+    keys = band_keys(probminhash(doc, element, 1.0 + np.log(count), docs, bands * rows), bands, rows)
+    again = np.unique(doc[count > 1])
+    of = np.isin(doc, again)
+    plain = band_keys(probminhash(np.searchsorted(again, doc[of]), element[of], np.ones(of.sum()), len(again), bands * rows), bands, rows)
+    other = plain != keys[again]
+    owner = np.concatenate([np.repeat(np.arange(docs), bands), np.repeat(again, other.sum(axis=1))])
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate([keys.ravel(), plain[other]])[order], owner[order]
+
+
 def _chunks(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, list[str | None]]]:
     """(position, texts) of slices of bounded size; a longer text comes alone."""
     at, held, size = 0, [], 0
@@ -136,13 +150,13 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int
             for at, texts in _chunks(batch.column("text")):
                 doc, element, count = shingles(texts, words)
                 sizes = np.bincount(doc, minlength=len(texts))
-                keys = band_keys(probminhash(doc, element, 1.0 + np.log(count), len(texts), bands * rows), bands, rows)
+                keys, owner = _bands(doc, element, count, len(texts), bands, rows)
                 d1, d2 = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
                 np.add.at(d1, doc, mixed(element + np.uint64(1)))
                 np.add.at(d2, doc, mixed(element ^ _GOLD))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))],
+                     pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner, minlength=len(texts)))).astype(np.int32)), pa.array(keys))],
                     names=["doc_id", "n", "d1", "d2", "bands"],
                 )
 

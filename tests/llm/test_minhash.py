@@ -55,6 +55,21 @@ def test_classes_equal_brute_force(spark, block):
     assert got == brute(docs)
 
 
+def test_repeated_shingles_hide_no_links(spark):
+    docs = []
+    for i in range(30):
+        base = [f"b{i}_{k}" for k in range(104)]
+        # 100 common shingles; 23 (Jaccard 0.813) or 12 (0.893) more of one text, most of them repeated.
+        docs += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(base + [f"r{i}_{k}" for k in range((19, 8)[i % 2])] * (50, 1000)[i % 3 == 0]))]
+    # A section of 40 shingles that one text repeats and the other has once.
+    for i in range(30, 40):
+        base, part = [f"b{i}_{k}" for k in range(104)], [f"s{i}_{k}" for k in range(36)]
+        docs += [(10 * i, " ".join(base + part)), (10 * i + 1, " ".join(base + part * 20))]
+    want = brute(docs)
+    assert sum(i != low for i, low in want.items()) == 40
+    assert {r["doc_id"]: r["class_id"] for r in classes(documents(spark, docs)).collect()} == want
+
+
 def test_large_groups(spark):
     rng = random.Random(4)
     base = [f"b{i}" for i in range(200)]
