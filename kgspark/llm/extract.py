@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from .common import small_batches
 from .labelled_pages import PAGES
 
-# Content that is never text, comments and declarations, tags (quoted signs may hold ">"), runs of text.
+# Drawings and formulas closed in their own tag, content that is never text, comments and declarations, tags (quoted signs may hold ">"), runs of text.
 TOKEN = re.compile(
-    r"""<(?P<raw>script|style|noscript|template|textarea|iframe|object|svg|math|select|title)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"""
+    r"""<(?:svg|math)\b(?>[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+(?<=/)>"""
+    r"""|<(?P<raw>script|style|noscript|template|textarea|iframe|object|svg|math|select|title)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"""
     r"""|<!--.*?(?:-->|\Z)|<[!?][^>]*+>?"""
     r"""|<(?P<close>/?)(?P<name>[a-z][^\s/>]*+)(?P<attrs>(?>[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+)>"""
     r"""|<(?P<close2>/?)(?P<name2>[a-z][^\s/><]*+)(?P<attrs2>[^><]*+)>?"""

@@ -35,6 +35,13 @@ def test_labelled_pages():
         assert out not in whole
 
 
+def test_self_closed_drawings_hold_nothing():
+    page = "<header>%s</header><article><h1>A title</h1><p>one two three four five six</p>%s<p>seven eight nine ten eleven twelve</p></article>"
+    want = "A title\none two three four five six\nseven eight nine ten eleven twelve"
+    for icon in ("<svg/>", '<svg class="icon" aria-label="a > b" />', "<MATH />", "<svg><path d='x'/><title>no</title></svg>", '<svg title="/>">no</svg>'):
+        assert text_of(page % (icon, "")) == text_of(page % ("", icon)) == text_of(page % (icon, "<svg><text>no</text></svg>")) == want
+
+
 def test_blocks_references_and_white_space():
     html = "<nav><a href=/>x</a></nav><article><h1> A&amp;B &#8364;</h1><p>one\n\n two<br>three &lt;b&gt;<p>four <b>fi</b>ve<script>no()</script></article><footer>end of it</footer>"
     assert text_of(html) == "A&B €\none two three <b>\nfour five"
