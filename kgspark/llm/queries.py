@@ -42,3 +42,4 @@ _register("op9_kdtree_topk", "kdtree", "top_k", "embeddings", None, oracles.TOP_
 _register("op3_pca_tiles", "vector_links", "links", "embeddings")
 _register("op7_probminhash", "minhash", "near_duplicates", "documents")
 _register("op6_katz_backoff", "katz", "score", "documents")
+_register("op13_token_alignment", "alignment", "align", "documents")

@@ -20,7 +20,7 @@ def public_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The printable stand-in for each byte that byte-level vocabularies use."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
     moved = (b for b in range(256) if b not in set(kept))
@@ -58,7 +58,7 @@ def encoder(path: str, remembered: int = REMEMBERED) -> Callable[[str], bytes]:
     # Without the soft hyphen and the dotted capital I, whose lower case is two characters.
     plain = re.compile("[\t-\r -~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]*")
     words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\s{letters}{digits}]+").findall
-    stand_in = str.maketrans(_byte_letters())
+    stand_in = str.maketrans(byte_letters())
     tokenize = tokenizer.model.tokenize
 
     def one_word(word: str) -> bytes:
