@@ -72,3 +72,30 @@ s AS (
   FROM p q JOIN p c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+FINGERPRINT = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER w AS following, first_value(coalesce(text, '')) OVER w AS head,
+  lead(doc_id) OVER w AS after, first_value(doc_id) OVER w AS first_id FROM documents WINDOW w AS (ORDER BY doc_id)),
+n AS (SELECT doc_id, t, coalesce(following, head) AS nx, length(t) AS c, coalesce(after, first_id) AS next_id FROM d),
+texts AS (SELECT doc_id, 0 AS kind, t FROM n UNION ALL SELECT doc_id, 1, substr(t, 1, c - c // 2) || substr(nx, 1, c // 2) FROM n),
+b AS (SELECT doc_id, kind, unnest(regexp_extract_all(hex(encode(t)), '..')) AS x, generate_subscripts(regexp_extract_all(hex(encode(t)), '..'), 1) AS i FROM texts),
+v AS (SELECT doc_id, kind, ('0x' || x || lead(x, 1) OVER w || lead(x, 2) OVER w)::BIGINT * 2654435761 % 4294967296 AS h FROM b WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
+counted AS (SELECT doc_id, kind, (xor(h, h // 32768) * 73244475 % 4294967296) // 16777216 AS bucket, count(*) AS n FROM v WHERE h IS NOT NULL GROUP BY ALL),
+dense AS (SELECT t.doc_id, t.kind, r.bucket, coalesce(k.n, 0) AS n FROM texts t CROSS JOIN (SELECT unnest(range(256)) AS bucket) r
+  LEFT JOIN counted k ON k.doc_id = t.doc_id AND k.kind = t.kind AND k.bucket = r.bucket),
+q AS (SELECT doc_id, kind, list_sort(list(n)) AS s FROM dense GROUP BY ALL),
+codes AS (SELECT e.doc_id, e.kind, e.bucket, (e.n > s[64])::INT + (e.n > s[128])::INT + (e.n > s[192])::INT AS code FROM dense e JOIN q USING (doc_id, kind)),
+listed AS (SELECT doc_id, kind, list(code ORDER BY bucket) AS codes FROM codes GROUP BY ALL),
+headed AS (SELECT t.doc_id, t.kind, strlen(t.t) AS size, length(bin(strlen(t.t))) AS bits, s[64] * 100 // greatest(s[192], 1) % 16 AS r1,
+  s[128] * 100 // greatest(s[192], 1) % 16 AS r2 FROM texts t JOIN q USING (doc_id, kind)),
+f AS (SELECT doc_id, kind, least(255, CASE WHEN size < 4 THEN size ELSE 4 * (bits - 2) + (size // pow(2, bits - 3)::BIGINT) % 4 END) AS len, r1, r2, codes,
+  FROM headed JOIN listed USING (doc_id, kind)),
+w AS (SELECT *, lpad(lower(hex(len)), 2, '0') || lower(hex(r1)) || lower(hex(r2))
+  || array_to_string([lower(hex(codes[2 * i + 1] * 4 + codes[2 * i + 2])) FOR i IN range(128)], '') AS fingerprint FROM f),
+pairs AS (SELECT n.doc_id, x.kind AS kind, a.fingerprint AS one, x.fingerprint AS two, abs(a.len - x.len) + least(abs(a.r1 - x.r1), 16 - abs(a.r1 - x.r1))
+  + least(abs(a.r2 - x.r2), 16 - abs(a.r2 - x.r2))
+  + list_sum([CASE WHEN abs(z[1] - z[2]) = 3 THEN 6 ELSE abs(z[1] - z[2]) END FOR z IN list_zip(a.codes, x.codes)]) AS apart
+  FROM n JOIN w a ON a.doc_id = n.doc_id AND a.kind = 0 JOIN w x ON (x.doc_id = n.doc_id AND x.kind = 1) OR (x.doc_id = n.next_id AND x.kind = 0))
+SELECT n.doc_id, n.c::BIGINT AS n_chars, sha256(substr(t, 1, c - c // 2) || substr(nx, 1, c // 2)) AS edited_sha256, e.one AS fingerprint, e.two AS edited_fingerprint,
+  1.0::DOUBLE - least(e.apart, 416)::DOUBLE / 416 AS near_edited, 1.0::DOUBLE - least(x.apart, 416)::DOUBLE / 416 AS near_next
+FROM n JOIN pairs e ON e.doc_id = n.doc_id AND e.kind = 1 JOIN pairs x ON x.doc_id = n.doc_id AND x.kind = 0"""

@@ -43,3 +43,4 @@ _register("op3_pca_tiles", "vector_links", "links", "embeddings")
 _register("op7_probminhash", "minhash", "near_duplicates", "documents")
 _register("op6_katz_backoff", "katz", "score", "documents")
 _register("op13_token_alignment", "alignment", "align", "documents")
+_register("op12_quartile_digest", "fingerprint", "edited_fingerprints", "documents", None, oracles.FINGERPRINT)
