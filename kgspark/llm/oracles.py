@@ -99,3 +99,22 @@ pairs AS (SELECT n.doc_id, x.kind AS kind, a.fingerprint AS one, x.fingerprint A
 SELECT n.doc_id, n.c::BIGINT AS n_chars, sha256(substr(t, 1, c - c // 2) || substr(nx, 1, c // 2)) AS edited_sha256, e.one AS fingerprint, e.two AS edited_fingerprint,
   1.0::DOUBLE - least(e.apart, 416)::DOUBLE / 416 AS near_edited, 1.0::DOUBLE - least(x.apart, 416)::DOUBLE / 416 AS near_next
 FROM n JOIN pairs e ON e.doc_id = n.doc_id AND e.kind = 1 JOIN pairs x ON x.doc_id = n.doc_id AND x.kind = 0"""
+
+PHRASES = r"""
+WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+spans AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w WHERE len(words) > 0),
+grams AS (SELECT lang, words[i : i + k - 1] AS g, k FROM spans, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(words)),
+f AS (SELECT lang, g, k, count(*) AS a FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, g, k, a FROM f WHERE a >= 30 AND k >= 2),
+cuts AS (SELECT c.lang, c.g, c.a, s, x.a AS l, y.a AS r, 2000000::HUGEINT * c.a // (x.a + y.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS s FROM c) c JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : s] JOIN f y ON y.lang = c.lang AND y.g = c.g[s + 1 :]),
+best AS (SELECT lang, g, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, s) = 1),
+inside AS (SELECT lang, g[i : i + m - 1] AS g, max(a) AS longer FROM (SELECT c.lang, c.g, c.a, c.k, m, unnest(range(1, c.k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < c.k)
+  GROUP BY ALL),
+kept AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, l, r, score FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.g = b.g
+  WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank::INTEGER AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000"""

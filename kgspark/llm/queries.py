@@ -44,3 +44,4 @@ _register("op7_probminhash", "minhash", "near_duplicates", "documents")
 _register("op6_katz_backoff", "katz", "score", "documents")
 _register("op13_token_alignment", "alignment", "align", "documents")
 _register("op12_quartile_digest", "fingerprint", "edited_fingerprints", "documents", None, oracles.FINGERPRINT)
+_register("op11_collocations", "phrases", "collocations", "documents", None, oracles.PHRASES)

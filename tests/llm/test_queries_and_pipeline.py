@@ -12,13 +12,13 @@ from kgspark.llm.oracles import POISSON_MIX
 from kgspark.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-COUNTED = {"op1_": "pages", "op3_": "embeddings", "op6_": "documents", "op7_": "documents", "op8_": "documents", "op13_": "documents"}
+COUNTED = {"op1_": "pages", "op3_": "embeddings", "op6_": "documents", "op7_": "documents", "op8_": "documents", "op12_": "documents", "op13_": "documents"}
 
 
 def test_all_are_registered():
     names = entry.queries().keys()
     assert QUERIES.keys() <= names and "pipeline" in names and ORACLES.keys() <= entry.oracle_sql().keys()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list([*range(1, 11), 13])
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
