@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from struct import pack
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from .tokens import byte_letters, public_path
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Characters encoded and tokens aligned at once, words whose tokens one worker remembers, pairs a task counts before it hands them on.
-CHUNK, TOKENS, REMEMBERED, HELD = 1 << 20, 1 << 20, 300_000, 1 << 20
+CHUNK, TOKENS, REMEMBERED, HELD = 1 << 19, 1 << 17, 150_000, 1 << 19
 # Rows of 13 bytes that may travel to all tasks.
 BROADCAST_PAIRS = 2_000_000
 # B's ids are below this and A's in 16 bits, so a pair fits 32 bits.
@@ -44,8 +44,39 @@ _SPACE = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
+class _Lists:
+    """Lists of ids, one behind the other."""
+
+    def __init__(self):
+        self.values, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
+        self.start = np.append(self.start, len(self.values) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.values = np.append(self.values, ids)
+        return ids, size
+
+    def of(self, codes: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these lists in turn, and how many each owner has."""
+        size = self.size[codes]
+        at = np.repeat(self.start[codes] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return self.values[at], np.bincount(owner, size, owners).astype(np.int64)
+
+
+def _differ(text: list[bytes], ids: np.ndarray, size: np.ndarray, spelling: dict[int, bytes], spelled: np.ndarray) -> np.ndarray:
+    """Which lists of ids, of so many ids each and one behind the other, do not spell their text."""
+    ends = np.cumsum(size)
+    wrong = np.diff(np.append(0, np.cumsum(spelled[ids])[ends - 1])) != np.fromiter(map(len, text), np.int64, len(text))
+    if b"".join(map(spelling.__getitem__, ids.tolist())) != b"".join(text):
+        for i in range(len(text)):
+            wrong[i] |= b"".join(map(spelling.__getitem__, ids[ends[i] - size[i] : ends[i]].tolist())) != text[i]
+    return wrong
+
+
 class Sides:
-    """Both tokenizers: the bytes of their tokens and the ids of the words of a text."""
+    """Both tokenizers: the bytes of their tokens, and the ids of words, remembered under a code."""
 
     def __init__(self, a_path: str, b_path: str, remembered: int = REMEMBERED):
         import os
@@ -60,76 +91,71 @@ class Sides:
         self.a_bytes = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         spelled = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = {i: bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(spelled)}
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.codes: dict[str, int] = {}
+        self.sides = [_Lists(), _Lists()]
+        self.wrong = np.zeros(0, bool)
+        self.spelled = self.sizes()
         self.remembered = remembered
 
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of both sides as 32-bit integers of all these words; None for those that they do not spell."""
-        new = set(words) - self.words.keys()
-        if len(self.words) + len(new) > self.remembered:
-            self.words.clear()
-            new = set(words)
+    def learn(self, words: list[str]) -> np.ndarray:
+        """The codes of all these words, under which their ids are remembered until ``learn`` is called again."""
+        new = set(words) - self.codes.keys()
+        if len(self.codes) + len(new) > self.remembered:
+            self.codes, self.sides, self.wrong, new = {}, [_Lists(), _Lists()], self.wrong[:0], set(words)
         new = list(new)
-        a, b = self.a.encode_batch_fast([" " + w for w in new], add_special_tokens=False), self.b.encode(new, num_threads=1)
-        for word, one, two in zip(new, a, b):
-            one, spelled = one.ids, b" " + word.encode()
-            same = b"".join(map(self.a_bytes.__getitem__, one)) == spelled == b"".join(map(self.b_bytes.__getitem__, two))
-            self.words[word] = (pack(f"{len(one)}i", *one), pack(f"{len(two)}i", *two)) if same else None
-
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of a run of learnt words; None where one of them is not spelled."""
-        found = list(map(self.words.__getitem__, words))
-        if None in found:
-            return None
-        return np.frombuffer(b"".join([f[0] for f in found]), np.int32), np.frombuffer(b"".join([f[1] for f in found]), np.int32)
-
+        if new:
+            a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in new], add_special_tokens=False)]
+            b = self.b.encode(new, num_threads=1)
+            text = [b" " + w.encode() for w in new]
+            differ = [_differ(text, *side.add(ids), *told) for side, ids, told in zip(self.sides, (a, b), zip((self.a_bytes, self.b_bytes), self.spelled))]
+            self.wrong = np.append(self.wrong, differ[0] | differ[1])
+            self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
+        return np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+
+    def ids(self, words: list[str], sizes: list[int]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """For texts of so many words each, one after the other: ids and numbers of ids of A, those of B, and which texts are not spelled."""
+        codes, of = self.learn(words), np.repeat(np.arange(len(sizes)), sizes)
+        bad = np.bincount(of[self.wrong[codes]], minlength=len(sizes)) > 0
+        codes, of = codes[~bad[of]], of[~bad[of]]
+        return *(side.of(codes, of, len(sizes)) for side in self.sides), bad
 
     def sizes(self) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of each id, A's and B's."""
         return tuple(np.array([len(of[i]) for i in range(max(of) + 1)], np.int64) for of in (self.a_bytes, self.b_bytes))
 
 
-def _encoded(texts: list[str | None], sides: Sides, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-    """Ids of each text; words are learnt for texts of up to ``chunk`` characters together, for a longer one in slices."""
+def _encoded(texts: list[str | None], sides: Sides, chunk: int) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """(number of texts, their ids and numbers of ids on both sides) of texts of ``chunk`` characters together; a longer one alone, learnt in slices."""
     at = 0
     while at < len(texts):
         end, held, size = at, [], 0
         while end < len(texts) and (end == at or size + len(texts[end] or "") <= chunk):
-            held.append(_SPACE.split(texts[end]) if texts[end] else None)
+            held.append(_SPACE.split(texts[end]) if texts[end] else [])
             size += len(texts[end] or "")
             end += 1
         if size <= chunk:
-            sides.learn([w for words in held if words for w in words])
-            yield from (words and sides.ids(words) for words in held)
+            a, b, _ = sides.ids(list(chain.from_iterable(held)), [len(w) for w in held])
+            yield end - at, [a, b]
         else:
-            parts = []
-            for low in range(0, len(held[0]), chunk // 8):
-                part = held[0][low : low + chunk // 8]
-                sides.learn(part)
-                parts.append(sides.ids(part))
-            yield None if None in [p and 1 for p in parts] else tuple(np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            step = max(1, chunk // 8)
+            parts = [sides.ids(words, [len(words)]) for words in (held[0][low : low + step] for low in range(0, len(held[0]), step))]
+            if any(bad[0] for _, _, bad in parts):
+                parts = [p for p in parts if p[2][0]][:1]
+            yield 1, [tuple(np.concatenate(x) if k == 0 else np.sum(x, axis=0) for k, x in enumerate(zip(*(p[i] for p in parts)))) for i in (0, 1)]
         at = end
 
 
-def _lists(found: list[np.ndarray | None]) -> pa.Array:
-    ends = np.cumsum([0] + [0 if f is None else len(f) for f in found])
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([f for f in found if f is not None] + [np.zeros(0, np.int32)])))
-
-
 def encoded(docs: DataFrame, a_path: str, b_path: str, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, a, b): the ids of both sides; both empty where a text has no tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = None
         for batch in batches:
-            sides = sides or Sides(a_path, b_path)
-            found, at, size = [], 0, 0
-            for i, ids in enumerate(_encoded(batch.column("text").to_pylist(), sides, chunk), 1):
-                found.append(ids or (None, None))
-                size += 0 if ids is None else len(ids[0])
-                if size > chunk or i == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, i - at), *(_lists([f[k] for f in found]) for k in (0, 1))], names=["doc_id", "a", "b"])
-                    found, at, size = [], i, 0
+            sides, at = sides or Sides(a_path, b_path), 0
+            for n, found in _encoded(batch.column("text").to_pylist(), sides, chunk):
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(ids)) for ids, size in found]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n), *lists], names=["doc_id", "a", "b"])
+                at += n
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, a array<int>, b array<int>")
 
