@@ -6,9 +6,9 @@ whole corpus by their leading words, so one task sees every occurrence of a phra
 quicksort of their pointers: the suffixes equal to the pivot at one depth are those of one phrase, their number is its count;
 a partition with fewer than ``least`` occurrences is abandoned.
 
-Skew: a task sends each distinct suffix of a chunk once, with its number. Suffixes are routed by two words, and by the next
-word too as long as all before are hot (``HOT`` occurrences), so no route holds much more than ``HOT`` rows. The counts of
-phrases made of hot words alone come from several tasks; those are not abandoned and added up behind the sort.
+Skew: a task sends each distinct suffix of a chunk once, with its number. Suffixes are routed by two words; by the third too if both
+are hot (``HOT[0]`` occurrences), and by all four if the first three have ``HOT[1]``. The counts of pairs (threes) of such words
+come from several tasks; those are not abandoned but added up behind the sort.
 
 Which words are frequent, or hot, travels as a bitmap of their hashes, of at most ``BITS`` bits. A word that shares the bit of a
 frequent one is carried along, to no effect on any result; a word that shares the bit of a hot one is routed as if it were hot.
@@ -35,7 +35,7 @@ from .minhash import mixed
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 SCALE = 2_000_000
-HOT, BITS = 200_000, 1 << 26
+HOT, BITS = (1 << 20, 1 << 26), 1 << 26
 # Bytes of text cut into words at once; suffixes of one task; words counted in a task before they are handed on; partitions finished by a plain sort.
 CHUNK, ROWS, HELD, SMALL = 8 << 20, 1 << 20, 1 << 19, 256
 
@@ -59,15 +59,18 @@ def _by_language(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tupl
     yield from ((k, b"\n".join(v).lower()) for k, v in held.items())
 
 
-def _coded(lang: str, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the words in order, -1 between pieces; the distinct words; their hashes in this language."""
+def _marks(lang: str, words) -> np.ndarray:
+    """Hashes of the words of a language."""
+    prefix = lang.encode() + b"\0"
+    return pd.util.hash_array(np.array([prefix + w for w in words] + [b""], object), categorize=False)[:-1]
+
+
+def _coded(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words in order, -1 between pieces; the distinct words."""
     codes, names = pd.factorize(np.array(_PARTS.findall(text) + [b"\n"], object))
     ends = np.array([n[0] in _ENDS for n in names])
     place = np.where(ends, -1, np.cumsum(~ends) - 1)
-    names = names[~ends]
-    prefix = lang.encode() + b"\0"
-    marks = pd.util.hash_array(np.array([prefix + n for n in names] + [b""], object), categorize=False)[:-1]
-    return place[codes], names, marks
+    return place[codes], names[~ends]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -76,39 +79,45 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(lang, word, mark, n): every word of every language, its hash and how often it occurs."""
+    """(lang, word, n): every word of every language and how often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bytes, int], int] = {}
+        held: dict[tuple[str, bytes], int] = {}
 
         def flush() -> pa.RecordBatch:
-            langs, words, marks = zip(*held)
-            columns = [pa.array(langs, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(marks, pa.int64()), pa.array(held.values(), pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "word", "mark", "n"])
+            langs, words = zip(*held)
+            columns = [pa.array(langs, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(held.values(), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"])
 
         for lang, text in _by_language(batches, chunk):
-            codes, names, marks = _coded(lang, text)
-            counts = np.bincount(codes[codes >= 0], minlength=len(names)).tolist()
-            for word, mark, n in zip(names.tolist(), marks.view(np.int64).tolist(), counts):
-                key = lang, word, mark
-                held[key] = held.get(key, 0) + n
+            codes, names = _coded(text)
+            for word, n in zip(names.tolist(), np.bincount(codes[codes >= 0], minlength=len(names)).tolist()):
+                held[lang, word] = held.get((lang, word), 0) + n
             if len(held) > HELD:
                 yield flush()
                 held.clear()
         if held:
             yield flush()
 
-    found = _texts(docs).mapInArrow(run, "lang string, word string, mark bigint, n bigint")
-    return found.groupBy("lang", "word", "mark").agg(F.sum("n").alias("n"))
+    found = _texts(docs).mapInArrow(run, "lang string, word string, n bigint")
+    return found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def bitmap(words: DataFrame, most: int = BITS) -> np.ndarray:
-    """Bits of the hashes of ``words(mark)``: sixteen a word, ``most`` at most."""
-    n = words.count()
-    bits = min(most, max(1024, 1 << (16 * n).bit_length()))
-    at = F.col("mark").bitwiseAND(bits - 1)
-    parts = words.select(F.shiftright(at, 6).alias("slot"), F.expr(f"shiftleft(1L, CAST(mark & {min(63, bits - 1)} AS INT))").alias("bit"))
-    rows = parts.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    """Bits of the hashes of ``words(lang, word)``: sixteen a word, ``most`` at most."""
+    bits = min(most, max(1024, 1 << (16 * words.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = np.zeros(batch.num_rows, np.uint64)
+            langs, spelled = batch.column("lang").dictionary_encode(), np.array(batch.column("word").cast(pa.binary()).to_pylist() + [b""], object)[:-1]
+            for i, lang in enumerate(langs.dictionary.to_pylist()):
+                mine = langs.indices.to_numpy() == i
+                marks[mine] = _marks(lang, spelled[mine])
+            at = (marks & np.uint64(bits - 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["slot", "bit"])
+
+    rows = words.select("lang", "word").mapInArrow(run, "slot bigint, bit bigint").groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[rows["slot"].to_numpy()] = rows["bits"].to_numpy()
     return out.view(np.uint64)
@@ -139,7 +148,7 @@ def _joined(names: pa.Array, table: np.ndarray) -> pa.Array:
     return pc.binary_join_element_wise(*words, " ", null_handling="skip")
 
 
-def routed_suffixes(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, longest: int = LONGEST, chunk: int = CHUNK) -> DataFrame:
+def routed_suffixes(docs: DataFrame, frequent: np.ndarray, hot: list[np.ndarray], longest: int = LONGEST, chunk: int = CHUNK) -> DataFrame:
     """(route, lang, suffix, n): the suffixes of pieces; equal leading words have equal routes."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((frequent, hot))
@@ -147,16 +156,15 @@ def routed_suffixes(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, long
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, hot = held.value
         for lang, text in _by_language(batches, chunk):
-            codes, names, marks = _coded(lang, text)
+            codes, names = _coded(text)
             if not len(names):
                 continue
+            marks = _marks(lang, names)
             table, n = _suffixes(codes, has(frequent, marks), longest)
-            glows = has(hot, marks)
-            route, on = mixed(mixed(marks[table[:, 0]]) + marks[table[:, 1]]), glows[table[:, 0]] & glows[table[:, 1]]
-            for k in range(2, longest):
-                on &= table[:, k] >= 0
+            route = mixed(mixed(marks[table[:, 0]]) + marks[table[:, 1]])
+            for k, bits in enumerate(hot[: longest - 2], 2):
+                on = has(bits, marks)[table[:, :k]].all(axis=1) & (table[:, k - 1 : k + 1] >= 0).all(axis=1)
                 route = np.where(on, mixed(route + marks[table[:, k]]), route)
-                on &= glows[table[:, k]]
             words = pa.array(names, pa.binary()).cast(pa.string())
             for low in range(0, len(table), 1 << 16):
                 part = slice(low, low + (1 << 16))
@@ -167,58 +175,55 @@ def routed_suffixes(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, long
     return _texts(docs).mapInArrow(run, "route bigint, lang string, suffix string, n int")
 
 
-def multikey_counts(keys: list[np.ndarray], weight: np.ndarray, least: int, hot: int, small: int = SMALL) -> list[tuple[np.ndarray, np.ndarray]]:
+def multikey_counts(keys: list[np.ndarray], weight: np.ndarray, least: int, shared: list[int], small: int = SMALL) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per depth (pointer, count) of each run of equal leading keys that is counted at least ``least`` times, by three-way quicksort of pointers.
 
-    ``keys[0]`` leads (the language), ``keys[d]`` are words, -1 behind the end. Words below ``hot`` are hot: runs of hot words alone are
-    listed whatever their count.
+    ``keys[0]`` leads (the language), ``keys[d]`` are words, -1 behind the end. Runs at depth ``d`` whose words are all below ``shared[d]`` are
+    listed whatever their count, since other tasks count them too.
     """
     found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in keys]
 
-    def listed(depth: int, pointers, counts) -> None:
-        found[depth].append((np.atleast_1d(pointers), np.atleast_1d(counts)))
-
-    def plain(rows: np.ndarray, depth: int, open_: bool) -> None:
+    def plain(rows: np.ndarray, depth: int, most: int) -> None:
         """A small partition: sorted by what is left of its keys; runs are counted where they lie."""
         rows = rows[np.lexsort([k[rows] for k in reversed(keys[depth:])])]
-        new = np.zeros(len(rows), bool)
+        new, high = np.zeros(len(rows), bool), np.full(len(rows), most)
         new[0] = True
-        glows = np.full(len(rows), open_)
         for d in range(depth, len(keys)):
             k = keys[d][rows]
             new[1:] |= k[1:] != k[:-1]
+            high = np.maximum(high, k) if d else high
             at = np.flatnonzero(new)
             counts = np.add.reduceat(weight[rows], at)
-            glows &= (k < hot) if d else True
-            good = (k[at] >= 0) & ((counts >= least) | glows[at])
-            listed(d, rows[at[good]], counts[good])
+            good = (k[at] >= 0) & ((counts >= least) | (high[at] < shared[d]))
+            found[d].append((rows[at[good]], counts[good]))
 
-    stack = [(np.arange(len(weight)), 0, True)] if len(weight) else []
+    # Beside each partition its depth and the largest word of the keys before.
+    stack = [(np.arange(len(weight)), 0, -1)] if len(weight) else []
     while stack:
-        rows, depth, open_ = stack.pop()
+        rows, depth, most = stack.pop()
         if len(rows) <= small:
-            plain(rows, depth, open_)
+            plain(rows, depth, most)
             continue
         k = keys[depth][rows]
-        pivot = np.partition(k[[0, len(k) // 2, -1]], 1)[1]
-        same = rows[k == pivot]
+        pivot = int(np.partition(k[[0, len(k) // 2, -1]], 1)[1])
         for side in (k < pivot, k > pivot):
             part = rows[side]
-            # Abandoned: too few occurrences in all, and no hot word whose count other tasks add to.
-            if len(part) and (weight[part].sum() >= least or (open_ and (depth == 0 or (k[side] < hot).any()))):
-                stack.append((part, depth, open_))
+            # Abandoned: too few occurrences in all, and none of a run that other tasks add to.
+            if len(part) and (depth == 0 or weight[part].sum() >= least or (most < max(shared[depth:]) and (k[side] < max(shared[depth:])).any())):
+                stack.append((part, depth, most))
         if pivot < 0:
             continue
-        count, still = weight[same].sum(), open_ and (depth == 0 or pivot < hot)
-        if count >= least or still:
-            listed(depth, same[0], count)
-            if depth + 1 < len(keys):
-                stack.append((same, depth + 1, still))
+        same = rows[k == pivot]
+        count, high = weight[same].sum(), max(most, pivot) if depth else most
+        if count >= least or high < shared[depth]:
+            found[depth].append((same[:1], np.array([count])))
+        if depth + 1 < len(keys) and (count >= least or high < max(shared[depth:])):
+            stack.append((same, depth + 1, high))
     none = np.zeros(0, np.int64)
     return [tuple(np.concatenate([f[i] for f in at] + [none]) for i in (0, 1)) for at in found]
 
 
-def phrase_counts(suffixes: DataFrame, hot: np.ndarray, parts: int, longest: int = LONGEST, least: int = LEAST, small: int = SMALL) -> DataFrame:
+def phrase_counts(suffixes: DataFrame, hot: list[np.ndarray], parts: int, longest: int = LONGEST, least: int = LEAST, small: int = SMALL) -> DataFrame:
     """(lang, phrase, size, a): every phrase of two to ``longest`` words that occurs at least ``least`` times."""
     spark = suffixes.sparkSession
     held = spark.sparkContext.broadcast(hot)
@@ -231,14 +236,18 @@ def phrase_counts(suffixes: DataFrame, hot: np.ndarray, parts: int, longest: int
         split = pc.split_pattern(table["suffix"].combine_chunks(), " ")
         sizes, words = pc.list_value_length(split).to_numpy(), split.flatten().dictionary_encode()
         lang, names = langs.indices.to_numpy(), words.dictionary
-        # Hot words first: a word may be hot in one language only, so it is enough that it is hot in any.
-        prefixes = [p.encode() + b"\0" for p in langs.dictionary.to_pylist()]
+        # The hottest words first. A word may be hot in one language only; it is enough that it is hot in any.
+        heat = np.zeros(len(names), np.int64)
         spelled = names.cast(pa.binary()).to_pylist()
-        glows = np.zeros(len(spelled), bool)
-        for p in prefixes:
-            glows |= has(held.value, pd.util.hash_array(np.array([p + w for w in spelled], object), categorize=False))
+        for p in langs.dictionary.to_pylist():
+            marks = _marks(p, spelled)
+            heat = np.maximum(heat, sum(has(bits, marks).astype(np.int64) for bits in held.value))
         place = np.empty(len(spelled), np.int64)
-        place[np.argsort(~glows, kind="stable")] = np.arange(len(spelled))
+        place[np.argsort(-heat, kind="stable")] = np.arange(len(spelled))
+        # Pairs are shared if both words are hot, threes if all are hotter still, single words for the sake of their pairs.
+        hotter = [int((heat >= k).sum()) for k in range(1, len(held.value) + 1)]
+        shared = [0, 0, *hotter, *[0] * longest][: longest + 1]
+        shared[longest] = 0
         code = place[words.indices.to_numpy()]
         starts = np.cumsum(sizes) - sizes
         keys = [lang.astype(np.int64)]
@@ -247,7 +256,7 @@ def phrase_counts(suffixes: DataFrame, hot: np.ndarray, parts: int, longest: int
         weight = table["n"].to_numpy().astype(np.int64)
         back = pa.array(np.argsort(place))
         names = names.take(back)
-        for depth, (at, n) in enumerate(multikey_counts(keys, weight, least, int(glows.sum()), small)):
+        for depth, (at, n) in enumerate(multikey_counts(keys, weight, least, shared, small)):
             if depth < 2 or not len(at):
                 continue
             phrase = _joined(names, np.stack([keys[d][at] for d in range(1, depth + 1)], axis=1))
@@ -292,10 +301,10 @@ def top_phrases(candidates: DataFrame, top: int = TOP, salts: int = 64) -> DataF
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top).drop("salt")
 
 
-def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, hot: int = HOT, rows: int = ROWS, chunk: int = CHUNK, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """Counted phrases (lang, phrase, size, a) and counted words (lang, word, mark, n) of ``docs(lang, text)``."""
+def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, hot: tuple[int, ...] = HOT, rows: int = ROWS, chunk: int = CHUNK, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """Counted phrases (lang, phrase, size, a) and counted words (lang, word, n) of ``docs(lang, text)``."""
     words = stage(word_counts(docs, chunk), "words")
-    frequent, hot_words = bitmap(words.where(F.col("n") >= least)), bitmap(words.where(F.col("n") >= hot))
+    frequent, hot_words = bitmap(words.where(F.col("n") >= least)), [bitmap(words.where(F.col("n") >= h)) for h in hot]
     total = words.agg(F.sum("n")).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // rows))
     found = phrase_counts(routed_suffixes(docs, frequent, hot_words, longest, chunk), hot_words, parts, longest, least, small)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from helpers import documents
 
-from kgspark.llm.phrases import bitmap, collocations, has, multikey_counts, scored
+from kgspark.llm.phrases import _marks, bitmap, collocations, has, multikey_counts, scored
 
 
 def brute(rows, least, top):
@@ -49,7 +49,7 @@ COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 
 @pytest.mark.parametrize("options", [
-    {}, {"hot": 3, "chunk": 50, "small": 1, "rows": 40}, {"hot": 40, "small": 2, "rows": 10}, {"least": 2, "top": 7, "hot": 10}, {"least": 1, "chunk": 500, "hot": 5},
+    {}, {"hot": (3, 9), "chunk": 50, "small": 1, "rows": 40}, {"hot": (40, 60), "small": 2, "rows": 10}, {"least": 2, "top": 7, "hot": (10, 10)}, {"least": 1, "chunk": 500, "hot": (5, 7)},
 ])
 def test_equals_counting_every_run(spark, options):
     rows = corpus()
@@ -78,21 +78,23 @@ def test_quicksort_equals_counting(small):
     keys = [rng.integers(0, 3, 4000), *(rng.zipf(1.6, 4000) % 30 for _ in range(3))]
     keys[3] = np.where(rng.random(4000) < 0.2, -1, keys[3])
     weight = rng.integers(1, 4, 4000)
-    for hot in (0, 2):
+    for shared in ([0, 0, 0, 0], [0, 0, 5, 2]):
         want = Counter()
         for row, w in zip(zip(*(k.tolist() for k in keys)), weight.tolist()):
             for d in range(4):
                 if row[d] >= 0:
                     want[row[: d + 1]] += w
-        want = {k: n for k, n in want.items() if n >= 30 or all(w < hot for w in k[1:])}
-        found = multikey_counts(keys, weight, 30, hot, small)
+        want = {k: n for k, n in want.items() if n >= 30 or (len(k) > 1 and all(w < shared[len(k) - 1] for w in k[1:]))}
+        found = multikey_counts(keys, weight, 30, shared, small)
         got = [(tuple(int(k[i]) for k in keys[: d + 1]), int(n)) for d, (at, counts) in enumerate(found) for i, n in zip(at, counts)]
         assert len(got) == len(set(got)) and dict(got) == want
 
 
 def test_a_bitmap_has_all_its_marks(spark):
     marks = np.random.default_rng(6).integers(-(2**63), 2**63 - 1, 500)
-    words = spark.createDataFrame([(int(m),) for m in marks], "mark bigint")
+    names = [f"w{m}" for m in marks.tolist()]
+    words = spark.createDataFrame([(lang, w) for lang in ("en", "ñ") for w in names], "lang string, word string")
     bits = bitmap(words)
-    assert has(bits, marks.view(np.uint64)).all() and has(bits, np.arange(10**5).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).mean() < 0.1
+    assert all(has(bits, _marks(lang, [w.encode() for w in names])).all() for lang in ("en", "ñ")) and not has(bits, _marks("de", [b"w"] * 3)).all()
+    assert has(bits, np.arange(10**5).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).mean() < 0.1
     assert not bitmap(words.where("false")).any() and len(bitmap(words, 1024)) == 16
