@@ -3,12 +3,13 @@
 A text is lower-cased, everything but letters becomes a space, and its byte n-grams (2 to 4, none of two spaces in a
 row) are hashed to rows of an embedding table; the mean of the rows goes through a linear softmax. Embeddings
 and weights are trained by stochastic gradient descent in numpy on a bounded sample of labelled documents: at most about
-``PER_LANG`` per language, drawn by a hash of the id. A fifth of the sample calibrates: a temperature for the
+``PER_LANG`` (and ``CHARS`` characters) per language, drawn by a hash of the id, of the ``MAX_LANGS`` labels that the most labelled rows have (ties: the smaller label). A fifth of the sample calibrates: a temperature for the
 probabilities, and the score below which a prediction is rejected. Since the model is linear after the
 mean, tasks carry the product of both tables, one number per n-gram and language.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected, as is every text if there is
-nothing to learn from; a null label teaches nothing; columns named like the results give way to them; every row gives one row.
+nothing to learn from; a null label teaches nothing, nor does one beyond the ``MAX_LANGS``; of equally likely languages the smaller name is
+told; a text of any length counts whole, rows that repeat teach again; columns named like the results give way to them; every row gives one row.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType
 from .common import fold_of, small_batches
 
 ORDERS, BUCKETS, DIM = (2, 3, 4), 1 << 15, 16
-PER_LANG, MAX_LANGS = 500, 400
+PER_LANG, MAX_LANGS, CHARS = 500, 400, 8_000_000
 EPOCHS, RATE, SEED = 6, 0.5, 11
 FOLDS, HELD_OUT = 4, 2
 # Share of right predictions that rejection may cost on the calibration sample, and the highest threshold it may set.
@@ -137,15 +138,15 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray, loss: float = LOSS,
     return model
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model | None:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, chars: int = CHARS, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model | None:
     """Train on labelled documents outside the held-out fold: a bounded sample, whole texts."""
     labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(fold_of("doc_id", folds) != held_out)
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))).otherwise(share)
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    share = None
+    for r in sizes.orderBy(F.desc("n"), "lang").limit(max_langs).collect():
+        here = F.lit(min(1.0, per_lang / r["n"], chars / max(1, r["chars"])))
+        share = F.when(F.col("lang") == r["lang"], here) if share is None else share.when(F.col("lang") == r["lang"], here)
+    share = F.lit(0.0) if share is None else share.otherwise(0.0)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
     rows = labelled.where(draw < share).select("doc_id", "text", "lang").collect()
     rows = sorted((r for r in rows if has_letter(r["text"])), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["text"]))

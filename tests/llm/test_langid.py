@@ -1,6 +1,8 @@
 import random
 from zlib import crc32
 
+import numpy as np
+
 from helpers import DOCS, documents
 
 from kgspark.llm.langid import BUCKETS, fit, has_letter, predict, subwords, train
@@ -67,3 +69,41 @@ def test_subwords_by_hand():
 def test_sample_is_bounded(spark):
     model = fit(documents(spark, corpus(400)), per_lang=20)
     assert model.langs == sorted(SYLLABLES)
+
+
+def test_more_labels_than_the_table_holds(spark):
+    rows = corpus(300) + [(1000 + i, "some words of no language", f"label{i}") for i in range(450)]
+    model = fit(documents(spark, rows), max_langs=6)
+    assert set(SYLLABLES) < set(model.langs) and len(model.langs) == 6
+    # Of the labels with one row each the smallest are learnt.
+    rare = sorted(f"label{i}" for i in range(450) if crc32(str(1000 + i).encode()) % 4 != 2)
+    assert sorted(set(model.langs) - set(SYLLABLES)) == rare[:3]
+    found = predict(documents(spark, rows), model=fit(documents(spark, rows)))
+    assert found.count() == len(rows) and {r["lang_pred"] for r in found.collect()} <= {lang for *_, lang in rows} | {"und"}
+
+
+def test_a_bound_of_characters(spark):
+    rows = [(i, "th er on " * 50, "en") for i in range(200)] + [(i, "sch ein ung", "de") for i in range(200, 240)]
+    assert fit(documents(spark, rows), chars=1) is None
+    assert set(fit(documents(spark, rows), chars=5000).langs) == {"de", "en"}
+
+
+def test_predictions_equal_one_ngram_at_a_time():
+    rows = corpus(200, seed=3)
+    model = train([t for _, t, _ in rows], [lang for *_, lang in rows])
+    for _, text, _ in [*corpus(20, seed=9), (0, "Ça va, l'été? Größe 12 x", "")]:
+        data = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in b" " + text.lower().encode() + b"    ")
+        sums, n = np.zeros(len(model.langs)), 0
+        for order in (2, 3, 4):
+            for i in range(len(data)):
+                gram = (data + b"    ")[i : i + order]
+                if b"  " in gram:
+                    continue
+                key = order
+                for b in gram:
+                    key = key * 0x01000193 % 2**32 ^ b
+                sums += model.table[key * 0x9E3779B1 % 2**32 >> 17]
+                n += 1
+        logits = (sums / max(1, n) + model.bias) / model.temperature
+        want = np.exp(logits - logits.max())
+        assert np.allclose(model.probabilities([text])[0], want / want.sum(), atol=1e-6)
