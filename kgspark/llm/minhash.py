@@ -13,7 +13,8 @@ are searched for all their links, in blocks of members; a block pair returns a f
 connected components.
 
 Defined results: a document without a word (null or empty text) is a class of its own, as is one with a null id; fewer than five
-words form one shingle; rows that share an id are one document, of which ``deduplicate`` keeps one row; other columns
+words form one shingle; rows that share an id are one document with several sets, all in one class, of which ``deduplicate`` keeps the row with the smallest
+text (equal texts: by a hash of the row); very long texts are shingled whole, alone in memory; other columns
 pass through ``deduplicate``; an empty table gives an empty result. A class is named by its smallest id.
 """
 
@@ -66,7 +67,7 @@ def shingles(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, n
     for i in range(words):
         # Beyond the end of a short document there is nothing to add.
         here = np.zeros(len(flat), np.uint64)
-        here[: len(flat) - i] = hashed[i:]
+        here[: max(0, len(flat) - i)] = hashed[i:]
         total = mixed(total + _GOLD) ^ np.where(left > i, here, np.uint64(i))
     first = np.arange(len(flat)) == (ends - sizes)[doc]
     keep = (left >= words) | (first & (sizes[doc] < words))
@@ -149,13 +150,10 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int
         for batch in batches:
             for at, texts in _chunks(batch.column("text")):
                 doc, element, count = shingles(texts, words)
-                sizes = np.bincount(doc, minlength=len(texts))
                 keys, owner = _bands(doc, element, count, len(texts), bands, rows)
-                d1, d2 = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
-                np.add.at(d1, doc, mixed(element + np.uint64(1)))
-                np.add.at(d2, doc, mixed(element ^ _GOLD))
+                sizes, d1, d2 = _digests(doc, element, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
+                    [batch.column("doc_id").slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(d1), pa.array(d2),
                      pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner, minlength=len(texts)))).astype(np.int32)), pa.array(keys))],
                     names=["doc_id", "n", "d1", "d2", "bands"],
                 )
@@ -164,18 +162,28 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int
     return docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>")
 
 
+def _digests(doc: np.ndarray, element: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of distinct shingles and two sums over them, per document."""
+    d1, d2 = np.zeros(docs, np.uint64), np.zeros(docs, np.uint64)
+    np.add.at(d1, doc, mixed(element + np.uint64(1)))
+    np.add.at(d2, doc, mixed(element ^ _GOLD))
+    return np.bincount(doc, minlength=docs), d1.view(np.int64), d2.view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(node, set): the distinct shingle hashes of each document, sorted."""
+    """(doc_id, n, d1, d2, set): the distinct shingle hashes of each row, sorted, with their number and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in _chunks(batch.column("text")):
                 doc, element, _ = shingles(texts, words)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]).astype(np.int32)
-                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(element.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, len(texts)), sets], names=["node", "set"])
+                sizes, d1, d2 = _digests(doc, element, len(texts))
+                sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(element.view(np.int64)))
+                columns = [batch.column("doc_id").slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(d1), pa.array(d2), sets]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d1", "d2", "set"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").mapInArrow(run, "node bigint, set array<bigint>")
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, set array<bigint>")
 
 
 def _block_links(threshold: float):
@@ -226,49 +234,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, b
     small_batches(docs.sparkSession)
     signed = stage(signatures(docs, bands, rows, words), "signatures")
     real = signed.where("doc_id IS NOT NULL AND n > 0")
-    same = ["n", "d1", "d2"]
-    sets = real.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    sets = stage(sets, "shingle_classes", few=True)
-    # Buckets with company. The smallest id of a bucket and a digest of its members are combined aggregates.
+    same, repeats = ["n", "d1", "d2"], _repeats(signed)
+    # A shingle set is the node that is linked. Its first document names it; where rows repeat ids, one id may name several sets, and they are numbered.
+    sets = real.groupBy(*same).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    sets = stage(sets.withColumn("node", F.monotonically_increasing_id() if repeats else F.col("first")), "shingle_classes")
+    # Buckets with company. The smallest node of a bucket and a digest of its members are combined aggregates.
     placed = sets.select(F.explode("bands").alias("key"), "node", "n")
     buckets = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
     buckets = buckets.where("size > 1").groupBy("size", "hub", "who").agg(F.min("key").alias("key"))
-    members = stage(placed.join(buckets.select("key", "size", "hub"), "key").select("key", "size", "hub", "node", "n"), "buckets", few=True)
+    members = stage(placed.join(buckets.select("key", "size", "hub"), "key").select("key", "size", "hub", "node", "n"), "buckets")
+    edges = _links(docs, sets, members, repeats, threshold, words, block) if members.head(1) else None
+    if repeats:
+        return _classes_of_repeated_ids(signed, sets, edges)
     # Copies follow the document that stands for them; only those documents are linked.
-    twins = real.join(sets.where("copies > 1").select(*same, "node"), same).select("doc_id", "node").where("doc_id <> node").distinct()
-    edges = None
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    if members.head(1):
-        wanted = stage(wanted, "wanted", few=True)
-        few = wanted.count() <= BROADCAST_IDS
-        chosen = docs.select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-        # Rows that share an id are told apart by their sets: the smallest id stands for exactly one set.
-        found = stage(shingle_sets(chosen, words).dropDuplicates(["node"]) if _repeats(signed) else shingle_sets(chosen, words), "shingle_sets")
-        sized = members.select("hub", "node", "n").where("hub <> node").distinct()
-        hubs = members.where("hub = node").select("hub", F.col("n").alias("m")).distinct()
-        near = sized.join(hubs, "hub").where(F.least("n", "m") >= threshold * F.greatest("n", "m")).select("hub", "node")
-        pairs = near.join(found, "node").withColumnRenamed("set", "one").join(found.select(F.col("node").alias("hub"), F.col("set").alias("two")), "hub")
-        both = F.size(F.array_intersect("one", "two"))
-        linked = pairs.where(both >= threshold * (F.size("one") + F.size("two") - both)).select(F.col("node").alias("u"), F.col("hub").alias("v"))
-        stars = stage(linked, "star_links", few=True)
-        low = components(stars)
-        named = members.join(low.select(F.col("u").alias("node"), F.col("v").alias("low")), "node", "left").withColumn("low", F.coalesce("low", "node"))
-        mixed_ = named.where("size > 2").groupBy("key").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a <> b").select("key")
-        open_ = stage(members.join(mixed_, "key").select("key", "size", "node"), "open_buckets", few=True)
-        edges = stars
-        if open_.head(1):
-            blocks = _numbered(open_, block).join(found, "node")
-            keys = ["key", "i", "j"]
-            blocks = stage(blocks, "bucket_blocks", few=True)
-            left = blocks.select("key", F.col("b").alias("i"), F.explode(F.sequence(F.col("b"), F.col("parts") - 1)).alias("j"), "node", "set")
-            right = blocks.select(F.col("key").alias("key"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"), F.col("node").alias("node"), F.col("set").alias("set"))
-            rest = left.groupBy(*keys).cogroup(right.groupBy(*keys))
-            edges = edges.unionByName(stage(rest.applyInArrow(_block_links(threshold), "u bigint, v bigint"), "block_links", few=True))
-    # A row that repeats an id with another text makes its sets one class as well.
-    if _repeats(signed):
-        twice = twins.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-        edges = twice if edges is None else edges.unionByName(twice)
-        twins = twins.groupBy("doc_id").agg(F.min("node").alias("node"))
+    twins = real.join(sets.where("copies > 1").select(*same, "node"), same).select("doc_id", "node").where("doc_id <> node")
     named = signed.select("doc_id", F.col("n").alias("n_shingles")).join(twins, "doc_id", "left").withColumn("node", F.coalesce("node", "doc_id"))
     if edges is None:
         return named.select("doc_id", F.col("node").alias("class_id"), "n_shingles")
@@ -276,6 +255,53 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, b
     return named.join(low, "node", "left").select("doc_id", F.coalesce("low", "node").alias("class_id"), "n_shingles")
 
 
+def _links(docs: DataFrame, sets: DataFrame, members: DataFrame, repeats: bool, threshold: float, words: int, block: int) -> DataFrame:
+    """(u, v): links of nodes at or above the threshold, enough of them to join all that are linked."""
+    wanted = stage(members.select("node").distinct(), "wanted", few=True)
+    few = wanted.count() <= BROADCAST_IDS
+    of = sets.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").select("first", "node", "n", "d1", "d2") if repeats else wanted.select(F.col("node").alias("first"))
+    ids = of.select(F.col("first").alias("doc_id")).distinct()
+    chosen = docs.select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    found = shingle_sets(chosen, words)
+    if repeats:
+        # A row of such an id is told by its digest; equal rows have equal sets.
+        found = found.join(of.withColumnRenamed("first", "doc_id"), ["doc_id", "n", "d1", "d2"]).dropDuplicates(["node"]).select("node", "set")
+    else:
+        found = found.select(F.col("doc_id").alias("node"), "set")
+    found = stage(found, "shingle_sets")
+    sized = members.select("hub", "node", "n").where("hub <> node").distinct()
+    hubs = members.where("hub = node").select("hub", F.col("n").alias("m")).distinct()
+    near = sized.join(hubs, "hub").where(F.least("n", "m") >= threshold * F.greatest("n", "m")).select("hub", "node")
+    pairs = near.join(found, "node").withColumnRenamed("set", "one").join(found.select(F.col("node").alias("hub"), F.col("set").alias("two")), "hub")
+    both = F.size(F.array_intersect("one", "two"))
+    linked = pairs.where(both >= threshold * (F.size("one") + F.size("two") - both)).select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    stars = stage(linked, "star_links")
+    low = components(stars)
+    named = members.join(low.select(F.col("u").alias("node"), F.col("v").alias("low")), "node", "left").withColumn("low", F.coalesce("low", "node"))
+    mixed_ = named.where("size > 2").groupBy("key").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a <> b").select("key")
+    open_ = stage(members.join(mixed_, "key").select("key", "size", "node"), "open_buckets")
+    if not open_.head(1):
+        return stars
+    keys = ["key", "i", "j"]
+    blocks = stage(_numbered(open_, block).join(found, "node"), "bucket_blocks")
+    left = blocks.select("key", F.col("b").alias("i"), F.explode(F.sequence(F.col("b"), F.col("parts") - 1)).alias("j"), "node", "set")
+    right = blocks.select(F.col("key").alias("key"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"), F.col("node").alias("node"), F.col("set").alias("set"))
+    rest = left.groupBy(*keys).cogroup(right.groupBy(*keys))
+    return stars.unionByName(stage(rest.applyInArrow(_block_links(threshold), "u bigint, v bigint"), "block_links"))
+
+
+def _classes_of_repeated_ids(signed: DataFrame, sets: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """The classes if some ids have several rows: all sets of an id are one class, which its smallest id names."""
+    rows = stage(signed.where("doc_id IS NOT NULL AND n > 0").join(sets.select("n", "d1", "d2", "node"), ["n", "d1", "d2"]).select("doc_id", "node"), "rows_of_sets")
+    first = stage(rows.groupBy("doc_id").agg(F.min("node").alias("hub")), "first_sets")
+    together = rows.join(first, "doc_id").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    low = components(together if edges is None else edges.unionByName(together)).select(F.col("u").alias("hub"), F.col("v").alias("low"))
+    placed = stage(first.join(low, "hub", "left").select("doc_id", F.coalesce("low", "hub").alias("low")), "placed_ids")
+    names = stage(placed.groupBy("low").agg(F.min("doc_id").alias("class_id")), "class_names")
+    of = placed.join(names, "low").select("doc_id", "class_id")
+    return signed.select("doc_id", F.col("n").alias("n_shingles")).join(of, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_shingles")
+
+
 def _repeats(signed: DataFrame) -> bool:
     return bool(signed.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").head(1))
 
@@ -295,4 +321,7 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if not twice.head(1):
         return left
     twice = stage(twice, "twice", few=True)
-    return left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    plain = [c for c, kind in left.dtypes if "map<" not in kind and kind != "variant"]
+    first = F.min_by(F.struct(*left.columns), F.struct("text", F.xxhash64(*plain))).alias("row")
+    one = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("row.*")
+    return left.join(twice, "doc_id", "left_anti").unionByName(one)

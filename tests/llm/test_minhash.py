@@ -107,6 +107,7 @@ def test_one_id_with_several_texts_joins_their_classes(spark):
 def test_shingles_by_hand():
     doc, element, count = shingles(["a b c d e a b c d e a", None, "a b", "a b", "A  b\nc d e"])
     assert list(np.bincount(doc, minlength=5)) == [5, 0, 1, 1, 1]
+    assert all(len(shingles([" ".join("abcdefgh"[:n])])[0]) == max(1, n - 4) for n in range(1, 9))
     assert sorted(count[doc == 0].tolist()) == [1, 1, 1, 2, 2]
     assert element[doc == 2] == element[doc == 3] != element[doc == 4] and element[doc == 4][0] in element[doc == 0]
 
@@ -133,3 +134,14 @@ def test_early_termination_changes_nothing():
     assert (together[0] == together[1]).all() and (together[0] == probminhash(doc, element, weight, 1, 64)[0]).all()
     shares = Counter(together[0].tolist())
     assert set(shares) <= set(element.tolist()) and sum(shares.values()) == 64
+
+
+@pytest.mark.parametrize("turn", [0, 1, 2])
+def test_near_copies_of_every_text_of_an_id_are_linked(spark, turn):
+    one, two = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (3, " ".join([*one[:59], "x"])), (4, " ".join([*two[:59], "x"])), (7, "plain other words that nobody repeats here"), (5, None)]
+    rows = rows[turn * 2 :] + rows[: turn * 2]
+    got = rows_of(near_duplicates(documents(spark, rows)), "doc_id", "class_id")
+    assert got == [(3, 3), (4, 3), (5, 3), (5, 3), (5, 3), (7, 7)]
+    kept = deduplicate(documents(spark, [*rows, (1, "z z"), (1, "y y")]))
+    assert rows_of(kept, "doc_id", "text") == [(1, "y y"), (3, rows[(2 - turn * 2) % 6][1]), (7, "plain other words that nobody repeats here")]
