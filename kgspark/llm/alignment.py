@@ -34,7 +34,7 @@ from .tokens import byte_letters, public_path
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Characters encoded and tokens aligned at once, words whose tokens one worker remembers, pairs a task counts before it hands them on.
-CHUNK, TOKENS, REMEMBERED, HELD = 1 << 19, 1 << 17, 150_000, 1 << 19
+CHUNK, TOKENS, REMEMBERED, HELD = 1 << 19, 1 << 17, 400_000, 1 << 19
 # Rows of 13 bytes that may travel to all tasks.
 BROADCAST_PAIRS = 2_000_000
 # B's ids are below this and A's in 16 bits, so a pair fits 32 bits.
