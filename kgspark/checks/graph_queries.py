@@ -11,6 +11,7 @@ from ..operators import provenance as P
 from ..plans import snapshot as S
 from ..session import scratch_path
 from ..sources import embeddings as E
+from ..sources.changes import ChangeLog
 from .oracle import twin
 from .registry import query
 from .views import NOW, SINCE
@@ -217,6 +218,44 @@ def delta_since(v):
     return _delta(v).rows()
 
 
+# Five commits: additions with ids of even length, of odd length (so rows of one second lie in both), retags, deleted edges, deleted concepts.
+_LOG = {
+    "commits": f"""SELECT user_id, 'add_concept' AS change, concept_id AS id, label AS payload, created_at, 1 + length(concept_id) % 2 AS version FROM a_concepts WHERE created_at > {SINCE}
+        UNION ALL SELECT user_id, 'add_edge', edge_id, original_type, created_at, 1 + length(edge_id) % 2 FROM a_edges WHERE created_at > {SINCE}
+        UNION ALL SELECT user_id, 'retag_edge', edge_id, type_slug, created_at, 3 FROM a_type_history WHERE seq_index > 0 AND created_at > {SINCE}
+        UNION ALL SELECT user_id, 'delete_' || kind, entity_id, '', created_at, CASE kind WHEN 'edge' THEN 4 ELSE 5 END FROM tombstones WHERE created_at > {SINCE}""",
+    "readings": "SELECT 0 AS low, 1 AS high UNION ALL SELECT 1, 3 UNION ALL SELECT 3, 5",
+    "told": """SELECT r.low, c.*, bool_or(starts_with(change, 'add_')) OVER w AS adds, bool_or(starts_with(change, 'delete_')) OVER w AS deletes,
+        max(CASE WHEN change = 'retag_edge' THEN {'t': created_at, 'p': payload} END) OVER w AS retag FROM readings r JOIN commits c ON c.version > r.low AND c.version <= r.high
+        WINDOW w AS (PARTITION BY r.low, c.user_id, split_part(c.change, '_', 2), c.id)""",
+}
+
+
+@query("delta_since_version", twin(
+    """SELECT DISTINCT CAST(low AS INTEGER) AS from_version, user_id, change, id, CASE WHEN change IN ('add_edge', 'retag_edge') THEN coalesce(retag.p, payload) ELSE payload END AS payload
+       FROM told WHERE CASE WHEN starts_with(change, 'delete_') THEN TRUE WHEN deletes THEN FALSE WHEN change = 'retag_edge' THEN NOT adds ELSE TRUE END""", **_LOG))
+def delta_since_version(v):
+    """Three readings of a log of five commits, each from the cursor of the one before: rows of one second that lie in two commits come once each."""
+    log = ChangeLog(v.spark, scratch_path(v.spark, "log"))
+    late = lambda df: df.where(F.col("created_at") > SINCE)
+    concepts = late(v.a_concepts).select("user_id", F.lit("add_concept").alias("change"), F.col("concept_id").alias("id"), "label", "created_at")
+    edges = late(v.a_edges).select("user_id", F.lit("add_edge").alias("change"), F.col("edge_id").alias("id"), "source_concept_id", "target_concept_id",
+                                   "original_type", F.col("original_type").alias("current_type"), "created_at")
+    added = concepts.unionByName(edges, allowMissingColumns=True)
+    gone = late(v.tombstones).select("user_id", F.concat(F.lit("delete_"), "kind").alias("change"), F.col("entity_id").alias("id"), "created_at")
+    retags = late(v.a_type_history).where("seq_index > 0").select("user_id", F.lit("retag_edge").alias("change"), F.col("edge_id").alias("id"),
+                                                                 F.col("type_slug").alias("current_type"), "created_at")
+    commits = [added.where(F.length("id") % 2 == 0), added.where(F.length("id") % 2 == 1), retags, gone.where("change = 'delete_edge'"), gone.where("change = 'delete_concept'")]
+    found, cursor = [], 0
+    for upto, batch in ((1, commits[:1]), (3, commits[1:3]), (5, commits[3:])):
+        for rows in batch:
+            log.append(rows)
+        delta = S.delta_since_version(log, cursor)
+        found.append(delta.rows().select(F.lit(cursor).alias("from_version"), "user_id", "change", "id", "payload"))
+        cursor = delta.cursor
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("apply_delta", twin(
     f"""SELECT user_id, edge_id, source_concept_id, target_concept_id, original_type,
         CASE WHEN created_at <= {SINCE} AND NOT late THEN old_type ELSE current_type END AS current_type, created_at FROM (

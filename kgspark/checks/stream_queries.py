@@ -136,13 +136,14 @@ def stream_snapshot(v):
     """The snapshot held at the cursor, kept current by the stream of changes; equals one applied delta."""
     old = v.a_type_history.where((F.col("created_at") <= SINCE) | (F.col("seq_index") == 0))
     start = S.topology(v.a_concepts.where(F.col("created_at") <= SINCE), v.a_edges.where(F.col("created_at") <= SINCE), old)
-    held = HeldSnapshot(v.spark, start)
     changes = change_rows(v)
     path = scratch_path(v.spark, "changes")
     for version in (1, 2, 3):
         changes.where(F.col("version") == version).coalesce(1).write.mode("append").parquet(path)
     stream = v.spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    finish(start_snapshot(stream, held, f"{path}-checkpoint"))
+    finish(start_snapshot(stream, HeldSnapshot(v.spark, start, root=f"{path}-held"), f"{path}-checkpoint"))
+    # As a restarted driver finds it.
+    held = HeldSnapshot(v.spark, start, root=f"{path}-held")
     return held.current.edges.select("user_id", "edge_id", "current_type")
 
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import modularity_gain
-from ..schema import GAIN_EPSILON, MAX_LEVELS, MAX_PASSES
+from ..schema import GAIN_EPSILON, MAX_LEVELS
 from ..session import cut
 from .provenance import with_both_ends
 from .skew import ranked
 
-# Weighted edges of a tenant that one task may hold: some tens of MB.
-SMALL_EDGES = 200_000
+# A tenant leaves a level when the moves that its nodes still want are worth less modularity than this together, or than this share
+# of what they wanted at first.
+TOLERANCE, SHARE = 1e-4, 0.02
+# Passes of one level at most; every pass raises modularity, and the levels above move on from where a level stops.
+LEVEL_PASSES = 30
 
 
 def undirected_weights(edges: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -69,67 +71,66 @@ def aggregate_level(weights: DataFrame, assignment: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(adjacent: DataFrame, state: DataFrame) -> DataFrame:
-    """Per node its best other community and its current one: gains of moving and of staying."""
-    placed = state.select("user_id", F.col("node").alias("other"), "community")
-    into = (
-        adjacent.join(placed, ["user_id", "other"])
-        .groupBy("user_id", "node", "community").agg(F.sum("weight").alias("weight_into"))
-    )
-    sigma = state.groupBy("user_id", "community").agg(F.sum("degree").alias("sigma"), F.count(F.lit(1)).alias("members"))
-    own = state.select("user_id", "node", F.col("community").alias("own"), "degree", "total")
-    scored = (
-        into.join(own, ["user_id", "node"]).join(sigma, ["user_id", "community"])
-        .withColumn("stays", F.col("community") == F.col("own"))
-        .withColumn(
-            "gain",
-            modularity_gain(
-                F.col("weight_into"),
-                F.col("sigma") - F.when(F.col("stays"), F.col("degree")).otherwise(0.0),
-                F.col("degree"), F.col("total"),
-            ),
-        )
-    )
-    best = F.max(F.when(~F.col("stays"), F.struct("gain", "community", "members")))
-    folded = scored.groupBy("user_id", "node").agg(
-        best.alias("best"), F.max(F.when(F.col("stays"), F.col("weight_into"))).alias("own_weight")
-    )
-    back = own.join(sigma.select("user_id", F.col("community").alias("own"), F.col("sigma").alias("own_sigma"),
-                                 F.col("members").alias("own_members")), ["user_id", "own"])
-    # A node with no link into its own community scores by the community's remaining degree alone.
-    own_weight = F.coalesce("own_weight", F.lit(0.0))
-    return back.join(folded, ["user_id", "node"], "left").select(
-        "user_id", "node", "degree", "total", "own", "own_members", F.col("best.community").alias("target"),
-        F.col("best.gain").alias("gain"), F.col("best.members").alias("target_members"), own_weight.alias("own_weight"), "own_sigma",
-        modularity_gain(own_weight, F.col("own_sigma") - F.col("degree"), F.col("degree"), F.col("total")).alias("stay_gain"),
+def _wanted(adjacent: DataFrame, state: DataFrame, active: DataFrame | None) -> DataFrame:
+    """``user_id, node, own, degree, total, pass, gained, target, step``: the active nodes that would gain by moving.
+
+    ``gained`` is the best gain anywhere; ``target`` and its gain ``step`` are set if the node may move in this pass, in which one random
+    half of the communities gives nodes away and the other half takes them. A node weighs its own community like any other,
+    without itself.
+    """
+    active = state.select("user_id", "node") if active is None else active
+    gain = modularity_gain(F.col("weight_into"), F.expr("sigma - if(community = own, degree, 0D)"), F.col("degree"), F.col("total"))
+    scored = state.sparkSession.sql(
+        """WITH movers AS (SELECT user_id, node, community AS own, degree, total, pass FROM {state} LEFT SEMI JOIN {active} USING (user_id, node)),
+        links AS (
+          SELECT n.user_id, n.node, s.community, n.weight FROM (SELECT * FROM {adjacent} LEFT SEMI JOIN {active} USING (user_id, node)) n
+          JOIN {state} s ON s.user_id = n.user_id AND s.node = n.other
+          UNION ALL SELECT user_id, node, own, 0D FROM movers),
+        into AS (SELECT user_id, node, community, sum(weight) AS weight_into FROM links GROUP BY user_id, node, community),
+        sigma AS (SELECT user_id, community, sum(degree) AS sigma FROM {state} GROUP BY user_id, community)
+        SELECT * FROM into JOIN movers USING (user_id, node) JOIN sigma USING (user_id, community)""",
+        state=state, active=active, adjacent=adjacent,
+    ).withColumn("gain", gain)
+    return state.sparkSession.sql(
+        """SELECT user_id, node, own, degree, total, pass, best - stay AS gained, if(now.gain > stay + {epsilon}, now.community, NULL) AS target,
+          if(now.gain > stay + {epsilon}, now.gain - stay, NULL) AS step
+        FROM (
+          SELECT user_id, node, own, degree, total, pass, max(gain) FILTER (WHERE community <> own) AS best, max(gain) FILTER (WHERE community = own) AS stay,
+            max(struct(gain, community)) FILTER (WHERE community <> own AND pmod(xxhash64(user_id, community, pass), 2) = 1 AND pmod(xxhash64(user_id, own, pass), 2) = 0) AS now
+          FROM {scored} GROUP BY user_id, node, own, degree, total, pass)
+        WHERE best > stay + {epsilon}""",
+        scored=scored, epsilon=GAIN_EPSILON,
     )
 
 
-def move_round(adjacent: DataFrame, state: DataFrame, round_: int) -> DataFrame:
-    """One parallel pass of local moving. Half the nodes (by hash and round) may move at a time.
+def _accepted(wanted: DataFrame) -> DataFrame:
+    """``user_id, node, target``: moves that together gain at least what each is counted for.
 
-    Two lone nodes join only towards the smaller community id, so a pair cannot swap places for ever.
+    Moves stand in steps of halving gain and, inside a step, in random classes of doubling size. A move counts the degrees that
+    enter its target and leave its community in the classes before and in its own; whatever else happens at once (companions that come
+    along) only adds to modularity. Communities carry one number for each class, so none is gathered.
     """
-    turn = F.pmod(F.xxhash64("user_id", "node", F.lit(round_)), F.lit(2)) == 0
-    lone_pair = (F.col("own_members") == 1) & (F.col("target_members") == 1)
-    wins = (
-        F.col("target").isNotNull()
-        & (F.col("gain") > F.col("stay_gain") + GAIN_EPSILON)
-        & (~lone_pair | (F.col("target") < F.col("own")))
-    )
-    scored = _candidates(adjacent, state).withColumn("wants", F.coalesce(wins, F.lit(False)))
-    return scored.select(
-        "user_id", "node", F.when(F.col("wants") & turn, F.col("target")).otherwise(F.col("own")).alias("community"),
-        "degree", "total", F.col("own").alias("was"), "wants", "own_weight", "own_sigma",
+    return wanted.sparkSession.sql(
+        """WITH drawn AS (SELECT *, xxhash64(user_id, node, pass) AS draw FROM {wanted} WHERE target IS NOT NULL),
+        moves AS (SELECT *, -(floor(log2(step)) * 64 + least(bit_count((draw & -draw) - 1), 63)) AS rank FROM drawn),
+        flows AS (
+          SELECT user_id, community, rank, sum(sum(degree)) OVER (PARTITION BY user_id, community ORDER BY rank) AS flow
+          FROM (SELECT user_id, explode(array(own, target)) AS community, rank, degree FROM moves) GROUP BY user_id, community, rank)
+        SELECT m.user_id, m.node, m.target FROM moves m
+        JOIN flows s ON s.user_id = m.user_id AND s.community = m.own AND s.rank = m.rank
+        JOIN flows t ON t.user_id = m.user_id AND t.community = m.target AND t.rank = m.rank
+        WHERE m.step > (s.flow + t.flow - 2 * m.degree) * m.degree / (2 * m.total * m.total)""",
+        wanted=wanted,
     )
 
 
-def local_moving(weights: DataFrame, max_passes: int = MAX_PASSES) -> tuple[DataFrame, DataFrame]:
-    """Communities after local moving over all nodes of ``weights`` (``user_id, node, community``), and the tenants
-    (``user_id``) whose modularity it raised.
+def local_moving(weights: DataFrame, max_passes: int = LEVEL_PASSES, tolerance: float = TOLERANCE, share: float = SHARE) -> DataFrame:
+    """Communities after local moving over all nodes of ``weights``: ``user_id, node, community``.
 
-    Every tenant is measured, stopped and given its best pass by itself: it leaves the loop when none of its nodes wants to
-    move or the passes are used up, whatever other tenants do.
+    A pass makes many moves at once, none of which spoils another, so modularity rises with every pass. Only nodes on the
+    worklist are scored: those next to a node that moved, and those that still want to move. A tenant leaves when its
+    worklist is empty, when what its nodes want is worth less than ``tolerance`` or than ``share`` of what they wanted first, or after
+    ``max_passes``, whatever other tenants do.
     """
     adjacent = cut(
         weights.where("a <> b").select(
@@ -140,137 +141,98 @@ def local_moving(weights: DataFrame, max_passes: int = MAX_PASSES) -> tuple[Data
         ),
         "adjacent",
     )
-    loops = weights.where("a = b").groupBy("user_id").agg(F.sum("weight").alias("loops"))
-    columns = ["user_id", "node", "community", "degree", "total"]
     state = cut(
         degrees(weights).join(total_weights(weights), "user_id").select(
-            "user_id", "node", F.col("node").alias("community"), "degree", "total"
+            "user_id", "node", F.col("node").alias("community"), "degree", "total", F.lit(False).alias("moved"), F.lit(0).alias("pass")
         ),
         "louvain_state",
     )
-    passes, measures = [], None
-    for round_ in range(max_passes):
-        moved = cut(move_round(adjacent, state, round_), "louvain_round")
-        passes.append(moved)
-        # The pass measures the assignment it started from.
-        measured = cut(
-            moved.groupBy("user_id").agg(
-                F.sum("own_weight").alias("inside"), F.sum(F.col("degree") * F.col("own_sigma")).alias("squares"),
-                F.max("total").alias("total"), F.count_if("wants").alias("wants"),
-            ).join(loops, "user_id", "left").select(
-                "user_id", "wants", F.lit(round_).alias("pass"),
-                ((F.col("inside") / 2 + F.coalesce("loops", F.lit(0.0))) / F.col("total")
-                 - F.col("squares") / (4.0 * F.col("total") * F.col("total"))).alias("q"),
+    node, active, first = ["user_id", "node"], None, None
+    for _ in range(max_passes):
+        wanted = cut(_wanted(adjacent, state, active), "louvain_wanted")
+        going = wanted.groupBy("user_id").agg(F.sum("gained").alias("gained")).where(F.col("gained") >= tolerance)
+        if first is not None:
+            going = going.join(first, "user_id").where(F.col("gained") >= share * F.col("first"))
+        going = cut(going.select("user_id", "gained"), "louvain_going")
+        first = going.withColumnRenamed("gained", "first") if first is None else first
+        if not going.head(1):
+            break
+        wanted = wanted.join(going, "user_id", "left_semi")
+        state = cut(
+            # The number of the pass is data, so that all passes run the same generated code.
+            state.join(_accepted(wanted), node, "left").select(
+                *node, F.coalesce("target", "community").alias("community"), "degree", "total", F.col("target").isNotNull().alias("moved"), (F.col("pass") + 1).alias("pass")
             ),
-            "louvain_measure",
+            "louvain_state",
         )
-        measures = measured if measures is None else measures.unionByName(measured)
-        still = measured.where("wants > 0").select("user_id")
-        if not still.head(1):
-            break
-        state = moved.join(still, "user_id", "left_semi").select(*columns)
-    # The first of the best passes of each tenant, and whether it is better than where the tenant started.
-    best = cut(
-        measures.groupBy("user_id").agg(
-            F.max_by("pass", F.struct("q", -F.col("pass"))).alias("pass"), F.max("q").alias("q"),
-            F.max(F.when(F.col("pass") == 0, F.col("q"))).alias("start"),
-        ),
-        "louvain_best",
-    )
-    used = [r["pass"] for r in best.select("pass").distinct().collect()]  # at most ``max_passes``
-    chosen = [
-        passes[n].join(best.where(F.col("pass") == n).select("user_id"), "user_id", "left_semi")
-        .select("user_id", "node", F.col("was").alias("community")) for n in sorted(used)
-    ]
-    found = chosen[0]
-    for part in chosen[1:]:
-        found = found.unionByName(part)
-    return found, best.where(F.col("q") > F.col("start") + GAIN_EPSILON).select("user_id")
-
-
-def sequential_communities(ends: list[tuple[str, str, float]], max_levels: int, max_passes: int) -> dict[str, str]:
-    """Louvain over one small weighted graph, node by node in the order of their names; a community is named by its first node."""
-    names = sorted({n for a, b, _ in ends for n in (a, b)})
-    place = {n: i for i, n in enumerate(names)}
-    links: list[dict[int, float]] = [{} for _ in names]
-    loops = [0.0] * len(names)
-    for a, b, w in ends:
-        for x, y in ((place[a], place[b]), (place[b], place[a])):
-            links[x][y] = links[x].get(y, 0.0) + w
-    total, at = sum(w for _, _, w in ends), list(range(len(names)))
-    for _ in range(max_levels):
-        degree = [2 * loops[i] + sum(links[i].values()) for i in range(len(links))]
-        home, sigma, moved = list(range(len(links))), list(degree), False
-        for _ in range(max_passes):
-            quiet = True
-            for i, own in enumerate(list(home)):
-                into: dict[int, float] = {own: 0.0}
-                for j, w in links[i].items():
-                    into[home[j]] = into.get(home[j], 0.0) + w
-                sigma[own] -= degree[i]
-                gain = lambda c, i=i, into=into: into[c] / total - sigma[c] * degree[i] / (2 * total * total)
-                best = max(sorted(into), key=gain)
-                target = best if gain(best) > gain(own) + GAIN_EPSILON else own
-                sigma[target] += degree[i]
-                if target != own:
-                    home[i], quiet, moved = target, False, True
-            if quiet:
-                break
-        if not moved:
+        moved = state.where("moved").select("user_id", F.col("node").alias("other"))
+        beside = adjacent.join(moved, ["user_id", "other"], "left_semi").select(*node)
+        active = beside.unionByName(wanted.select(*node)).distinct()
+    return state.select("user_id", "node", "community")
+
+
+def level_quality(level: DataFrame) -> DataFrame:
+    """``user_id, q``: modularity of the communities that are the nodes of an aggregated level."""
+    inside = level.groupBy("user_id").agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0)).alias("inside"))
+    squares = degrees(level).groupBy("user_id").agg(F.sum(F.col("degree") * F.col("degree")).alias("squares"))
+    total = F.col("total")
+    return inside.join(squares, "user_id").select("user_id", (F.col("inside") / total - F.col("squares") / (4.0 * total * total)).alias("q"))
+
+
+def connected(weights: DataFrame, assignment: DataFrame) -> DataFrame:
+    """``assignment`` with every community split into its connected parts, each named by its smallest node.
+
+    Inside weight stays and squared degrees shrink, so modularity never falls. Labels spread to neighbours and jump to the
+    label of their label; each round is written.
+    """
+    comm = lambda c: assignment.select("user_id", F.col("node").alias(c), F.col("community").alias(f"c{c}"))
+    inner = weights.where("a <> b").join(comm("a"), ["user_id", "a"]).join(comm("b"), ["user_id", "b"]).where("ca = cb")
+    links = cut(inner.select("user_id", F.inline(F.array(
+        F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"))
+    ))), "inner_links")
+    # Each node starts with its smallest neighbour or itself; nodes without inner links are parts of their own.
+    label = cut(links.groupBy("user_id", "node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "part_labels")
+    while True:
+        there = label.select("user_id", F.col("node").alias("other"), F.col("label").alias("theirs"))
+        spread = links.join(there, ["user_id", "other"]).groupBy("user_id", "node").agg(F.min("theirs").alias("theirs"))
+        low = label.join(spread, ["user_id", "node"]).select("user_id", "node", F.col("label").alias("was"), F.least("label", "theirs").alias("low"))
+        jump = label.select("user_id", F.col("node").alias("low"), F.col("label").alias("label"))
+        after = cut(low.join(jump, ["user_id", "low"]).select("user_id", "node", "was", F.least("low", "label").alias("label")), "part_labels")
+        label = after.drop("was")
+        if not after.where("was <> label").head(1):
             break
-        new = {c: n for n, c in enumerate(dict.fromkeys(home))}
-        at = [new[home[i]] for i in at]
-        up: list[dict[int, float]] = [{} for _ in new]
-        inside = [0.0] * len(new)
-        for i, near in enumerate(links):
-            c = new[home[i]]
-            inside[c] += loops[i]
-            for j, w in near.items():
-                d = new[home[j]]
-                if c == d:
-                    inside[c] += w / 2
-                else:
-                    up[c][d] = up[c].get(d, 0.0) + w
-        links, loops = up, inside
-    first: dict[int, str] = {}
-    return {n: first.setdefault(at[i], n) for i, n in enumerate(names)}
-
-
-def small_communities(weights: DataFrame, max_levels: int, max_passes: int) -> DataFrame:
-    """``user_id, node, community`` of tenants whose edges are few: a tenant is one group of bounded size."""
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        found = sequential_communities(list(zip(rows["a"], rows["b"], rows["weight"])), max_levels, max_passes)
-        return pd.DataFrame({"user_id": rows["user_id"].iloc[0], "node": list(found), "community": list(found.values())})
-
-    return weights.groupBy("user_id").applyInPandas(solve, "user_id string, node string, community string")
-
-
-def louvain(edges: DataFrame, concepts: DataFrame, max_levels: int = MAX_LEVELS, max_passes: int = MAX_PASSES,
-            small_edges: int = SMALL_EDGES) -> DataFrame:
+    return assignment.join(label, ["user_id", "node"], "left").select("user_id", "node", F.coalesce("label", "node").alias("community"))
+
+
+def louvain(edges: DataFrame, concepts: DataFrame, max_levels: int = MAX_LEVELS, max_passes: int = LEVEL_PASSES,
+            tolerance: float = TOLERANCE, share: float = SHARE) -> DataFrame:
     """Community per concept: ``user_id, concept_id, community``. Concepts without edges stay alone.
 
-    A tenant of at most ``small_edges`` weighted edges is clustered node by node in one task, many tenants at a time; larger ones
-    in parallel passes over all their nodes. Either way the outcome for a tenant depends on its own graph alone.
+    Levels of local moving and aggregation, the same joins and aggregations for a tenant of any size. A tenant keeps a level only
+    if it raised its modularity, so the outcome for a tenant depends on its own graph alone. Communities are connected.
     """
     weights = cut(undirected_weights(edges, concepts), "louvain_weights")
-    placed = concepts.select("user_id", F.col("concept_id").alias("node"), F.col("concept_id").alias("community"))
-    large = cut(weights.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small_edges).select("user_id"), "louvain_large")
-    few = small_communities(weights.join(large, "user_id", "left_anti"), max_levels, max_passes)
-    few = few.select("user_id", F.col("node").alias("community"), F.col("community").alias("parent"))
-    placed = cut(_lift(placed, few), "louvain_placed")
-    level = weights.join(large, "user_id", "left_semi")
+    nodes = weights.select("user_id", F.explode(F.array("a", "b")).alias("node")).distinct()
+    placed = nodes.withColumn("community", F.col("node"))
+    level, quality = weights, None
     for _ in range(max_levels):
-        if not level.where("a <> b").head(1):
-            break
-        found, better = local_moving(level, max_passes)
-        moved = cut(found.join(better, "user_id", "left_semi"), "louvain_level")
-        if not moved.head(1):
+        found = local_moving(level, max_passes, tolerance, share)
+        above = cut(aggregate_level(level, found), "louvain_weights")
+        after = level_quality(above)
+        before = level_quality(level) if quality is None else quality
+        rose = cut(
+            after.join(before.withColumnRenamed("q", "was"), "user_id").where(F.col("q") > F.col("was") + GAIN_EPSILON).select("user_id", "q"),
+            "louvain_quality",
+        )
+        if not rose.head(1):
             break
-        up = moved.select("user_id", F.col("node").alias("community"), F.col("community").alias("parent"))
+        up = found.join(rose, "user_id", "left_semi").select("user_id", F.col("node").alias("community"), F.col("community").alias("parent"))
         placed = cut(_lift(placed, up), "louvain_placed")
-        level = cut(aggregate_level(level.join(better, "user_id", "left_semi"), moved), "louvain_weights")
-    return placed.select("user_id", F.col("node").alias("concept_id"), "community")
+        level, quality = above.join(rose, "user_id", "left_semi"), rose
+    whole = connected(weights, placed).withColumnRenamed("node", "concept_id")
+    return concepts.select("user_id", "concept_id").join(whole, ["user_id", "concept_id"], "left").select(
+        "user_id", "concept_id", F.coalesce("community", "concept_id").alias("community")
+    )
 
 
 def _lift(placed: DataFrame, up: DataFrame) -> DataFrame:

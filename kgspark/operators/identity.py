@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..schema import ACCRETION_SIMILARITY, SIMILARITY_DECIMALS, SUGGESTION_FLOOR_SIMILARITY
 from ..session import cut
-from .knn import CELL_ROWS, _id_order, _unit_rows, meet
+from .knn import CELL_ROWS, _id_order, _unit_rows, meet, row_tiles
 
 # Stored concepts come before every new label.
 BEFORE_ALL = -1
@@ -42,20 +42,26 @@ def _order(table: pa.Table, at: str, pos: str) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-def _earlier(right: pa.Table, left: pa.Table) -> np.ndarray:
+def _earlier(right: pa.Table, left: pa.Table, rows: slice) -> np.ndarray:
     """Matrix: right column arrived before left row."""
-    la, lp = _order(left, "at", "pos")
+    la, lp = (x[rows] for x in _order(left, "at", "pos"))
     ra, rp = _order(right, "at", "pos")
     return (ra[None, :] < la[:, None]) | ((ra[None, :] == la[:, None]) & (rp[None, :] < lp[:, None]))
 
 
+def _tiles(left: pa.Table, right: pa.Table):
+    """(rows, similarities, whether the right one arrived before) of the left rows in tiles of bounded size."""
+    one, two = _unit_rows(left["embedding"]), _unit_rows(right["embedding"])
+    for rows in row_tiles(left.num_rows, right.num_rows):
+        yield rows, np.round(one[rows] @ two.T, SIMILARITY_DECIMALS), _earlier(right, left, rows)
+
+
 def _meet_any(threshold: float):
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            hit = np.zeros(left.num_rows, dtype=bool)
-        else:
-            sims = np.round(_unit_rows(left["embedding"]) @ _unit_rows(right["embedding"]).T, SIMILARITY_DECIMALS)
-            hit = ((sims >= threshold) & _earlier(right, left)).any(axis=1)
+        hit = np.zeros(left.num_rows, dtype=bool)
+        if left.num_rows and right.num_rows:
+            for rows, sims, earlier in _tiles(left, right):
+                hit[rows] = ((sims >= threshold) & earlier).any(axis=1)
         rows = pa.array(np.flatnonzero(hit))
         return pa.table({c: left[c].combine_chunks().take(rows) for c in ("user_id", "vector_id")})
 
@@ -64,17 +70,18 @@ def _meet_any(threshold: float):
 
 def _meet_nearest():
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = {"user_id": pa.string(), "vector_id": pa.int64(), "leader_id": pa.string(), "leader_at": pa.int64(),
+        schema = {"user_id": pa.string(), "vector_id": pa.string(), "leader_id": pa.string(), "leader_at": pa.int64(),
                   "leader_pos": pa.int64(), "similarity": pa.float64()}
         if left.num_rows == 0 or right.num_rows == 0:
             return pa.table({k: pa.array([], t) for k, t in schema.items()})
-        sims = np.round(_unit_rows(left["embedding"]) @ _unit_rows(right["embedding"]).T, SIMILARITY_DECIMALS)
-        sims = np.where(_earlier(right, left), sims, -np.inf)
         ra, rp = _order(right, "at", "pos")
         rank = np.empty(len(ra), dtype=np.int64)
         rank[np.lexsort((_id_order(right["concept_id"]), rp, ra))] = np.arange(len(ra))
-        top = sims.max(axis=1)
-        best = np.where(sims == top[:, None], rank[None, :], len(ra)).argmin(axis=1)
+        top, best = np.full(left.num_rows, -np.inf), np.zeros(left.num_rows, np.int64)
+        for rows, sims, earlier in _tiles(left, right):
+            sims = np.where(earlier, sims, -np.inf)
+            top[rows] = sims.max(axis=1)
+            best[rows] = np.where(sims == top[rows, None], rank[None, :], len(ra)).argmin(axis=1)
         rows = np.flatnonzero(np.isfinite(top))
         pick = pa.array(best[rows])
         return pa.table(
@@ -99,15 +106,15 @@ def _near(left: DataFrame, right: DataFrame, threshold: float, cell_rows: int) -
     """Keys of left vectors with an earlier right vector at or above the threshold."""
     return meet(
         left.select(*_VECTOR), "vector_id", right.select(*_VECTOR), "vector_id", _meet_any(threshold),
-        "user_id string, vector_id bigint", cell_rows,
+        "user_id string, vector_id string", cell_rows, threshold,
     ).distinct()
 
 
-def nearest_earlier(left: DataFrame, leaders: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """The nearest earlier leader per left row (ties: the earliest leader)."""
+def nearest_earlier(left: DataFrame, leaders: DataFrame, cell_rows: int = CELL_ROWS, min_similarity: float | None = None) -> DataFrame:
+    """The nearest earlier leader per left row (ties: the earliest leader); leaders below ``min_similarity`` may be left out."""
     partial = meet(
         left.select(*_VECTOR), "vector_id", leaders.select(*_VECTOR, "concept_id"), "vector_id", _meet_nearest(),
-        "user_id string, vector_id bigint, leader_id string, leader_at bigint, leader_pos bigint, similarity double", cell_rows,
+        "user_id string, vector_id string, leader_id string, leader_at bigint, leader_pos bigint, similarity double", cell_rows, min_similarity,
     )
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "leader_at", "leader_pos", "leader_id"))
     return partial.groupBy(*_KEY).agg(best.alias("b")).select(*_KEY, "b.leader_id", (-F.col("b.s")).alias("similarity"))
@@ -158,14 +165,14 @@ def resolve_identity(
     first = F.struct("at", "pos")
     copies = arrived.where("NOT zero").groupBy(*copy).agg(F.min(first).alias("f"), F.min_by("embedding", first).alias("embedding"))
     new = copies.select(
-        "user_id", F.xxhash64("f.at", "f.pos").alias("vector_id"), "f.at", "f.pos", "embedding",
+        "user_id", F.concat_ws(":", F.lit("k"), "f.at", "f.pos").alias("vector_id"), "f.at", "f.pos", "embedding",
         F.concat_ws(":", F.lit("k"), "f.at", "f.pos").alias("concept_id"), "copy_a", "copy_b",
     )
     if stored is not None:
         # Stored ids rank by id, so a tie between stored concepts goes to the lowest.
         old = stored.select("user_id", "concept_id", "embedding").where(F.exists("embedding", lambda x: x != 0))
         old = old.select(
-            "user_id", F.xxhash64(F.lit("stored"), "concept_id").alias("vector_id"),
+            "user_id", F.concat(F.lit("stored:"), "concept_id").alias("vector_id"),
             F.lit(BEFORE_ALL).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("pos"), "embedding", "concept_id",
             F.lit(None).cast("bigint").alias("copy_a"), F.lit(None).cast("bigint").alias("copy_b"),
         )
@@ -185,9 +192,9 @@ def resolve_identity(
         ((F.col("at") == F.col("first_at")) & (F.col("pos") == F.col("first_pos"))).alias("is_first"),
     )
     late = arrived.where("NOT zero").join(followers.select(*copy), copy, "left_semi").select(
-        "user_id", F.xxhash64("at", "pos").alias("vector_id"), "at", "pos", "label", "embedding"
+        "user_id", F.concat_ws(":", F.lit("k"), "at", "pos").alias("vector_id"), "at", "pos", "label", "embedding"
     )
-    near_late = nearest_earlier(late, leaders, cell_rows)
+    near_late = nearest_earlier(late, leaders, cell_rows, accrete)
     of_follower = late.join(near_late, _KEY).select(
         "user_id", "at", "pos", "label", F.col("leader_id").alias("concept_id"), "similarity", F.lit(False).alias("is_first")
     )
@@ -197,7 +204,7 @@ def resolve_identity(
     )
     fresh = leaders.where(F.col("at") != BEFORE_ALL)
     near_leaders = cut(
-        nearest_earlier(fresh, leaders, cell_rows).where(F.col("similarity") >= floor)
+        nearest_earlier(fresh, leaders, cell_rows, floor).where(F.col("similarity") >= floor)
         .join(fresh.select(*_KEY, "at", "pos", "concept_id"), _KEY), "near_leaders",
     )
     placed = of_leader.unionByName(of_follower).unionByName(of_zero)

@@ -5,7 +5,8 @@ Two exact strategies share one block kernel that never emits pairs, only each bl
 * ``broadcast`` - a query set within a checked byte bound travels to the tasks; the collection is scanned once
   where it lies, without a shuffle.
 * ``grid`` - beyond the bound both sides are cut into cells of bounded size by hashed ids, so one large tenant
-  spreads over many tasks; each (query cell, collection cell) is one bounded co-group.
+  spreads over many tasks; each (query cell, collection cell) is one bounded co-group. Where only pairs above a similarity
+  count (``near_grid``), cells gather round pivots and those too far apart never meet.
 * ``lookup`` - the mirror image of broadcast, for many queries against a small checked collection: every query
   finds its best rows in its own task, with no shuffle at all.
 """
@@ -20,11 +21,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import SIMILARITY_DECIMALS
-from ..session import spread
+from ..session import cut, spread
 
 BROADCAST_ROWS = 4096
 BROADCAST_BYTES = 64 << 20
 CELL_ROWS = 16_384
+# Similarities held at once by a block kernel (8 bytes each, and a few copies): blocks are compared in tiles of rows.
+TILE_VALUES = 1 << 22
+# Pivots of a tenant on average, and of all tenants together, that may travel to the tasks.
+PIVOTS, PIVOT_ROWS = 64, 1 << 16
 OUT = "user_id string, query_id {q}, {id} {t}, similarity double"
 
 
@@ -59,15 +64,26 @@ def _best_rows(sims: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
     return np.stack([rows[keep], cols[keep]])
 
 
+def row_tiles(rows: int, columns: int, values: int | None = None) -> Iterator[slice]:
+    """Slices of ``rows`` whose similarities to ``columns`` others fit the bound."""
+    step = max(1, (values or TILE_VALUES) // max(1, columns))
+    return (slice(low, min(rows, low + step)) for low in range(0, rows, step))
+
+
 def block_best(query_unit, unit, order, k, floor, allowed=None):
     """(query rows, collection rows, similarities) of the best ``k`` within one block."""
-    sims = np.round(query_unit @ unit.T, SIMILARITY_DECIMALS)
-    if floor is not None:
-        sims = np.where(sims >= floor, sims, -np.inf)
-    if allowed is not None:
-        sims = np.where(allowed, sims, -np.inf)
-    picks = _best_rows(sims, order, k)
-    return picks[0], picks[1], sims[picks[0], picks[1]]
+    found = []
+    for tile in row_tiles(len(query_unit), len(unit)):
+        sims = np.round(query_unit[tile] @ unit.T, SIMILARITY_DECIMALS)
+        if floor is not None:
+            sims = np.where(sims >= floor, sims, -np.inf)
+        if allowed is not None:
+            sims = np.where(allowed[tile], sims, -np.inf)
+        rows, columns = _best_rows(sims, order, k)
+        found.append((rows + tile.start, columns, sims[rows, columns]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(part) for part in zip(*found))
 
 
 def _id_order(ids: pa.Array) -> np.ndarray:
@@ -171,16 +187,90 @@ def grid(left: DataFrame, left_key: str, right: DataFrame, right_key: str, cell_
     return lefts.drop("right_cell_count").groupBy(*keys), rights.drop("left_cell_count").groupBy(*keys)
 
 
+def pivots_of(rows: DataFrame, key: str, cell_rows: int) -> dict[str, np.ndarray] | None:
+    """Some unit vectors of each tenant, drawn by a hash of the key: about four per cell, ``PIVOTS`` on average at most. None if they pass the bound."""
+    sizes = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    few = F.least(F.lit(PIVOTS), F.ceil(F.col("n") / F.lit(cell_rows)) * 4)
+    drawn = rows.join(sizes, "user_id").where(F.pmod(F.xxhash64(F.lit("pivot"), key), F.ceil(F.col("n") / few)) == 0)
+    table = drawn.select("user_id", "embedding").limit(PIVOT_ROWS + 1).toArrow()
+    if table.num_rows > PIVOT_ROWS or table.nbytes > BROADCAST_BYTES:
+        return None
+    users = np.asarray(table["user_id"].to_pylist(), dtype=object)
+    return {u: np.unique(_unit_rows(table["embedding"].take(pa.array(np.flatnonzero(users == u)))), axis=0) for u in set(users.tolist())}
+
+
+def in_cells(rows: DataFrame, pivots: dict[str, np.ndarray]) -> DataFrame:
+    """``rows`` with the nearest pivot of their tenant (``cell``, 0 where it has none) and the angle to it."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            unit, users = _unit_rows(table["embedding"]), np.asarray(table["user_id"].to_pylist(), dtype=object)
+            cell, angle = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, np.pi)
+            for user in set(users.tolist()) & pivots.keys():
+                at = np.flatnonzero(users == user)
+                sims = unit[at] @ pivots[user].T
+                cell[at], angle[at] = sims.argmax(axis=1), np.arccos(np.clip(sims.max(axis=1), -1.0, 1.0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(angle)], names=[*batch.schema.names, "cell", "angle"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return spread(rows).mapInArrow(place, f"{schema}, cell int, angle double")
+
+
+def near_cells(pivots: np.ndarray, left: dict[int, float], right: dict[int, float], min_similarity: float) -> list[tuple[int, int]]:
+    """Pairs of (left cell, right cell) that can hold vectors at least so similar: their pivots are no further apart than the threshold's
+    angle and both radii (triangle inequality of angles)."""
+    a, b = np.array(sorted(left), np.int64), np.array(sorted(right), np.int64)
+    apart = np.arccos(np.clip(pivots[a] @ pivots[b].T, -1.0, 1.0))
+    reach = np.arccos(np.clip(min_similarity, -1.0, 1.0)) + np.array([left[i] for i in a.tolist()])[:, None] + np.array([right[i] for i in b.tolist()])[None, :]
+    # The margin is far above what rounding of similarities can move an angle.
+    at = np.nonzero(apart <= reach + 1e-4)
+    return list(zip(a[at[0]].tolist(), b[at[1]].tolist()))
+
+
+def near_grid(left: DataFrame, left_key: str, right: DataFrame, right_key: str, min_similarity: float, cell_rows: int = CELL_ROWS):
+    """As :func:`grid`, without the cells that are too far apart to hold a pair at least so similar; None where the pivots pass their bound.
+
+    A row is copied to the cells near its own, not to all; a cell of more than ``cell_rows`` rows is split by a hash.
+    """
+    pivots = pivots_of(right, right_key, cell_rows)
+    if pivots is None:
+        return None
+    lefts, rights = cut(in_cells(left, pivots), "left_cells"), cut(in_cells(right.toDF(*right.columns), pivots), "right_cells")
+    # One row per cell, as many as there are pivots.
+    sizes = [side.groupBy("user_id", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).toArrow().to_pylist() for side in (lefts, rights)]
+    told: list[dict] = [{}, {}]
+    for side, rows in zip(told, sizes):
+        for r in rows:
+            side.setdefault(r["user_id"], {})[r["cell"]] = (r["radius"], -(-r["n"] // cell_rows))
+    pairs = []
+    for user in told[0].keys() & told[1].keys():
+        mine, theirs = (side[user] for side in told)
+        some = pivots.get(user, np.zeros((1, 1)))
+        for i, j in near_cells(some, {c: r for c, (r, _) in mine.items()}, {c: r for c, (r, _) in theirs.items()}, min_similarity):
+            pairs.append((user, i, j, mine[i][1], theirs[j][1]))
+    pairs = F.broadcast(left.sparkSession.createDataFrame(pairs, "user_id string, left_cell int, right_cell int, left_parts int, right_parts int"))
+    part = lambda key, parts: F.pmod(F.xxhash64(*[F.col(c) for c in key.split(",")]), F.col(parts)).cast("int")
+    all_of = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    keys = ["user_id", "left_cell", "right_cell", "left_part", "right_part"]
+    lefts = lefts.withColumnRenamed("cell", "left_cell").join(pairs, ["user_id", "left_cell"]).withColumn("left_part", part(left_key, "left_parts"))
+    rights = rights.withColumnRenamed("cell", "right_cell").join(pairs, ["user_id", "right_cell"]).withColumn("right_part", part(right_key, "right_parts"))
+    lefts, rights = lefts.withColumn("right_part", all_of("right_parts")), rights.withColumn("left_part", all_of("left_parts"))
+    return lefts.select(*keys, *left.columns[1:]).groupBy(*keys), rights.select(*keys, *right.columns[1:]).groupBy(*keys)
+
+
 def meet(left: DataFrame, left_key: str, right: DataFrame, right_key: str, kernel, schema: str,
-         cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``kernel(left rows, right rows)`` over every left and right block of a tenant; its outputs are united.
+         cell_rows: int = CELL_ROWS, min_similarity: float | None = None) -> DataFrame:
+    """``kernel(left rows, right rows)`` over left and right blocks of a tenant; its outputs are united.
 
     A right side within the broadcast bound travels to the tasks and the left side is scanned in place; beyond it
-    both sides meet in the grid. The kernel must give the union over blocks the meaning it wants.
+    both sides meet in the grid. With ``min_similarity`` the kernel does not need pairs below it, and blocks that are too far apart do not
+    meet. The kernel must give the union over blocks the meaning it wants.
     """
     small = right.limit(BROADCAST_ROWS + 1).toArrow()
     if small.num_rows > BROADCAST_ROWS or small.nbytes > BROADCAST_BYTES:
-        lefts, rights = grid(left, left_key, right, right_key, cell_rows)
+        near = near_grid(left, left_key, right, right_key, min_similarity, cell_rows) if min_similarity and min_similarity > 0 else None
+        lefts, rights = near or grid(left, left_key, right, right_key, cell_rows)
         return lefts.cogroup(rights).applyInArrow(
             lambda l, r: kernel(l, r) if l.num_rows and r.num_rows else kernel(l.slice(0, 0), r.slice(0, 0)), schema
         )

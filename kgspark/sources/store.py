@@ -6,13 +6,13 @@ that fails before that leaves every reader on the old version.
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import TABLES, empty
+from .pointer import read_pointer, write_pointer
 
 # Clustering key next to the tenant; files sorted by it skip row groups on tenant and id filters.
 _SORT = {
@@ -28,35 +28,8 @@ class GraphStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    # --- pointer ------------------------------------------------------------------------------
-    def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        conf = self.spark._jsc.hadoopConfiguration()
-        return jvm, path.getFileSystem(conf), conf
-
     def state(self) -> dict:
-        jvm, fs, _ = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_current")
-        if not fs.exists(path):
-            return {"version": 0, "batch": None, "tables": {}}
-        stream = fs.open(path)
-        try:
-            raw = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return json.loads(raw)
-
-    def _point(self, state: dict) -> None:
-        jvm, fs, conf = self._fs()
-        hadoop = jvm.org.apache.hadoop.fs
-        fresh = hadoop.Path(f"{self.root}/_current.{uuid.uuid4().hex}")
-        out = fs.create(fresh)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        rename = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
-        rename[0] = hadoop.Options.Rename.OVERWRITE
-        hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fresh, hadoop.Path(f"{self.root}/_current"), rename)
+        return read_pointer(self.spark, f"{self.root}/_current") or {"version": 0, "batch": None, "tables": {}}
 
     # --- tables -------------------------------------------------------------------------------
     def read(self, name: str, state: dict | None = None) -> DataFrame:
@@ -82,7 +55,7 @@ class GraphStore:
                 out = out.repartitionByRange("user_id", _SORT[name]).sortWithinPartitions("user_id", _SORT[name])
             out.write.parquet(path)
             paths[name] = path
-        self._point({"version": version, "batch": state["batch"] if batch is None else batch, "tables": paths})
+        write_pointer(self.spark, f"{self.root}/_current", {"version": version, "batch": state["batch"] if batch is None else batch, "tables": paths})
         return version
 
     def point_read(self, name: str, user_id: str, key: str, value) -> DataFrame:

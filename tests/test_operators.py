@@ -4,8 +4,10 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from yardstick import sequential_communities
 
 from kgspark.functions import text as X
 from kgspark.operators import cluster as K
@@ -15,11 +17,14 @@ from kgspark.operators.inference import endorse, path_fault
 from kgspark.operators.merge import merge_concepts
 from kgspark.operators.skew import ranked
 from kgspark.plans.retrieve import retrieve
-from kgspark.plans.snapshot import Delta, Snapshot, apply_delta
+from kgspark.plans.snapshot import Delta, Snapshot, apply_delta, delta_since_version, net_changes
 from kgspark.schema import TABLES, empty
+from kgspark.sources.changes import CHANGE, ChangeLog
 from kgspark.sources.extraction import parse_extractions
 from kgspark.sources.store import GraphStore
+from kgspark.streaming import snapshot as streaming_snapshot
 from kgspark.streaming.alerts import FRESH, step
+from kgspark.streaming.snapshot import HeldSnapshot, start_snapshot
 
 
 def frame(spark, rows, ddl):
@@ -88,6 +93,55 @@ def test_hot_copies_become_one_concept(spark):
 
 
 # --- nearest neighbours ---------------------------------------------------------------------------
+def test_cells_too_far_apart_never_meet(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 16))
+    vectors = np.repeat(centres, 40, axis=0) + rng.normal(scale=0.12, size=(1200, 16))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    pivots = unit[::20]
+    sims = unit @ pivots.T
+    cell, radius = sims.argmax(axis=1), {}
+    for c, s in zip(cell.tolist(), np.arccos(np.clip(sims.max(axis=1), -1, 1)).tolist()):
+        radius[c] = max(radius.get(c, 0.0), s)
+    kept = set(knn.near_cells(pivots, radius, radius, 0.9))
+    a, b = np.nonzero(unit @ unit.T >= 0.9)
+    assert {(cell[i], cell[j]) for i, j in zip(a, b)} <= kept and len(kept) < 0.2 * len(radius) ** 2
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.9, 0.99])
+def test_near_grid_finds_every_pair_above_the_threshold(spark, monkeypatch, threshold):
+    monkeypatch.setattr(knn, "BROADCAST_ROWS", 0)
+    rng = np.random.default_rng(6)
+    vectors = np.repeat(rng.normal(size=(9, 6)), 12, axis=0) + rng.normal(scale=0.3, size=(108, 6))
+    vectors[5], vectors[40:60] = 0, vectors[40]  # a zero vector, and a heap of copies
+    rows = [(["u", "w"][i % 2], i, [float(x) for x in v]) for i, v in enumerate(vectors.astype(np.float32))]
+    left = frame(spark, rows, "user_id string, one bigint, embedding array<float>")
+    right = left.withColumnRenamed("one", "two")
+
+    def found(a, b):
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"one": pa.array([], pa.int64()), "two": pa.array([], pa.int64())})
+        at = np.nonzero(np.round(knn._unit_rows(a["embedding"]) @ knn._unit_rows(b["embedding"]).T, 10) >= threshold)
+        return pa.table({"one": a["one"].combine_chunks().take(pa.array(at[0])), "two": b["two"].combine_chunks().take(pa.array(at[1]))})
+
+    got = pairs(knn.meet(left, "one", right, "two", found, "one bigint, two bigint", 10, threshold), "one", "two")
+    unit = knn._unit_rows(pa.array([v for *_, v in rows]))
+    sims = np.round(unit @ unit.T, 10)
+    assert got == sorted((i, j) for i in range(108) for j in range(108) if i % 2 == j % 2 and sims[i, j] >= threshold)
+
+
+def test_blocks_are_compared_in_tiles(monkeypatch):
+    monkeypatch.setattr(knn, "TILE_VALUES", 40)
+    assert [(t.start, t.stop) for t in knn.row_tiles(10, 9)] == [(0, 4), (4, 8), (8, 10)] and len(list(knn.row_tiles(3, 1000))) == 3
+    # At the default cell size a tile and its copies stay far below the two whole matrices of 2 GB.
+    assert max(t.stop - t.start for t in knn.row_tiles(knn.CELL_ROWS, knn.CELL_ROWS, 1 << 22)) * knn.CELL_ROWS <= 1 << 22
+    rng = np.random.default_rng(7)
+    one, two = rng.normal(size=(23, 5)), rng.normal(size=(31, 5))
+    tiled = knn.block_best(one, two, np.arange(31), 4, None)
+    monkeypatch.setattr(knn, "TILE_VALUES", 10**6)
+    assert all((x == y).all() for x, y in zip(tiled, knn.block_best(one, two, np.arange(31), 4, None)))
+
+
 @pytest.mark.parametrize("strategy", ["broadcast", "grid", "lookup"])
 def test_nearest_keeps_tenants_apart_and_breaks_ties_by_id(spark, strategy):
     ddl = "user_id string, {} bigint, embedding array<float>"
@@ -213,8 +267,7 @@ def test_louvain_beats_single_nodes(spark):
     assert all(q[u] > base[u] for u in base)
 
 
-@pytest.mark.parametrize("small_edges", [200_000, 0])
-def test_louvain_of_a_tenant_does_not_depend_on_its_neighbours(spark, small_edges):
+def test_louvain_of_a_tenant_does_not_depend_on_its_neighbours(spark):
     rng = random.Random(8)
     rows, nodes = [], []
     for user, size in (("u", 30), ("v", 40), ("w", 5)):
@@ -223,29 +276,29 @@ def test_louvain_of_a_tenant_does_not_depend_on_its_neighbours(spark, small_edge
 
     def solve(users):
         concepts = frame(spark, [n for n in nodes if n[0] in users], TABLES["concepts"])
-        found = K.louvain(frame(spark, [r for r in rows if r[0] in users], TABLES["edges"]), concepts, max_passes=4, small_edges=small_edges)
+        found = K.louvain(frame(spark, [r for r in rows if r[0] in users], TABLES["edges"]), concepts, max_passes=4)
         return {u: sorted((r["concept_id"], r["community"]) for r in found.where(F.col("user_id") == u).collect()) for u in users}
 
     together = solve("uvw")
     assert solve("u")["u"] == together["u"] and [len(together[u]) for u in "uvw"] == [30, 40, 5]
 
 
-def test_louvain_is_optimal_on_small_graphs():
-    rng = random.Random(2)
+def quality(ends, home):
+    total = sum(w for *_, w in ends)
+    degree, sums = {}, {}
+    for a, b, w in ends:
+        degree[a], degree[b] = degree.get(a, 0) + w, degree.get(b, 0) + w
+    for n, d in degree.items():
+        sums[home[n]] = sums.get(home[n], 0) + d
+    return sum(w for a, b, w in ends if home[a] == home[b]) / total - sum(d * d for d in sums.values()) / (4 * total * total)
 
-    def quality(ends, home):
-        total = sum(w for *_, w in ends)
-        degree = {}
-        for a, b, w in ends:
-            degree[a], degree[b] = degree.get(a, 0) + w, degree.get(b, 0) + w
-        inside = sum(w for a, b, w in ends if home[a] == home[b])
-        squares = sum(sum(d for n, d in degree.items() if home[n] == c) ** 2 for c in set(home.values()))
-        return inside / total - squares / (4 * total * total)
 
+def test_the_yardstick_is_near_the_best_on_small_graphs():
+    rng = random.Random(2)
     for _ in range(40):
         pairs = {tuple(sorted(rng.sample("abcdefgh", 2))) for _ in range(rng.randint(2, 14))}
         ends = [(a, b, float(rng.randint(1, 3))) for a, b in sorted(pairs)]
-        home = K.sequential_communities(ends, 64, 100)
+        home = sequential_communities(ends, 64, 100)
         assert all(home[c] == c for c in set(home.values()))
         q = quality(ends, home)
         # No node gains by moving to a neighbouring community after the first level, nor by standing alone at the start.
@@ -254,7 +307,139 @@ def test_louvain_is_optimal_on_small_graphs():
         assert q >= 0.6 * brute - 1e-9
 
 
+def planted(rng, groups, size, inner, outer):
+    """Pairs of a graph of equal groups: each node has about so many links inside its group and outside it."""
+    nodes = groups * size
+    pairs = set()
+    for n in range(nodes):
+        g = n // size
+        pairs |= {tuple(sorted((n, g * size + rng.randrange(size)))) for _ in range(inner)}
+        pairs |= {tuple(sorted((n, rng.randrange(nodes)))) for _ in range(outer)}
+    return sorted((a, b) for a, b in pairs if a != b)
+
+
+def test_louvain_is_as_good_as_node_by_node_and_connected(spark):
+    rng = random.Random(12)
+    graphs = {
+        "clear": planted(rng, 12, 25, 6, 1), "blurred": planted(rng, 20, 40, 5, 3), "random": planted(rng, 1, 300, 0, 5),
+        "ring": [(n, (n + 1) % 200) for n in range(200)], "star": [(0, n) for n in range(1, 120)],
+    }
+    named = {user: [(f"{a:04d}", f"{b:04d}") if a < b else (f"{b:04d}", f"{a:04d}") for a, b in pairs] for user, pairs in graphs.items()}
+    nodes = {user: sorted({n for pair in pairs for n in pair}) for user, pairs in named.items()}
+    concepts = frame(spark, [(u, n, n, 1) for u in named for n in nodes[u]], TABLES["concepts"])
+    edges = frame(spark, [(u, f"{u}|{i}", a, b, "t", 1) for u in named for i, (a, b) in enumerate(named[u])], TABLES["edges"])
+    found = {}
+    for r in K.louvain(edges, concepts).collect():
+        found.setdefault(r["user_id"], {})[r["concept_id"]] = r["community"]
+    for user, pairs in named.items():
+        home = found[user]
+        assert sorted(home) == nodes[user]
+        assert all(c == min(n for n in home if home[n] == c) for c in set(home.values()))
+        ends = [(a, b, 1.0) for a, b in pairs]
+        # A graph without groups has many cuts of nearly the same worth.
+        assert quality(ends, home) >= (0.94 if user == "random" else 0.98) * quality(ends, sequential_communities(ends, 64, 100)), user
+        # Each community holds together by its own links.
+        root = {n: n for n in home}
+
+        def lead(n):
+            while root[n] != n:
+                n = root[n]
+            return n
+
+        for a, b in pairs:
+            if home[a] == home[b]:
+                root[lead(a)] = lead(b)
+        assert len({lead(n) for n in home}) == len(set(home.values()))
+
+
+def test_louvain_scores_only_what_changed(spark):
+    """Passes behind the first read the neighbourhoods of moved nodes alone."""
+    weights = frame(spark, [("u", f"{n:03d}", f"{n + 1:03d}", 1.0) for n in range(50)], "user_id string, a string, b string, weight double")
+    both = weights.select("user_id", F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other"), "weight"),
+                                                      F.struct(F.col("b").alias("node"), F.col("a").alias("other"), "weight"))))
+    state = K.degrees(weights).join(K.total_weights(weights), "user_id").select("user_id", "node", F.col("node").alias("community"), "degree", "total", F.lit(0).alias("pass"))
+    active = frame(spark, [("u", "010"), ("u", "030")], "user_id string, node string")
+    assert [r["node"] for r in K._wanted(both, state, active).orderBy("node").collect()] == ["010", "030"]
+    assert K._wanted(both, state, None).count() > 40
+
+
+def test_a_disconnected_community_is_split(spark):
+    weights = frame(spark, [("u", f"{n:02d}", f"{n + 1:02d}", 1.0) for n in range(40) if n != 20], "user_id string, a string, b string, weight double")
+    all_ = frame(spark, [("u", f"{n:02d}", "00") for n in range(42)], "user_id string, node string, community string")
+    got = {r["node"]: r["community"] for r in K.connected(weights, all_).collect()}
+    assert got == {f"{n:02d}": "00" if n <= 20 else "21" if n <= 40 else "41" for n in range(42)}
+
+
 # --- change feed ----------------------------------------------------------------------------------
+def changes(spark, rows):
+    """Rows of (change, id, version[, current_type[, created_at]])."""
+    full = [("u", c, i, i.upper(), "s", "t", "x", (more or ("x",))[0], (more or ("x", 5))[1] if len(more) > 1 else 5, v) for c, i, v, *more in rows]
+    return frame(spark, full, CHANGE)
+
+
+def named(delta):
+    return sorted((r["change"], r["id"], r["payload"]) for r in delta.rows().collect())
+
+
+def test_a_log_read_from_version_to_version_loses_and_repeats_nothing(spark, tmp_path):
+    log = ChangeLog(spark, f"{tmp_path}/log")
+    assert log.head() == 0 and named(delta_since_version(log, 0)) == []
+    log.append(changes(spark, [("add_concept", "a", 0), ("add_edge", "e", 0)]))
+    first = delta_since_version(log, 0)
+    # Another commit in the second of the cursor: a cursor of seconds would pass it by.
+    log.append(changes(spark, [("add_concept", "b", 0)]))
+    second = delta_since_version(log, first.cursor)
+    assert (named(first), first.cursor) == ([("add_concept", "a", "A"), ("add_edge", "e", "x")], 1)
+    assert (named(second), second.cursor) == ([("add_concept", "b", "B")], 2)
+    assert named(delta_since_version(log, 0, epoch=5)) == [] and len(named(delta_since_version(log, 0, epoch=4))) == 3
+    # A batch that is committed again changes nothing.
+    assert log.append(changes(spark, [("add_concept", "z", 0)]), version=2) == 2 and log.versions() == [1, 2]
+    # Only folders behind the cursor are read.
+    assert {f.split("version=")[1].split("/")[0] for f in log.rows(since=1).inputFiles()} == {"2"}
+    assert delta_since_version(log, 2).cursor == 2 and named(delta_since_version(log, 2)) == []
+
+
+def test_the_last_word_about_an_entity_counts(spark):
+    rows = [("add_edge", "e", 1), ("retag_edge", "e", 2, "y"), ("add_edge", "f", 1), ("delete_edge", "f", 2), ("delete_concept", "c", 1), ("add_concept", "c", 2),
+            ("retag_edge", "g", 1, "y", 9), ("retag_edge", "g", 2, "z", 3), ("retag_edge", "h", 1, "y"), ("delete_edge", "h", 1), ("add_concept", "e", 1)]
+    assert named(net_changes(changes(spark, rows), 2)) == [
+        ("add_concept", "c", "C"), ("add_concept", "e", "E"), ("add_edge", "e", "y"), ("delete_edge", "f", ""), ("delete_edge", "h", ""), ("retag_edge", "g", "z")]
+
+
+def test_a_held_snapshot_survives_a_lost_driver(spark, tmp_path, monkeypatch):
+    concept, edge = "user_id string, concept_id string, label string, created_at bigint", "user_id string, edge_id string, source_concept_id string, target_concept_id string, original_type string, current_type string, created_at bigint"
+    start = Snapshot(frame(spark, [("u", "a", "A", 1)], concept), frame(spark, [], edge), frame(spark, [], "user_id string, concept_id string, partition_id int"))
+    drops = [[("add_concept", "b", 1)], [("delete_concept", "a", 2), ("add_concept", "c", 2)], [("add_concept", "a", 3), ("delete_concept", "b", 3)]]
+    for drop in drops:
+        changes(spark, drop).coalesce(1).write.mode("append").parquet(f"{tmp_path}/changes")
+
+    def run(check):
+        held = HeldSnapshot(spark, start, root=f"{tmp_path}/held")
+        stream = spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/changes")
+        query = start_snapshot(stream, held, check)
+        query.awaitTermination()
+        return held
+
+    kept, calls = streaming_snapshot.write_pointer, []
+
+    def dies(spark_, path, state):
+        calls.append(state)
+        if len(calls) == 2:  # the second batch is written, its pointer is not
+            raise RuntimeError("lost")
+        kept(spark_, path, state)
+
+    monkeypatch.setattr(streaming_snapshot, "write_pointer", dies)
+    with pytest.raises(Exception, match="lost"):
+        run(f"{tmp_path}/checkpoint")
+    monkeypatch.setattr(streaming_snapshot, "write_pointer", kept)
+    assert pairs(HeldSnapshot(spark, start, root=f"{tmp_path}/held").current.concepts, "concept_id") == [("a",), ("b",)]
+    held = run(f"{tmp_path}/checkpoint")
+    want = apply_delta(start, net_changes(spark.read.schema(CHANGE).parquet(f"{tmp_path}/changes"), 3))
+    assert pairs(held.current.concepts, "concept_id", "label") == pairs(want.concepts, "concept_id", "label") and held.cursor == 3
+    # Without its checkpoint the stream brings every change again; the cursor passes them over.
+    assert pairs(run(f"{tmp_path}/other").current.concepts, "concept_id") == [("a",), ("c",)] and len(held.paths) == 2
+
+
 def test_applying_a_delta_twice_changes_nothing_more(spark):
     edge = "user_id string, edge_id string, source_concept_id string, target_concept_id string, original_type string, current_type string, created_at bigint"
     concept = "user_id string, concept_id string, label string, created_at bigint"
