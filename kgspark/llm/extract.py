@@ -6,7 +6,8 @@ often a kind occurs inside and outside the content. One linear scan finds the co
 its blocks, without those marked as something else, are the text.
 
 Defined results: null or empty html, or a page whose every region scores at most zero, gives an empty text; of regions with the same score the first wins; markup that is cut off ends with the
-page; repeated rows give repeated results; other columns are ignored; an empty table gives an empty result.
+page; paragraphs, list items, rows, cells and options that are not closed end where the next begins; a page of any length is read whole, one at
+a time; null ids stay; repeated rows give repeated results; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ TOKEN = re.compile(
     r"""|(?P<text>[^<]++|<)""",
     re.S | re.I,
 )
-HINT = re.compile(r"""(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+# One attribute after the other, so that nothing inside a value is taken for an attribute.
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s"'>]++)))?""")
+# Names that tell what an element has or may do, not what it is.
+PROPERTY = re.compile(r"(?:has|with|without|no|is|js|supports)[-_].*|.*[-_](?:open|closed|on|off|enabled|disabled)")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo br big cite code del em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr img".split())
@@ -44,6 +47,15 @@ ASIDE_WORDS = frozenset(
     "sponsored subscribe toolbar topbar widget widgets".split()
 )
 MAIN_WORDS = frozenset("article entry post content story".split())
+# What readers wrote stays out even where it is called content or an entry.
+READER_WORDS = frozenset("comment comments commentaire commentaires comentario comentarios kommentar kommentare disqus replies responses respond".split())
+
+# Elements that end where another begins: what an opening tag ends, up to the element that holds both.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}
+HOLDERS = frozenset("ul ol menu dl table select datalist".split())
+ENDS_PARAGRAPH = frozenset(
+    "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
+)
 
 
 def tag_kind(name: str) -> str:
@@ -56,6 +68,31 @@ def tag_kind(name: str) -> str:
     return "inline" if name in INLINE else "box"
 
 
+def marks(attrs: str) -> tuple[set[str], bool]:
+    """(words of an element's class, id and role, whether it is hidden)."""
+    words, hidden = set(), False
+    for name, *values in ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), "".join(values).lower()
+        if name in ("class", "id", "role"):
+            words |= {w for token in value.split() if not PROPERTY.fullmatch(token) for w in re.split(r"[^a-z0-9]+", token)}
+        hidden |= name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value) is not None)
+    return words, hidden
+
+
+def ended(stack: list[tuple[str, str, bool]], name: str) -> int:
+    """How many open elements an opening tag ends by itself."""
+    ends = ENDS.get(name)
+    for n, (open_, _, _) in enumerate(reversed(stack), 1):
+        if ends:
+            if open_ in ends:
+                return n
+            if open_ in HOLDERS or (open_ == "tr" and name != "tr"):
+                return 0
+        elif name not in ENDS_PARAGRAPH or open_ not in INLINE:
+            return n if open_ == "p" and name in ENDS_PARAGRAPH else 0
+    return 0
+
+
 def tokens(html: str) -> Iterator[tuple[str, str, str, bool]]:
     """(kind, text, tag, main): kind ``tag:*`` with the tag's name, or ``word:*`` with a run of text.
 
@@ -86,14 +123,21 @@ def tokens(html: str) -> Iterator[tuple[str, str, str, bool]]:
                         break
                 state, labelled = stack[-1][1:] if stack else ("plain", False)
             continue
+        n = ended(stack, name) if name in ENDS or name in ENDS_PARAGRAPH else 0
+        if n:
+            for last, _, _ in stack[-n:]:
+                open_[last] -= 1
+            del stack[-n:]
+            state, labelled = stack[-1][1:] if stack else ("plain", False)
         if name not in VOID:
             inside = state
             in_main = any(open_.get(t) for t in MAIN_TAGS)
-            hints = {w for h in HINT.findall(attrs) for w in re.split(r"[^a-z0-9]+", "".join(h).lower())} if "=" in attrs else set()
-            if name in MAIN_TAGS and not hints & ASIDE_WORDS:
+            hints, hidden = marks(attrs) if attrs else (set(), False)
+            readers = bool(hints & READER_WORDS)
+            if name in MAIN_TAGS and not hints & ASIDE_WORDS and not readers:
                 inside = "plain"
             elif state == "plain" and name not in ("html", "body"):
-                aside = name in ASIDE_TAGS or (attrs and HIDDEN.search(attrs)) or (hints & ASIDE_WORDS and not hints & MAIN_WORDS)
+                aside = name in ASIDE_TAGS or hidden or readers or (hints & ASIDE_WORDS and not hints & MAIN_WORDS)
                 if aside or (not in_main and (name == "header" or "header" in hints)):
                     inside = "inner" if in_main else "aside"
             stack.append((name, inside, labelled or "data-main" in attrs))

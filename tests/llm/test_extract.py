@@ -49,6 +49,32 @@ def test_blocks_references_and_white_space():
     assert text_of(inner) == ("word " * 30).strip() + "\ntail stays"
 
 
+BODY = "one two three four five six seven eight nine ten eleven twelve"
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="layout with-sidebar"><p>{0}</p></div>', '<div id="page" class="has-sticky-menu"><p>{0}</p></div>', '<div data-u="?id=comment"><p>{0}</p></div>',
+    "<div title='a class=\"menu\" b' data-x=id=ad><p>{0}</p></div>", '<article class="post comments-open"><p>{0}</p></article>', "<table><tr><td class=menu>Home<td><p>{0}</table>",
+    "<div><p class=promo>Buy now<p>{0}</div>", "<div><p class=promo>Buy <b>now<div>{0}</div></div>", "<ul><li class=ad>Buy now<li>{0}</ul>", "<table><tr class=nav><td>a<td>b<tr><td>{0}</table>",
+    "<dl><dt class=ad>Buy<dd>{0}</dl>",
+])
+def test_the_article_stays_whatever_stands_beside_it(page):
+    assert text_of(page.replace("{0}", BODY)) == BODY
+
+
+@pytest.mark.parametrize("mark", ["class=kommentare", "id=responses", 'class="entry-comments"', 'class="comment-content"', "class='article comments'", "id=commentaires"])
+def test_what_readers_wrote_stays_out(mark):
+    assert text_of(f"<article><p>{BODY}</p></article><div {mark}><p>I agree with every word of this article</p></div>") == BODY
+    assert text_of(f"<article><p>{BODY}</p><section {mark}><p>I agree with every word of this</p></section></article>") == BODY
+
+
+def test_elements_that_end_by_themselves():
+    nested = "<ul><li>one<ul><li class=ad>buy</ul><li>two three four</ul>"
+    assert text_of(f"<article><p>{BODY}</p>{nested}</article>") == f"{BODY}\none\ntwo three four"
+    table = "<table><tr><td class=ad><table><tr><td>x</table>y<td>z stays</table>"
+    assert text_of(f"<article><p>{BODY}</p>{table}</article>") == f"{BODY}\nz stays"
+
+
 @pytest.mark.parametrize("html", ["", "   ", "<", "<div", "<!-- never closed", "<script>x", "</p></p>", "<a b='", "<nav>a b c</nav>"])
 def test_odd_pages_have_no_text_but_a_result(html):
     assert text_of(html) in ("", "<")
