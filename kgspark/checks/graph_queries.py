@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import id_list, month_year
+from ..functions.scalars import hop_list, id_list, month_year, now_seconds
 from ..operators import history as H
 from ..operators import lookups as L
 from ..operators import provenance as P
@@ -319,3 +319,25 @@ def json_id_lists(v):
         .otherwise(F.concat(F.lit(" ["), key, F.lit(", "), other, F.lit("]")))
     )
     return v.table("orders").select("o_orderkey", F.array_join(id_list(text).cast("array<string>"), ",").alias("ids"))
+
+
+@query("hop_lists", twin(
+    """SELECT user_id, edge_id, CASE length(edge_id) % 4 WHEN 0 THEN source_concept_id || ' ' || original_type || ' ' || target_concept_id
+         WHEN 1 THEN source_concept_id || ' ' || original_type || ' ' || target_concept_id || ';' || target_concept_id || ' ' || original_type || ' ' || source_concept_id ELSE '' END AS hops FROM a_edges"""))
+def hop_lists(v):
+    """Evidence paths kept as JSON text: of one hop, of two, with a hop that lacks its target, or broken off; the last two read as empty."""
+    hop = lambda *c: F.struct(*[F.col(x).alias(n) for x, n in zip(c, ("source_concept_id", "edge_type", "target_concept_id"))])
+    one, back = hop("source_concept_id", "original_type", "target_concept_id"), hop("target_concept_id", "original_type", "source_concept_id")
+    kind = F.length("edge_id") % 4
+    text = (
+        F.when(kind == 0, F.to_json(F.array(one))).when(kind == 1, F.to_json(F.array(one, back)))
+        .when(kind == 2, F.to_json(F.array(hop("source_concept_id", "original_type")))).otherwise(F.expr("concat('[', to_json(struct(source_concept_id)))"))
+    )
+    told = F.transform(hop_list(text), lambda h: F.concat_ws(" ", h["source_concept_id"], h["edge_type"], h["target_concept_id"]))
+    return v.a_edges.select("user_id", "edge_id", F.array_join(told, ";").alias("hops"))
+
+
+@query("note_ages", twin(f"SELECT user_id, braindump_id, {NOW} - created_at AS age FROM a_note_ids"))
+def note_ages(v):
+    """Seconds since each note by a clock that the caller sets."""
+    return v.a_note_ids.select("user_id", "braindump_id", (now_seconds(NOW) - F.col("created_at")).alias("age"))
