@@ -160,16 +160,20 @@ def reject_suggestions(v):
     return M.reject_suggestions(v.b_suggestions, asked)[0].select("user_id", "suggestion_id")
 
 
+def _suggesting_notes(v):
+    """The notes that made suggestions, with their texts."""
+    docs = v.table("documents").select("doc_id", "text")
+    return v.b_suggestions.select("user_id", "braindump_id").distinct().withColumn(
+        "doc_id", F.col("braindump_id") % v._count("documents")
+    ).join(docs, "doc_id").select("user_id", "braindump_id", F.col("text").alias("verbatim"))
+
+
 @query("suggestion_details", twin(
     """SELECT s.user_id, s.suggestion_id, s.existing_concept_id AS existing_concept_label,
        md5(substr(d.text, 1, 300)) AS snippet_hash, length(substr(d.text, 1, 300)) AS snippet_chars
        FROM b_suggestions s JOIN documents d ON d.doc_id = s.braindump_id % (SELECT count(*) FROM documents)"""))
 def suggestion_details(v):
-    docs = v.table("documents").select("doc_id", "text")
-    notes = v.b_suggestions.select("user_id", "braindump_id").distinct().withColumn(
-        "doc_id", F.col("braindump_id") % v._count("documents")
-    ).join(docs, "doc_id").select("user_id", "braindump_id", F.col("text").alias("verbatim"))
-    return L.suggestion_details(v.b_suggestions, v.b_concepts, notes).select(
+    return L.suggestion_details(v.b_suggestions, v.b_concepts, _suggesting_notes(v)).select(
         "user_id", "suggestion_id", "existing_concept_label", F.md5("braindump_snippet").alias("snippet_hash"),
         F.char_length("braindump_snippet").cast("bigint").alias("snippet_chars"))
 
@@ -388,21 +392,24 @@ def propose_thematic(v):
 
 
 @query("frozen_snapshots", twin(
-    """SELECT j.user_id, 't:' || j.proposal_id AS snapshot_id, (SELECT count(*) FROM evidence e WHERE e.user_id = j.user_id AND
-       e.proposal_id = j.proposal_id) AS notes, (SELECT count(*) FROM assignment s WHERE s.user_id = j.user_id AND s.community = j.proposal_id)
-       AS members FROM judged_t j WHERE reason IS NULL""", **_THEMES))
+    """SELECT j.user_id, 't:' || j.proposal_id AS snapshot_id, 'note' AS kind, CAST(e.braindump_id AS VARCHAR) AS member FROM judged_t j
+       JOIN evidence e ON e.user_id = j.user_id AND e.proposal_id = j.proposal_id WHERE reason IS NULL
+       UNION ALL SELECT j.user_id, 't:' || j.proposal_id, 'concept', s.concept_id FROM judged_t j
+       JOIN assignment s ON s.user_id = j.user_id AND s.community = j.proposal_id WHERE reason IS NULL""", **_THEMES))
 def frozen_snapshots(v):
-    return _thematic(v)[1].select("user_id", "snapshot_id", F.size("braindump_ids").cast("bigint").alias("notes"),
-                                  F.size("concept_ids").cast("bigint").alias("members"))
+    """Every member of every frozen snapshot."""
+    frozen = _thematic(v)[1]
+    of = lambda kind, ids: frozen.select("user_id", "snapshot_id", F.lit(kind).alias("kind"), F.explode(F.col(ids).cast("array<string>")).alias("member"))
+    return of("note", "braindump_ids").unionByName(of("concept", "concept_ids"))
 
 
 @query("proposal_snapshots", twin(
-    """SELECT j.user_id, j.proposal_id, (SELECT count(*) FROM evidence e WHERE e.user_id = j.user_id AND
-       e.proposal_id = j.proposal_id AND j.reason IS NULL) AS notes FROM judged_t j""", **_THEMES))
+    """SELECT j.user_id, j.proposal_id, e.braindump_id FROM judged_t j
+       LEFT JOIN evidence e ON e.user_id = j.user_id AND e.proposal_id = j.proposal_id AND j.reason IS NULL""", **_THEMES))
 def proposal_snapshots(v):
+    """The notes behind every proposal; a null note where nothing was frozen."""
     proposals, snapshots = _thematic(v)
-    return L.proposals_with_snapshot(proposals, snapshots).select(
-        "user_id", "proposal_id", F.coalesce(F.size("braindump_ids"), F.lit(0)).cast("bigint").alias("notes"))
+    return L.proposals_with_snapshot(proposals, snapshots).select("user_id", "proposal_id", F.explode_outer("braindump_ids").alias("braindump_id"))
 
 
 def _endorse(v):
@@ -447,12 +454,12 @@ def endorsed_view(v):
 
 
 @query("housekeeping_queue", twin(
-    """SELECT user_id, CAST(suggestion_id AS VARCHAR) AS item_id, 'concept' AS kind, new_concept_label AS left_label,
-       existing_concept_id AS right_label, 0.9::DOUBLE AS similarity FROM b_suggestions
+    """SELECT s.user_id, CAST(suggestion_id AS VARCHAR) AS item_id, 'concept' AS kind, new_concept_label AS left_label,
+       existing_concept_id AS right_label, 0.9::DOUBLE AS similarity, md5(substr(d.text, 1, 300)) AS snippet_hash
+       FROM b_suggestions s JOIN documents d ON d.doc_id = s.braindump_id % (SELECT count(*) FROM documents)
        UNION ALL SELECT p.user_id, CAST(p.proposal_id AS VARCHAR), 'type', p.label, coalesce(s.label, p.near_match_slug),
-       round(p.near_match_similarity, 4) FROM proposals_p p JOIN seed_types s ON s.slug = p.near_match_slug WHERE p.reason IS NULL""", **_PROPOSED))
+       round(p.near_match_similarity, 4), NULL FROM proposals_p p JOIN seed_types s ON s.slug = p.near_match_slug WHERE p.reason IS NULL""", **_PROPOSED))
 def housekeeping_queue(v):
-    no_notes = v.b_note_ids.select("user_id", "braindump_id", F.lit("").alias("verbatim"))
-    details = L.suggestion_details(v.b_suggestions, v.b_concepts, no_notes)
+    details = L.suggestion_details(v.b_suggestions, v.b_concepts, _suggesting_notes(v))
     return L.housekeeping_queue(details, _queue(v), v.b_ontology).select(
-        "user_id", "item_id", "kind", "left_label", "right_label", F.round("similarity", 4).alias("similarity"))
+        "user_id", "item_id", "kind", "left_label", "right_label", F.round("similarity", 4).alias("similarity"), F.md5("braindump_snippet").alias("snippet_hash"))
