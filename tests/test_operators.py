@@ -151,6 +151,31 @@ def test_nearest_keeps_tenants_apart_and_breaks_ties_by_id(spark, strategy):
     assert pairs(got, "query_id", "rank", "note") == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 1, 99), (3, 1, 0), (3, 2, 1), (3, 3, 2)]
 
 
+def test_copies_of_a_vector_enter_the_grid_once(spark):
+    rng = np.random.default_rng(3)
+    kinds = rng.normal(size=(6, 4)).astype(np.float32).tolist()
+    notes = frame(spark, [("u", i, kinds[i % 6]) for i in range(900)], "user_id string, note bigint, embedding array<float>")
+    queries = frame(spark, [("u", i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(40)], "user_id string, query_id bigint, embedding array<float>")
+    held = knn.distinct_vectors(notes, "note", 3)
+    assert pairs(held, "ids") == [([i, i + 6, i + 12],) for i in range(6)]
+    # A side is copied to few cells, however many rows it meets.
+    _, sizes = knn.with_cells(notes, "note", "cell", 3)
+    assert pairs(sizes, "user_id", "cell_count") == [("u", knn.CELLS)]
+    got = knn.nearest(queries, notes, "note", 200, strategy="grid", cell_rows=3)
+    assert pairs(got, "query_id", "rank", "note", "similarity") == pairs(
+        knn.nearest(queries, notes, "note", 200, strategy="broadcast"), "query_id", "rank", "note", "similarity")
+
+
+def test_blocks_are_filtered_in_single_precision_without_loss():
+    rng = np.random.default_rng(5)
+    one, two = knn._unit_rows(pa.array(rng.normal(size=(40, 6)).tolist())), knn._unit_rows(pa.array((rng.normal(size=(5000, 6)).round(1)).tolist()))
+    sims, order = np.round(one @ two.T, 10), rng.permutation(5000)
+    for floor in (None, 0.9):
+        want = [(i, j) for i in range(40) for j in np.lexsort((order, -sims[i]))[:7] if floor is None or sims[i, j] >= floor]
+        rows, columns, values = knn.block_best(one, two, order, 7, floor)
+        assert list(zip(rows.tolist(), columns.tolist())) == want and np.allclose(values, [sims[p] for p in want], atol=1e-9)
+
+
 def test_ranked_equals_a_window(spark):
     rows = spark.range(500).select(F.when(F.col("id") < 400, "hot").otherwise("cold").alias("k"), (F.col("id") * 37 % 500).alias("v"))
     got = pairs(ranked(rows, ["k"], [F.desc("v")], parts=6), "k", "v", "rank")
