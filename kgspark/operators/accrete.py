@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import edge_key
-from ..session import cut
+from ..session import cut, settings
 from .history import first_history
 
 NOTE = ["user_id", "braindump_id"]
@@ -53,6 +53,11 @@ def accrete_edges(
     edges and their keys once, for callers that use more than one result.
     """
     types = ontology.select("user_id", F.col("slug").alias("type"), F.lit(True).alias("sanctioned")).distinct()
+    if materialize:
+        # Few types have very many edges each: the real size of the types decides that these are not shuffled by type.
+        types = cut(types, "types")
+        # Labels and edges of a note meet in one place: each is shuffled once, by note.
+        edges, label_ids = edges.repartition(*NOTE), label_ids.select(*NOTE, "label", "concept_id").repartition(*NOTE)
     judged = (
         resolve_ends(first_edges(edges), label_ids)
         .join(types, ["user_id", "type"], "left")
@@ -66,7 +71,8 @@ def accrete_edges(
         .drop("sanctioned")
     )
     if materialize:
-        judged = cut(judged, "judged_edges")
+        with settings(existing.sparkSession, spark__sql__requireAllClusterKeysForCoPartition="false"):
+            judged = cut(judged, "judged_edges")
     valid = judged.where("reason IS NULL")
     held = existing.select(
         "user_id", "source_concept_id", F.col("original_type").alias("type"), "target_concept_id",

@@ -6,16 +6,18 @@ vectors never move, so a label leads exactly when no earlier leader is near enou
 independent set in arrival order, found here in rounds. Nothing emits the pairs of a dense group:
 
 * exact copies of a vector are reduced to their first occurrence before any comparison (only it can lead);
+* where a vector is a function of its label, each distinct label gets one, and occurrences travel without it;
 * a round keeps one fact per label, whether an earlier undecided label or leader is near.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ACCRETION_SIMILARITY, SIMILARITY_DECIMALS, SUGGESTION_FLOOR_SIMILARITY
@@ -149,21 +151,34 @@ def resolve_identity(
     accrete: float = ACCRETION_SIMILARITY,
     floor: float = SUGGESTION_FLOOR_SIMILARITY,
     cell_rows: int = CELL_ROWS,
+    embed: Callable[[Column], Column] | None = None,
 ) -> Identity:
     """Resolve ``labels(user_id, braindump_id, pos, label, embedding)``, one row per label and note.
 
+    With ``embed`` the vector of a label is ``embed(label)``, ``labels`` need no embedding, and each distinct label is embedded once.
     ``stored(user_id, concept_id, embedding)`` are the tenant's concepts. New ids are ``k:<note>:<pos>``.
     """
-    arrived = labels.select(
-        "user_id", F.col("braindump_id").cast("bigint").alias("at"), F.col("pos").cast("bigint").alias("pos"), "label", "embedding",
-        F.forall("embedding", lambda x: x == 0).alias("zero"),
-        # 128 bits stand for the vector wherever only equality matters, so occurrences travel without it.
-        F.xxhash64("embedding").alias("copy_a"), F.xxhash64(F.lit(1), "embedding").alias("copy_b"),
-    )
+    # 128 bits stand for the vector wherever only equality matters, so occurrences travel without it.
+    codes = {
+        "zero": F.forall("embedding", lambda x: x == 0),
+        "copy_a": F.xxhash64("embedding"), "copy_b": F.xxhash64(F.lit(1), "embedding"),
+    }
+    arrived = labels.withColumnsRenamed({"braindump_id": "at"}).withColumns(
+        {"at": F.col("at").cast("bigint"), "pos": F.col("pos").cast("bigint")})
+    if embed is None:
+        arrived = arrived.select("user_id", "at", "pos", "label", "embedding").withColumns(codes)
+        with_vector = lambda df: df.withColumn("embedding", F.col("carried"))
+        carried = F.col("embedding")
+    else:
+        words = cut(labels.select("label").distinct().withColumn("embedding", embed(F.col("label"))).withColumns(codes), "words")
+        arrived = cut(arrived.select("user_id", "at", "pos", "label").join(words.drop("embedding"), "label"), "arrived")
+        vectors_of = words.select(F.col("label").alias("carried"), "embedding")
+        with_vector = lambda df: df.join(vectors_of, "carried")
+        carried = F.col("label")
     copy = ["user_id", "copy_a", "copy_b"]
     # Copies of one vector share the fate of their first occurrence, combined before the shuffle.
     first = F.struct("at", "pos")
-    copies = arrived.where("NOT zero").groupBy(*copy).agg(F.min(first).alias("f"), F.min_by("embedding", first).alias("embedding"))
+    copies = with_vector(arrived.where("NOT zero").groupBy(*copy).agg(F.min(first).alias("f"), F.min_by(carried, first).alias("carried")))
     new = copies.select(
         "user_id", F.concat_ws(":", F.lit("k"), "f.at", "f.pos").alias("vector_id"), "f.at", "f.pos", "embedding",
         F.concat_ws(":", F.lit("k"), "f.at", "f.pos").alias("concept_id"), "copy_a", "copy_b",
@@ -191,7 +206,7 @@ def resolve_identity(
         "user_id", "at", "pos", "label", F.col("own_id").alias("concept_id"), F.lit(1.0).alias("similarity"),
         ((F.col("at") == F.col("first_at")) & (F.col("pos") == F.col("first_pos"))).alias("is_first"),
     )
-    late = arrived.where("NOT zero").join(followers.select(*copy), copy, "left_semi").select(
+    late = with_vector(arrived.where("NOT zero").join(followers.select(*copy), copy, "left_semi").withColumn("carried", carried)).select(
         "user_id", F.concat_ws(":", F.lit("k"), "at", "pos").alias("vector_id"), "at", "pos", "label", "embedding"
     )
     near_late = nearest_earlier(late, leaders, cell_rows, accrete)
@@ -214,10 +229,10 @@ def resolve_identity(
         F.when(~F.col("is_first"), F.lit("accreted")).when(F.col("suggests"), F.lit("suggested"))
         .otherwise(F.lit("created")).alias("outcome"),
     )
-    created = arrived.select("user_id", "at", "pos", "label", "embedding").join(
+    created = with_vector(arrived.withColumn("carried", carried).select("user_id", "at", "pos", "label", "carried").join(
         fresh.select("user_id", "at", "pos", "concept_id").unionByName(of_zero.select("user_id", "at", "pos", "concept_id")),
         ["user_id", "at", "pos"],
-    ).select("user_id", "concept_id", F.col("at").alias("braindump_id"), "pos", "label", "embedding")
+    )).select("user_id", "concept_id", F.col("at").alias("braindump_id"), "pos", "label", "embedding")
     suggestions = near_leaders.select(
         "user_id", F.concat(F.lit("m:"), F.col("concept_id")).alias("suggestion_id"), F.col("at").alias("braindump_id"),
         F.col("concept_id").alias("new_concept_id"), F.col("leader_id").alias("existing_concept_id"), "similarity",

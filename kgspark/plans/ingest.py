@@ -35,7 +35,7 @@ def batch_ingest(
     is in ``braindumps`` afterwards, complete or failed; the reasons of failed ones are kept in ``ingest_rejects``.
     """
     embed = embed or (lambda t: text_vector(t, dim))
-    parsed = parse_extractions(spread(raw))
+    parsed = parse_extractions(spread(raw.select(*NOTE, "payload")), materialize=True)
     rejects = cut(parsed.rejects, "rejects")
     notes = raw.join(rejects, NOTE, "left_anti").select(*NOTE, "verbatim")
     keys = cut(notes.select(*NOTE), "ingest_keys")
@@ -46,8 +46,8 @@ def batch_ingest(
     )
     out = retract(tables, cut(known, "reingested"), at) if known.limit(1).count() else dict(tables)
 
-    labels = cut(first_labels(parsed.concepts).withColumn("embedding", embed(F.col("label"))), "labels")
-    identity = resolve_identity(labels, out["concept_embeddings"], accrete, floor)
+    labels = cut(first_labels(parsed.concepts), "labels")
+    identity = resolve_identity(labels, out["concept_embeddings"], accrete, floor, embed=embed)
     placed = cut(identity.occurrences, "placed")
     edges = accrete_edges(parsed.edges, placed, out["ontology"], out["edges"], at, materialize=True)
     counts = outcome_counts(placed, edges.judged)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EXTRACTION
+from ..session import cut
 
 NOTE = ["user_id", "braindump_id"]
 
@@ -23,10 +24,11 @@ def _blank(c: Column) -> Column:
     return F.coalesce(F.trim(c) == "", F.lit(True))
 
 
-def parse_extractions(raw: DataFrame) -> Extraction:
+def parse_extractions(raw: DataFrame, materialize: bool = False) -> Extraction:
     """``raw(user_id, braindump_id, payload)`` -> trimmed concepts and edges with positions, and rejected notes.
 
     A missing array is empty; a blank or missing field rejects the whole note, as does text that is not JSON.
+    ``materialize`` writes the parsed notes once, for callers that use more than one result.
     """
     parsed = raw.withColumn("x", F.from_json("payload", EXTRACTION)).select(
         *NOTE,
@@ -41,6 +43,8 @@ def parse_extractions(raw: DataFrame) -> Extraction:
             F.exists("edges", lambda e: _blank(e["source"]) | _blank(e["type"]) | _blank(e["target"])), F.lit("edge_field")
         ),
     )
+    if materialize:
+        parsed = cut(parsed.drop("broken"), "parsed")
     good = parsed.where("reason IS NULL")
     concepts = good.select(*NOTE, F.posexplode("concepts").alias("pos", "c")).select(
         *NOTE, "pos", F.trim("c.label").alias("label")

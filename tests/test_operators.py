@@ -151,6 +151,24 @@ def test_nearest_keeps_tenants_apart_and_breaks_ties_by_id(spark, strategy):
     assert pairs(got, "query_id", "rank", "note") == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 1, 99), (3, 1, 0), (3, 2, 1), (3, 3, 2)]
 
 
+def test_each_label_is_embedded_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def embed(label):
+        asked.add(1)
+        return [float(ord(label) - 96), 1.0, 0.0] if label != "z" else [0.0, 0.0, 0.0]
+
+    labels = frame(spark, [("u", n, i, w) for n in range(30) for i, w in enumerate("abcdz")], "user_id string, braindump_id bigint, pos int, label string")
+    got = resolve_identity(labels, None, 0.999, 0.9, embed=embed)
+    columns = ("user_id", "braindump_id", "pos", "label", "concept_id", "outcome")
+    rows = pairs(got.occurrences, *columns)
+    assert asked.value == 5 and len(rows) == 150
+    given = resolve_identity(labels.withColumn("embedding", embed("label")), None, 0.999, 0.9)
+    assert rows == pairs(given.occurrences, *columns)
+    assert pairs(got.leaders, "concept_id", "label", "embedding") == pairs(given.leaders, "concept_id", "label", "embedding")
+
+
 def test_copies_of_a_vector_enter_the_grid_once(spark):
     rng = np.random.default_rng(3)
     kinds = rng.normal(size=(6, 4)).astype(np.float32).tolist()
