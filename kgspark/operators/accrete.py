@@ -56,8 +56,8 @@ def accrete_edges(
     if materialize:
         # Few types have very many edges each: the real size of the types decides that these are not shuffled by type.
         types = cut(types, "types")
-        # Labels and edges of a note meet in one place: each is shuffled once, by note.
-        edges, label_ids = edges.repartition(*NOTE), label_ids.select(*NOTE, "label", "concept_id").repartition(*NOTE)
+        # Labels and edges of a note meet in one place: labels are shuffled once, by note; parsed edges lie by note already.
+        label_ids = label_ids.select(*NOTE, "label", "concept_id").repartition(*NOTE)
     judged = (
         resolve_ends(first_edges(edges), label_ids)
         .join(types, ["user_id", "type"], "left")

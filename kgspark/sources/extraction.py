@@ -29,8 +29,13 @@ def parse_extractions(raw: DataFrame, materialize: bool = False) -> Extraction:
 
     A missing array is empty; a blank or missing field rejects the whole note, as does text that is not JSON.
     ``materialize`` writes the parsed notes once, for callers that use more than one result.
+    A note is shuffled whole and taken apart behind the shuffle, so what is grouped by note afterwards is not shuffled again.
     """
-    parsed = raw.withColumn("x", F.from_json("payload", EXTRACTION)).select(
+    raw = raw.select(*NOTE, "payload")
+    raw = raw if materialize else raw.repartition(*NOTE)
+    # Rows of a generator are computed once; in a plain column the JSON would be parsed for each use of a field.
+    once = raw.select(*NOTE, "payload", F.inline(F.array(F.struct(F.from_json("payload", EXTRACTION).alias("x")))))
+    parsed = once.select(
         *NOTE,
         F.coalesce("x.concepts", F.array().cast("array<struct<label:string>>")).alias("concepts"),
         F.coalesce("x.edges", F.array().cast("array<struct<source:string,type:string,target:string>>")).alias("edges"),
@@ -46,6 +51,7 @@ def parse_extractions(raw: DataFrame, materialize: bool = False) -> Extraction:
     if materialize:
         parsed = cut(parsed.drop("broken"), "parsed")
     good = parsed.where("reason IS NULL")
+    good = good.repartition(*NOTE) if materialize else good
     concepts = good.select(*NOTE, F.posexplode("concepts").alias("pos", "c")).select(
         *NOTE, "pos", F.trim("c.label").alias("label")
     )

@@ -12,6 +12,7 @@ from yardstick import sequential_communities
 from kgspark.functions import text as X
 from kgspark.operators import cluster as K
 from kgspark.operators import knn, retract
+from kgspark.operators.accrete import first_edges
 from kgspark.operators.identity import resolve_identity
 from kgspark.operators.inference import endorse, path_fault
 from kgspark.operators.merge import merge_concepts
@@ -526,6 +527,17 @@ def test_extraction_rejects(spark):
     assert pairs(got.rejects, "braindump_id", "reason") == [(1, "edge_field"), (2, "not_json"), (4, "concept_label")]
 
 
+def test_notes_are_parsed_once_and_stay_together(spark):
+    raw = spark.createDataFrame([("u", n % 7, '{"concepts":[{"label":"a"}],"edges":[{"source":"a","type":"t","target":"b"},{"source":" a","type":"t","target":"b"}]}')
+                                 for n in range(20)], "user_id string, braindump_id bigint, payload string")
+    found = first_edges(parse_extractions(raw).edges)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1
+    # One shuffle, of whole notes, below the step that takes them apart.
+    assert plan.count("Exchange") == 1 and plan.index("posexplode") < plan.index("Exchange")
+    assert sorted(map(tuple, found.collect())) == [("u", n, "a", "t", "b", 0) for n in range(7)]
+
+
 def test_citations(spark):
     said = "See [bd:5] and [edge:a -b→ c] also [bd:9][bd:5]."
     df = frame(spark, [(said,)], "a string")
