@@ -38,14 +38,16 @@ def find_gone(tables: dict[str, DataFrame], notes: DataFrame, materialize: bool
     concepts = orphan_concepts(tables["concepts"].join(tenants, "user_id", "left_semi"), concept_prov).select(*CONCEPT)
     if materialize:
         edges, concepts = cut(edges, "gone_edges"), cut(concepts, "gone_concepts")
-    rest = without(in_scope, edges, EDGE)
-    touching = rest.join(
+    # The few edges at lost concepts are found first, so orphan edges are taken out of them and not twice out of all edges.
+    ends = in_scope.select(*EDGE, "source_concept_id", "target_concept_id")
+    at_lost = ends.join(
         concepts.withColumnRenamed("concept_id", "source_concept_id"), ["user_id", "source_concept_id"], "left_semi"
     ).select(*EDGE).unionByName(
-        rest.join(
+        ends.join(
             concepts.withColumnRenamed("concept_id", "target_concept_id"), ["user_id", "target_concept_id"], "left_semi"
         ).select(*EDGE)
     ).distinct()
+    touching = without(at_lost, edges, EDGE)
     return Gone(edges, concepts, cut(touching, "gone_cascade") if materialize else touching)
 
 

@@ -249,6 +249,22 @@ def test_edge_goes_with_its_endpoint_and_inference_keeps_an_edge(spark):
     assert pairs(out["graph_tombstones"], "kind", "entity_id") == [("concept", "a")]
 
 
+def test_orphan_edges_are_taken_out_of_the_cascade_once(spark):
+    edge = "user_id string, edge_id string, source_concept_id string, target_concept_id string, original_type string, created_at bigint"
+    tables = {
+        "concepts": frame(spark, [("u", c, c, 0) for c in "abc"], "user_id string, concept_id string, label string, created_at bigint"),
+        "edges": frame(spark, [("u", "e", "a", "b", "t", 0), ("u", "f", "b", "c", "t", 0), ("u", "g", "b", "b", "t", 0), ("u", "h", "c", "a", "t", 0)], edge),
+        "concept_provenance": frame(spark, [("u", "a", 1), ("u", "b", 2), ("u", "c", 2)], "user_id string, concept_id string, braindump_id bigint"),
+        "edge_provenance": frame(spark, [("u", "e", 1), ("u", "f", 2), ("u", "g", 2), ("u", "h", 2)], "user_id string, edge_id string, braindump_id bigint"),
+        "edge_inference_provenance": empty(spark, "edge_inference_provenance"),
+    }
+    gone = retract.find_gone(tables, frame(spark, [("u", 1)], "user_id string, braindump_id bigint"))
+    assert [pairs(gone.edges, "edge_id"), pairs(gone.concepts, "concept_id"), pairs(gone.cascaded, "edge_id")] == [[("e",)], [("a",)], [("h",)]]
+    plan = gone.cascaded._jdf.queryExecution().optimizedPlan().toString()
+    # Orphan edges once (3 anti-joins), lost concepts for each end (2 each).
+    assert plan.count("LeftAnti") <= 7
+
+
 def test_merge_collapses_and_unites_provenance(spark):
     tables = graph(
         spark, ["maria", "beta", "q3"], [("maria", "helps", "q3"), ("beta", "helps", "q3"), ("beta", "helps", "maria")],
