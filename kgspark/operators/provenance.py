@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import BRAINDUMP
+from ..session import cut
 
 
 def of_known_parents(provenance: DataFrame, parents: DataFrame, key: str) -> DataFrame:
@@ -76,8 +77,14 @@ def orphan_concepts(concepts: DataFrame, concept_provenance: DataFrame) -> DataF
 
 
 def with_both_ends(edges: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Edges whose two endpoints are still concepts of the tenant."""
-    known = concepts.select("user_id", "concept_id")
-    return edges.join(
-        known.withColumnRenamed("concept_id", "source_concept_id"), ["user_id", "source_concept_id"], "left_semi"
-    ).join(known.withColumnRenamed("concept_id", "target_concept_id"), ["user_id", "target_concept_id"], "left_semi")
+    """Edges whose two endpoints are still concepts of the tenant.
+
+    Edges are not shuffled by their ends: the ends that are no concepts are few and written once, and edges at them are left out.
+    """
+    source, target = "source_concept_id", "target_concept_id"
+    edges = edges.dropna(subset=["user_id", source, target])
+    ends = [edges.select("user_id", F.col(end).alias("concept_id")).distinct() for end in (source, target)]
+    lost = cut(ends[0].unionByName(ends[1]).join(concepts.select("user_id", "concept_id"), ["user_id", "concept_id"], "left_anti").distinct(), "lost_ends")
+    for end in (source, target):
+        edges = edges.join(lost.withColumnRenamed("concept_id", end), ["user_id", end], "left_anti")
+    return edges

@@ -299,6 +299,18 @@ def test_path_faults(spark):
     assert [r["f"] for r in got] == [None, "not_connected", "empty_path", "wrong_start"]
 
 
+def test_edges_meet_only_the_ends_that_are_no_concepts(spark, tmp_path):
+    """Edges are not joined with all concepts: those are read before, to find the few lost ends."""
+    from kgspark.operators.provenance import with_both_ends
+
+    frame(spark, [("u", n, n, 1) for n in "abc"] + [("w", "d", "d", 1)], TABLES["concepts"]).write.parquet(f"{tmp_path}/concepts")
+    rows = [("u", "1", "a", "b"), ("u", "2", "a", "d"), ("u", "3", "d", "a"), ("u", "4", "c", "c"), ("u", "5", None, "a"), ("w", "6", "d", "d"), ("x", "7", "a", "b")]
+    edges = frame(spark, [(*r, "t", 1) for r in rows], TABLES["edges"])
+    got = with_both_ends(edges, spark.read.schema(TABLES["concepts"]).parquet(f"{tmp_path}/concepts"))
+    assert sorted(r["edge_id"] for r in got.collect()) == ["1", "4", "6"] and got.columns[0] == "user_id"
+    assert not [f for f in got.inputFiles() if str(tmp_path) in f]
+
+
 # --- clusters -------------------------------------------------------------------------------------
 def communities(spark, nodes, edges):
     concepts = frame(spark, [("u", n, n, 1) for n in nodes], TABLES["concepts"])
