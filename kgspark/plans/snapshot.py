@@ -11,6 +11,7 @@ from ..operators import history as H
 from ..operators.cluster import partition_ids
 from ..operators.provenance import with_both_ends
 from ..schema import NO_PARTITION
+from ..session import cut
 from ..sources.changes import ChangeLog
 
 EDGE_VIEW = ["user_id", "edge_id", "source_concept_id", "target_concept_id", "original_type", "current_type", "created_at"]
@@ -110,6 +111,8 @@ def net_changes(changes: DataFrame, cursor: int) -> Delta:
         of("add_", row).alias("added"), of("delete_", F.col("version")).alias("deleted"),
         of("retag_", F.struct("version", "created_at", "current_type")).alias("retag"),
     )
+    # Five lists are read from it.
+    folded = cut(folded, "net_changes")
     stays = F.col("deleted").isNull() | (F.col("added.version") > F.col("deleted"))
     fresh = folded.where(F.col("added").isNotNull() & stays)
     newer = F.when(F.col("retag.version") >= F.col("added.version"), F.col("retag.current_type"))

@@ -479,6 +479,13 @@ def test_the_last_word_about_an_entity_counts(spark):
         ("add_concept", "c", "C"), ("add_concept", "e", "E"), ("add_edge", "e", "y"), ("delete_edge", "f", ""), ("delete_edge", "h", ""), ("retag_edge", "g", "z")]
 
 
+def test_changes_are_folded_once_for_all_lists(spark):
+    delta = net_changes(changes(spark, [("add_edge", "e", 1), ("delete_concept", "c", 1)]), 1)
+    lists = (delta.added_concepts, delta.added_edges, delta.deleted_concepts, delta.deleted_edges, delta.retagged)
+    files = [f for found in lists for f in found.inputFiles()]
+    assert files and all("net_changes" in f for f in files)
+
+
 def test_a_held_snapshot_survives_a_lost_driver(spark, tmp_path, monkeypatch):
     concept, edge = "user_id string, concept_id string, label string, created_at bigint", "user_id string, edge_id string, source_concept_id string, target_concept_id string, original_type string, current_type string, created_at bigint"
     start = Snapshot(frame(spark, [("u", "a", "A", 1)], concept), frame(spark, [], edge), frame(spark, [], "user_id string, concept_id string, partition_id int"))
