@@ -311,6 +311,20 @@ def test_edges_meet_only_the_ends_that_are_no_concepts(spark, tmp_path):
     assert not [f for f in got.inputFiles() if str(tmp_path) in f]
 
 
+def test_types_are_looked_up_for_touched_edges_alone(spark):
+    from kgspark.plans.retrieve import paths_of
+
+    concepts = frame(spark, [("u", n, n.upper(), 1) for n in "abcd"], TABLES["concepts"])
+    edges = frame(spark, [("u", "1", "a", "b", "t", 1), ("u", "2", "b", "c", "t", 1), ("u", "3", "c", "d", "t", 1)], TABLES["edges"])
+    history = frame(spark, [("u", "1", 0, "t", 1), ("u", "1", 1, "x", 2), ("u", "3", 0, "t", 1)], TABLES["edge_type_history"])
+    hops = frame(spark, [(q, "u", n, 0) for q, names in ((1, "abc"), (2, "bcd")) for n in names], "query_id bigint, user_id string, concept_id string, hops int")
+    got = paths_of(hops.where("query_id = 1"), edges, history, concepts)
+    assert sorted((r["edge_id"], r["target_label"], r["edge_type"]) for r in got.collect()) == [("1", "B", "x"), ("2", "C", "")]
+    assert any("touched" in f for f in got.inputFiles())
+    both = paths_of(hops, edges, history, concepts).collect()
+    assert sorted((r["query_id"], r["edge_id"]) for r in both) == [(1, "1"), (1, "2"), (2, "2"), (2, "3")]
+
+
 # --- clusters -------------------------------------------------------------------------------------
 def communities(spark, nodes, edges):
     concepts = frame(spark, [("u", n, n, 1) for n in nodes], TABLES["concepts"])
