@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from ..session import cut, settings
 from .history import first_history
 
 NOTE = ["user_id", "braindump_id"]
+KEY = ["user_id", "source_concept_id", "type", "target_concept_id"]
 
 
 def first_labels(concepts: DataFrame) -> DataFrame:
@@ -25,39 +28,84 @@ def first_edges(edges: DataFrame) -> DataFrame:
 
 
 def resolve_ends(edges: DataFrame, label_ids: DataFrame) -> DataFrame:
-    """Concept ids for both labels of each edge; null where the label was not extracted from the note."""
-    out = edges
+    """Concept ids for both labels of each edge; null where the label was not extracted from the note.
+
+    Both sides are sorted by a hash of all three keys first: names of tenants and ids of notes repeat, one integer mostly decides.
+    """
+    out, at = edges, "_at"
     for end in ("source", "target"):
-        ids = label_ids.select(*NOTE, F.col("label").alias(end), F.col("concept_id").alias(f"{end}_concept_id"))
-        out = out.join(ids, [*NOTE, end], "left")
+        ids = label_ids.select(
+            F.xxhash64(*NOTE, "label").alias(at), *NOTE, F.col("label").alias(end), F.col("concept_id").alias(f"{end}_concept_id")
+        )
+        out = out.withColumn(at, F.xxhash64(*NOTE, end)).join(ids, [at, *NOTE, end], "left").drop(at)
     return out
 
 
 @dataclass
 class Accretion:
-    """``judged`` has one row per distinct extracted edge; the rest are rows to add."""
+    """``judged`` has one row per distinct extracted edge; the rest are rows to add. Keys are folded only for results that need them."""
+
+    resolved: DataFrame
+    held: DataFrame
+    at: int
+    write: Callable[[DataFrame, str], DataFrame]
+
+    @cached_property
+    def _valid(self) -> DataFrame:
+        return self.resolved.where("reason IS NULL")
+
+    @cached_property
+    def _new(self) -> DataFrame:
+        asserted = self._valid.groupBy(*KEY, "key_id").agg(F.min(F.struct("braindump_id", "pos")).alias("first")).join(self.held, KEY, "left")
+        return self.write(asserted, "asserted_edges").where("held_id IS NULL")
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        creators = self._new.select(
+            "user_id", "key_id", F.col("first.braindump_id").alias("braindump_id"), F.col("first.pos").alias("pos"),
+            F.lit(True).alias("creates"),
+        )
+        return self.resolved.join(creators, ["user_id", "key_id", "braindump_id", "pos"], "left").withColumn(
+            "outcome",
+            F.when(F.col("reason").isNotNull(), F.lit("rejected")).when(F.col("creates"), F.lit("created")).otherwise(F.lit("accreted")),
+        ).drop("creates")
+
+    @cached_property
+    def new_edges(self) -> DataFrame:
+        return self._new.select(
+            "user_id", F.col("key_id").alias("edge_id"), "source_concept_id", "target_concept_id",
+            F.col("type").alias("original_type"), F.lit(self.at).cast("bigint").alias("created_at"),
+        )
 
-    judged: DataFrame
-    new_edges: DataFrame
-    history: DataFrame
-    provenance: DataFrame
+    @cached_property
+    def history(self) -> DataFrame:
+        return first_history(self.new_edges)
+
+    @cached_property
+    def provenance(self) -> DataFrame:
+        """Only edges held before have another id than their key, so assertions meet those, not all keys."""
+        return self._valid.join(self.held, KEY, "left").select(
+            "user_id", F.coalesce("held_id", "key_id").alias("edge_id"), "braindump_id"
+        ).distinct()
 
 
 def accrete_edges(
-    edges: DataFrame, label_ids: DataFrame, ontology: DataFrame, existing: DataFrame, at: int, materialize: bool = False
+    edges: DataFrame, label_ids: DataFrame, ontology: DataFrame, existing: DataFrame, at: int, materialize: bool = False,
+    parts: int = 0,
 ) -> Accretion:
     """Judge extracted edges in note order: unknown end, then unsanctioned type, else create or accrete.
 
     The creator of a new edge is the earliest (note, position) asserting its key; the earliest is found by a
     combined minimum, so an edge asserted by very many notes is never gathered. ``materialize`` writes the judged
-    edges and their keys once, for callers that use more than one result.
+    edges and their keys once, for callers that use more than one result; ``parts`` says in how many partitions edges lie by note.
     """
     types = ontology.select("user_id", F.col("slug").alias("type"), F.lit(True).alias("sanctioned")).distinct()
     if materialize:
         # Few types have very many edges each: the real size of the types decides that these are not shuffled by type.
         types = cut(types, "types")
         # Labels and edges of a note meet in one place: labels are shuffled once, by note; parsed edges lie by note already.
-        label_ids = label_ids.select(*NOTE, "label", "concept_id").repartition(*NOTE)
+        label_ids = label_ids.select(*NOTE, "label", "concept_id")
+        label_ids = label_ids.repartition(parts, *NOTE) if parts else label_ids.repartition(*NOTE)
     judged = (
         resolve_ends(first_edges(edges), label_ids)
         .join(types, ["user_id", "type"], "left")
@@ -73,33 +121,11 @@ def accrete_edges(
     if materialize:
         with settings(existing.sparkSession, spark__sql__requireAllClusterKeysForCoPartition="false"):
             judged = cut(judged, "judged_edges")
-    valid = judged.where("reason IS NULL")
     held = existing.select(
         "user_id", "source_concept_id", F.col("original_type").alias("type"), "target_concept_id",
         F.col("edge_id").alias("held_id"),
     )
-    asserted = valid.groupBy("user_id", "source_concept_id", "type", "target_concept_id", "key_id").agg(
-        F.min(F.struct("braindump_id", "pos")).alias("first")
-    ).join(held, ["user_id", "source_concept_id", "type", "target_concept_id"], "left")
-    if materialize:
-        asserted = cut(asserted, "asserted_edges")
-    new = asserted.where("held_id IS NULL")
-    new_edges = new.select(
-        "user_id", F.col("key_id").alias("edge_id"), "source_concept_id", "target_concept_id",
-        F.col("type").alias("original_type"), F.lit(at).cast("bigint").alias("created_at"),
-    )
-    creators = new.select(
-        "user_id", "key_id", F.col("first.braindump_id").alias("braindump_id"), F.col("first.pos").alias("pos"),
-        F.lit(True).alias("creates"),
-    )
-    outcome = judged.join(creators, ["user_id", "key_id", "braindump_id", "pos"], "left").withColumn(
-        "outcome",
-        F.when(F.col("reason").isNotNull(), F.lit("rejected")).when(F.col("creates"), F.lit("created")).otherwise(F.lit("accreted")),
-    ).drop("creates")
-    provenance = valid.join(
-        asserted.select("user_id", "key_id", F.coalesce("held_id", "key_id").alias("edge_id")), ["user_id", "key_id"]
-    ).select("user_id", "edge_id", "braindump_id").distinct()
-    return Accretion(outcome, new_edges, first_history(new_edges), provenance)
+    return Accretion(judged, held, at, cut if materialize else lambda df, name: df)
 
 
 def outcome_counts(concept_outcomes: DataFrame, judged_edges: DataFrame) -> DataFrame:

@@ -712,3 +712,16 @@ def test_louvain_numbers_stand_in_the_order_of_names_and_links_are_shuffled_once
     plans = [K._wanted(both, state, None, travels) for travels in (True, False)]
     assert sorted(plans[0].collect()) == sorted(plans[1].collect()) != []
     assert plans[0]._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
+
+
+def test_provenance_does_not_fold_keys(spark):
+    from kgspark.operators.accrete import accrete_edges
+
+    edges = frame(spark, [("u", n, 0, "a", "t", "b") for n in (1, 2)] + [("u", 2, 1, "b", "t", "a")], "user_id string, braindump_id bigint, pos int, source string, type string, target string")
+    labels = frame(spark, [("u", n, c, c) for n in (1, 2) for c in "ab"], "user_id string, braindump_id bigint, label string, concept_id string")
+    ontology = frame(spark, [("u", "t")], "user_id string, slug string")
+    held = frame(spark, [("u", "old", "b", "a", "t", 1)], TABLES["edges"])
+    found = accrete_edges(edges, labels, ontology, held, 1)
+    assert sorted(tuple(r) for r in found.provenance.collect()) == [("u", "a|t|b", 1), ("u", "a|t|b", 2), ("u", "old", 2)]
+    assert "first" not in found.provenance._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["braindump_id"], r["pos"], r["outcome"]) for r in found.judged.collect()) == [(1, 0, "created"), (2, 0, "accreted"), (2, 1, "accreted")]
