@@ -49,7 +49,7 @@ def batch_ingest(
     labels = cut(first_labels(parsed.concepts), "labels")
     identity = resolve_identity(labels, out["concept_embeddings"], accrete, floor, embed=embed)
     placed = cut(identity.occurrences, "placed")
-    edges = accrete_edges(parsed.edges, placed, out["ontology"], out["edges"], at, materialize=True)
+    edges = accrete_edges(parsed.edges, placed, out["ontology"], out["edges"], at, materialize=True, parts=parsed.parts)
     counts = outcome_counts(placed, edges.judged)
     outcome = keys.join(counts, NOTE, "left").na.fill(0)
 

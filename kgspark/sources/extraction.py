@@ -8,16 +8,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EXTRACTION
-from ..session import cut
+from ..session import cut, estimated_bytes
 
 NOTE = ["user_id", "braindump_id"]
 
+# Notes grow some fiftyfold when they are taken apart, so a task gets few bytes of them, whatever their number.
+TASK_BYTES = 4 << 20
+MOST_TASKS = 8192
+
 
 @dataclass
 class Extraction:
     concepts: DataFrame
     edges: DataFrame
     rejects: DataFrame
+    # Concepts and edges lie in so many partitions by note.
+    parts: int = 0
+
+
+def note_parts(notes: DataFrame) -> int:
+    """Partitions for whole notes that will be taken apart; a size that is not known (a stream's batch) gives the session's number."""
+    spark, size = notes.sparkSession, estimated_bytes(notes)
+    least = spark.sparkContext.defaultParallelism
+    if size > 1 << 50:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(MOST_TASKS, -(-size // TASK_BYTES)))
 
 
 def _blank(c: Column) -> Column:
@@ -32,7 +47,8 @@ def parse_extractions(raw: DataFrame, materialize: bool = False) -> Extraction:
     A note is shuffled whole and taken apart behind the shuffle, so what is grouped by note afterwards is not shuffled again.
     """
     raw = raw.select(*NOTE, "payload")
-    raw = raw if materialize else raw.repartition(*NOTE)
+    parts = 0 if materialize else note_parts(raw)
+    raw = raw if materialize else raw.repartition(parts, *NOTE)
     # Rows of a generator are computed once; in a plain column the JSON would be parsed for each use of a field.
     once = raw.select(*NOTE, "payload", F.inline(F.array(F.struct(F.from_json("payload", EXTRACTION).alias("x")))))
     parsed = once.select(
@@ -51,11 +67,12 @@ def parse_extractions(raw: DataFrame, materialize: bool = False) -> Extraction:
     if materialize:
         parsed = cut(parsed.drop("broken"), "parsed")
     good = parsed.where("reason IS NULL")
-    good = good.repartition(*NOTE) if materialize else good
+    parts = parts or note_parts(parsed)
+    good = good.repartition(parts, *NOTE) if materialize else good
     concepts = good.select(*NOTE, F.posexplode("concepts").alias("pos", "c")).select(
         *NOTE, "pos", F.trim("c.label").alias("label")
     )
     edges = good.select(*NOTE, F.posexplode("edges").alias("pos", "e")).select(
         *NOTE, "pos", F.trim("e.source").alias("source"), F.trim("e.type").alias("type"), F.trim("e.target").alias("target")
     )
-    return Extraction(concepts, edges, parsed.where("reason IS NOT NULL").select(*NOTE, "reason"))
+    return Extraction(concepts, edges, parsed.where("reason IS NOT NULL").select(*NOTE, "reason"), parts)

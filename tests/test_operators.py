@@ -725,3 +725,15 @@ def test_provenance_does_not_fold_keys(spark):
     assert sorted(tuple(r) for r in found.provenance.collect()) == [("u", "a|t|b", 1), ("u", "a|t|b", 2), ("u", "old", 2)]
     assert "first" not in found.provenance._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["braindump_id"], r["pos"], r["outcome"]) for r in found.judged.collect()) == [(1, 0, "created"), (2, 0, "accreted"), (2, 1, "accreted")]
+
+
+def test_notes_are_taken_apart_in_tasks_of_few_bytes(spark, tmp_path, monkeypatch):
+    from kgspark.sources import extraction
+
+    notes = frame(spark, [("u", n, '{"concepts":[{"label":"a%d"}],"edges":[]}' % n) for n in range(2000)], "user_id string, braindump_id bigint, payload string")
+    notes.write.parquet(str(tmp_path / "notes"))
+    raw = spark.read.parquet(str(tmp_path / "notes"))
+    monkeypatch.setattr(extraction, "TASK_BYTES", extraction.estimated_bytes(raw) // 50)
+    for materialize in (False, True):
+        parsed = extraction.parse_extractions(raw, materialize)
+        assert parsed.parts >= 20 and parsed.concepts.rdd.getNumPartitions() == parsed.parts and parsed.concepts.count() == 2000
