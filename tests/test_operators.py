@@ -737,3 +737,20 @@ def test_notes_are_taken_apart_in_tasks_of_few_bytes(spark, tmp_path, monkeypatc
     for materialize in (False, True):
         parsed = extraction.parse_extractions(raw, materialize)
         assert parsed.parts >= 20 and parsed.concepts.rdd.getNumPartitions() == parsed.parts and parsed.concepts.count() == 2000
+
+
+def test_large_drops_are_several_files_and_arrive_drop_by_drop(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from kgspark.checks import stream_queries as Q
+
+    path = Q.scratch_path(spark, "many")
+    monkeypatch.setattr(Q, "DROP_BYTES", 8 << 10)
+    monkeypatch.setattr(Q, "scratch_path", lambda spark, name: path)
+    stream = Q.arriving(SimpleNamespace(spark=spark), spark.range(8000).withColumn("x", F.col("id") * 7), "many", 2)
+    seen = []
+    Q.finish(stream.writeStream.foreachBatch(lambda df, _: seen.append(df.agg(F.min("id"), F.max("id"), F.count("id")).head()))
+             .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start())
+    assert len(seen) == 2 and seen[0][0] == 0 and seen[1][1] == 7999 and seen[0][1] < seen[1][0] and sum(r[2] for r in seen) == 8000
+    drops = [len(spark.read.parquet(f"{path}/drop={i}").inputFiles()) for i in range(2)]
+    assert drops[0] == drops[1] > 1
