@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import edge_key
@@ -41,6 +41,14 @@ def resolve_ends(edges: DataFrame, label_ids: DataFrame) -> DataFrame:
     return out
 
 
+# Positions in a note are below this.
+_POSITIONS = 1 << 31
+
+
+def _key_id() -> Column:
+    return edge_key(F.col("source_concept_id"), F.col("type"), F.col("target_concept_id")).alias("key_id")
+
+
 @dataclass
 class Accretion:
     """``judged`` has one row per distinct extracted edge; the rest are rows to add. Keys are folded only for results that need them."""
@@ -49,6 +57,8 @@ class Accretion:
     held: DataFrame
     at: int
     write: Callable[[DataFrame, str], DataFrame]
+    # Set if ``resolved`` marks the first edge of a note between the same concepts, so that assertions are distinct as they are.
+    marked: bool = False
 
     @cached_property
     def _valid(self) -> DataFrame:
@@ -56,7 +66,13 @@ class Accretion:
 
     @cached_property
     def _new(self) -> DataFrame:
-        asserted = self._valid.groupBy(*KEY, "key_id").agg(F.min(F.struct("braindump_id", "pos")).alias("first")).join(self.held, KEY, "left")
+        # A decimal holds note and position in order; unlike a struct it is aggregated without sorting the edges.
+        first = F.col("braindump_id").cast("decimal(20,0)") * F.lit(_POSITIONS).cast("decimal(11,0)") + F.col("pos")
+        pos = F.pmod("first", F.lit(_POSITIONS).cast("decimal(11,0)"))
+        asserted = self._valid.groupBy(*KEY).agg(F.min(first).alias("first")).select(
+            *KEY, _key_id(), F.struct(
+                F.expr(f"(first - pmod(first, {_POSITIONS}BD)) div {_POSITIONS}BD").alias("braindump_id"), pos.cast("int").alias("pos")).alias("first"),
+        ).join(self.held, KEY, "left")
         return self.write(asserted, "asserted_edges").where("held_id IS NULL")
 
     @cached_property
@@ -84,9 +100,21 @@ class Accretion:
     @cached_property
     def provenance(self) -> DataFrame:
         """Only edges held before have another id than their key, so assertions meet those, not all keys."""
-        return self._valid.join(self.held, KEY, "left").select(
+        asserted = self._valid.where("first") if self.marked else self._valid
+        found = asserted.join(self.held, KEY, "left").select(
             "user_id", F.coalesce("held_id", "key_id").alias("edge_id"), "braindump_id"
-        ).distinct()
+        )
+        return found if self.marked else found.distinct()
+
+    @cached_property
+    def note_counts(self) -> DataFrame:
+        """``edges_created, edges_accreted, edges_rejected`` per note: what a note's edges come to less those it created."""
+        of_note = self.resolved.groupBy(*NOTE).agg(
+            F.count(F.when(F.col("reason").isNull(), 1)).alias("edges_accreted"), F.count("reason").alias("edges_rejected"))
+        created = self._new.groupBy("user_id", F.col("first.braindump_id").alias("braindump_id")).agg(F.count(F.lit(1)).alias("edges_created"))
+        sums = of_note.select(*NOTE, F.lit(0).cast("bigint").alias("edges_created"), "edges_accreted", "edges_rejected").unionByName(
+            created.select(*NOTE, "edges_created", (-F.col("edges_created")).alias("edges_accreted"), F.lit(0).cast("bigint").alias("edges_rejected")))
+        return sums.groupBy(*NOTE).agg(*[F.sum(c).alias(c) for c in ("edges_created", "edges_accreted", "edges_rejected")])
 
 
 def accrete_edges(
@@ -106,26 +134,35 @@ def accrete_edges(
         # Labels and edges of a note meet in one place: labels are shuffled once, by note; parsed edges lie by note already.
         label_ids = label_ids.select(*NOTE, "label", "concept_id")
         label_ids = label_ids.repartition(parts, *NOTE) if parts else label_ids.repartition(*NOTE)
-    judged = (
-        resolve_ends(first_edges(edges), label_ids)
-        .join(types, ["user_id", "type"], "left")
-        .withColumn(
-            "reason",
-            F.when(F.col("source_concept_id").isNull(), F.lit("unknown_source"))
-            .when(F.col("target_concept_id").isNull(), F.lit("unknown_target"))
-            .when(F.col("sanctioned").isNull(), F.lit("unknown_type")),
-        )
-        .withColumn("key_id", edge_key(F.col("source_concept_id"), F.col("type"), F.col("target_concept_id")))
-        .drop("sanctioned")
-    )
+    judged = _judged(resolve_ends(first_edges(edges), label_ids), types)
     if materialize:
         with settings(existing.sparkSession, spark__sql__requireAllClusterKeysForCoPartition="false"):
             judged = cut(judged, "judged_edges")
-    held = existing.select(
+    return Accretion(judged, _held(existing), at, cut if materialize else lambda df, name: df)
+
+
+def accrete_placed(edges: DataFrame, ontology: DataFrame, existing: DataFrame, at: int, marked: bool = False) -> Accretion:
+    """The same for ``edges(user_id, braindump_id, pos, type, source_concept_id, target_concept_id, ..)``, the distinct edges of notes with
+    their ends resolved (else null). They are read again for each result; only the few new edges are written.
+    """
+    types = cut(ontology.select("user_id", F.col("slug").alias("type"), F.lit(True).alias("sanctioned")).distinct(), "types")
+    return Accretion(_judged(edges, types), _held(existing), at, cut, marked)
+
+
+def _judged(resolved: DataFrame, types: DataFrame) -> DataFrame:
+    return resolved.join(types, ["user_id", "type"], "left").withColumn(
+        "reason",
+        F.when(F.col("source_concept_id").isNull(), F.lit("unknown_source"))
+        .when(F.col("target_concept_id").isNull(), F.lit("unknown_target"))
+        .when(F.col("sanctioned").isNull(), F.lit("unknown_type")),
+    ).withColumn("key_id", _key_id()).drop("sanctioned")
+
+
+def _held(existing: DataFrame) -> DataFrame:
+    return existing.select(
         "user_id", "source_concept_id", F.col("original_type").alias("type"), "target_concept_id",
         F.col("edge_id").alias("held_id"),
     )
-    return Accretion(judged, held, at, cut if materialize else lambda df, name: df)
 
 
 def outcome_counts(concept_outcomes: DataFrame, judged_edges: DataFrame) -> DataFrame:

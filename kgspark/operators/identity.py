@@ -152,12 +152,19 @@ def resolve_identity(
     floor: float = SUGGESTION_FLOOR_SIMILARITY,
     cell_rows: int = CELL_ROWS,
     embed: Callable[[Column], Column] | None = None,
+    every: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Identity:
     """Resolve ``labels(user_id, braindump_id, pos, label, embedding)``, one row per label and note.
 
     With ``embed`` the vector of a label is ``embed(label)``, ``labels`` need no embedding, and each distinct label is embedded once.
-    ``stored(user_id, concept_id, embedding)`` are the tenant's concepts. New ids are ``k:<note>:<pos>``.
+    ``stored(user_id, concept_id, embedding)`` are the tenant's concepts. New ids are ``k:<note>:<pos>``. Further columns of
+    ``labels`` travel on to the occurrences.
+
+    With ``every``, ``labels`` are entries that each stand for the occurrences of a label in some notes, at the first of them, and
+    ``every`` spells out the rows ``(.., at, pos)`` of entries. Only labels without a concept of their own vector need that; the others
+    have one concept in all their notes. ``each`` tells which occurrences speak for one note alone.
     """
+    carry = [c for c in labels.columns if c not in ("user_id", "braindump_id", "pos", "label", "embedding")]
     # 128 bits stand for the vector wherever only equality matters, so occurrences travel without it.
     codes = {
         "zero": F.forall("embedding", lambda x: x == 0),
@@ -166,12 +173,12 @@ def resolve_identity(
     arrived = labels.withColumnsRenamed({"braindump_id": "at"}).withColumns(
         {"at": F.col("at").cast("bigint"), "pos": F.col("pos").cast("bigint")})
     if embed is None:
-        arrived = arrived.select("user_id", "at", "pos", "label", "embedding").withColumns(codes)
+        arrived = arrived.select("user_id", "at", "pos", "label", *carry, "embedding").withColumns(codes)
         with_vector = lambda df: df.withColumn("embedding", F.col("carried"))
         carried = F.col("embedding")
     else:
         words = cut(labels.select("label").distinct().withColumn("embedding", embed(F.col("label"))).withColumns(codes), "words")
-        arrived = cut(arrived.select("user_id", "at", "pos", "label").join(words.drop("embedding"), "label"), "arrived")
+        arrived = cut(arrived.select("user_id", "at", "pos", "label", *carry).join(words.drop("embedding"), "label"), "arrived", "zstd")
         vectors_of = words.select(F.col("label").alias("carried"), "embedding")
         with_vector = lambda df: df.join(vectors_of, "carried")
         carried = F.col("label")
@@ -201,20 +208,34 @@ def resolve_identity(
     mine = decided.where(F.col("at") != BEFORE_ALL).select(
         *copy, "leads", F.col("at").alias("first_at"), F.col("pos").alias("first_pos"), F.col("concept_id").alias("own_id")
     )
-    seen = arrived.where("NOT zero").select(*copy, "at", "pos", "label").join(mine, copy)
+    seen = arrived.where("NOT zero").select(*copy, "at", "pos", "label", *carry).join(mine, copy)
+    each, place = F.lit(every is not None).alias("each"), ["user_id", "at", "pos", "label", *carry]
     of_leader = seen.where("leads").select(
-        "user_id", "at", "pos", "label", F.col("own_id").alias("concept_id"), F.lit(1.0).alias("similarity"),
+        *place, F.lit(False).alias("each"), F.col("own_id").alias("concept_id"), F.lit(1.0).alias("similarity"),
         ((F.col("at") == F.col("first_at")) & (F.col("pos") == F.col("first_pos"))).alias("is_first"),
     )
-    late = with_vector(arrived.where("NOT zero").join(followers.select(*copy), copy, "left_semi").withColumn("carried", carried)).select(
-        "user_id", F.concat_ws(":", F.lit("k"), "at", "pos").alias("vector_id"), "at", "pos", "label", "embedding"
+    following, zero, of_copy = arrived.where("NOT zero").join(followers.select(*copy), copy, "left_semi"), arrived.where("zero"), None
+    if every is not None:
+        # Nothing that comes later is nearer than an equal direction, and ties go to the earliest: such copies have one concept everywhere.
+        equal = cut(
+            nearest_earlier(followers, leaders, cell_rows, accrete).where("similarity >= 1").join(followers.select(*_KEY, "copy_a", "copy_b"), _KEY)
+            .select(*copy, "leader_id"), "equal",
+        )
+        of_copy = arrived.where("NOT zero").join(equal, copy).select(
+            *place, F.lit(False).alias("each"), F.col("leader_id").alias("concept_id"), F.lit(1.0).alias("similarity"), F.lit(False).alias("is_first"))
+        # Mostly none is left, and the notes need not be read for them.
+        alone = cut(following.join(equal, copy, "left_anti").unionByName(zero), "alone")
+        alone = cut(every(alone), "alone_each") if alone.head(1) else alone
+        following, zero = alone.where("NOT zero"), alone.where("zero")
+    late = with_vector(following.withColumn("carried", carried)).select(
+        "user_id", F.concat_ws(":", F.lit("k"), "at", "pos").alias("vector_id"), "at", "pos", "label", *carry, "embedding"
     )
     near_late = nearest_earlier(late, leaders, cell_rows, accrete)
     of_follower = late.join(near_late, _KEY).select(
-        "user_id", "at", "pos", "label", F.col("leader_id").alias("concept_id"), "similarity", F.lit(False).alias("is_first")
+        *place, each, F.col("leader_id").alias("concept_id"), "similarity", F.lit(False).alias("is_first")
     )
-    of_zero = arrived.where("zero").select(
-        "user_id", "at", "pos", "label", F.concat_ws(":", F.lit("k"), "at", "pos").alias("concept_id"),
+    of_zero = zero.select(
+        *place, each, F.concat_ws(":", F.lit("k"), "at", "pos").alias("concept_id"),
         F.lit(0.0).alias("similarity"), F.lit(True).alias("is_first"),
     )
     fresh = leaders.where(F.col("at") != BEFORE_ALL)
@@ -223,16 +244,18 @@ def resolve_identity(
         .join(fresh.select(*_KEY, "at", "pos", "concept_id"), _KEY), "near_leaders",
     )
     placed = of_leader.unionByName(of_follower).unionByName(of_zero)
+    placed = placed if of_copy is None else placed.unionByName(of_copy)
     suggested = near_leaders.select("user_id", "concept_id", F.lit(True).alias("suggests"))
     occurrences = placed.join(suggested, ["user_id", "concept_id"], "left").select(
-        "user_id", F.col("at").alias("braindump_id"), "pos", "label", "concept_id",
+        "user_id", F.col("at").alias("braindump_id"), "pos", "label", "concept_id", *carry, *(["each"] if carry else []),
         F.when(~F.col("is_first"), F.lit("accreted")).when(F.col("suggests"), F.lit("suggested"))
         .otherwise(F.lit("created")).alias("outcome"),
     )
-    created = with_vector(arrived.withColumn("carried", carried).select("user_id", "at", "pos", "label", "carried").join(
-        fresh.select("user_id", "at", "pos", "concept_id").unionByName(of_zero.select("user_id", "at", "pos", "concept_id")),
-        ["user_id", "at", "pos"],
-    )).select("user_id", "concept_id", F.col("at").alias("braindump_id"), "pos", "label", "embedding")
+    # New leaders have the size of their files, so few of them do not make all arrivals travel; zero labels are concepts themselves.
+    led = arrived.join(fresh.select("user_id", "at", "pos", "concept_id"), ["user_id", "at", "pos"]).select(*place, "concept_id", carried.alias("carried"))
+    alone = zero.select(*place, F.concat_ws(":", F.lit("k"), "at", "pos").alias("concept_id"), carried.alias("carried"))
+    created = with_vector(led.unionByName(alone)).select("user_id", "concept_id", F.col("at").alias("braindump_id"), "pos", "label", "embedding")
+    created = created if every is None else created.dropDuplicates(["user_id", "concept_id", "label"])
     suggestions = near_leaders.select(
         "user_id", F.concat(F.lit("m:"), F.col("concept_id")).alias("suggestion_id"), F.col("at").alias("braindump_id"),
         F.col("concept_id").alias("new_concept_id"), F.col("leader_id").alias("existing_concept_id"), "similarity",

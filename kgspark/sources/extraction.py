@@ -39,33 +39,38 @@ def _blank(c: Column) -> Column:
     return F.coalesce(F.trim(c) == "", F.lit(True))
 
 
-def parse_extractions(raw: DataFrame, materialize: bool = False) -> Extraction:
-    """``raw(user_id, braindump_id, payload)`` -> trimmed concepts and edges with positions, and rejected notes.
-
-    A missing array is empty; a blank or missing field rejects the whole note, as does text that is not JSON.
-    ``materialize`` writes the parsed notes once, for callers that use more than one result.
-    A note is shuffled whole and taken apart behind the shuffle, so what is grouped by note afterwards is not shuffled again.
-    """
-    raw = raw.select(*NOTE, "payload")
-    parts = 0 if materialize else note_parts(raw)
-    raw = raw if materialize else raw.repartition(parts, *NOTE)
+def read_payloads(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``user_id, braindump_id, <keep>, concepts, edges, reason``: the JSON of each note, and why it is refused (else null)."""
     # Rows of a generator are computed once; in a plain column the JSON would be parsed for each use of a field.
-    once = raw.select(*NOTE, "payload", F.inline(F.array(F.struct(F.from_json("payload", EXTRACTION).alias("x")))))
+    once = raw.select(*NOTE, *keep, "payload", F.inline(F.array(F.struct(F.from_json("payload", EXTRACTION).alias("x")))))
     parsed = once.select(
-        *NOTE,
+        *NOTE, *keep,
         F.coalesce("x.concepts", F.array().cast("array<struct<label:string>>")).alias("concepts"),
         F.coalesce("x.edges", F.array().cast("array<struct<source:string,type:string,target:string>>")).alias("edges"),
         (F.col("x").isNull() | ~F.startswith(F.ltrim("payload"), F.lit("{"))).alias("broken"),
-    ).withColumn(
+    )
+    return parsed.withColumn(
         "reason",
         F.when(F.col("broken"), F.lit("not_json"))
         .when(F.exists("concepts", lambda c: _blank(c["label"])), F.lit("concept_label"))
         .when(
             F.exists("edges", lambda e: _blank(e["source"]) | _blank(e["type"]) | _blank(e["target"])), F.lit("edge_field")
         ),
-    )
+    ).drop("broken")
+
+
+def parse_extractions(raw: DataFrame, materialize: bool = False) -> Extraction:
+    """``raw(user_id, braindump_id, payload)`` -> trimmed concepts and edges with positions, and rejected notes.
+
+    A missing array is empty; a blank or missing field rejects the whole note, as does text that is not JSON.
+    ``materialize`` writes the parsed notes once, for callers that use more than one result.
+    A note is shuffled whole and taken apart behind the shuffle, so what is grouped by note afterwards is not shuffled again.
+    """
+    raw = raw.select(*NOTE, "payload")
+    parts = 0 if materialize else note_parts(raw)
+    parsed = read_payloads(raw if materialize else raw.repartition(parts, *NOTE))
     if materialize:
-        parsed = cut(parsed.drop("broken"), "parsed")
+        parsed = cut(parsed, "parsed")
     good = parsed.where("reason IS NULL")
     parts = parts or note_parts(parsed)
     good = good.repartition(parts, *NOTE) if materialize else good

@@ -42,6 +42,16 @@ def correct_notes(notes: DataFrame, corrections: DataFrame) -> DataFrame:
     )
 
 
+def first_notes(ingested: DataFrame, rejects: DataFrame, at: int) -> DataFrame:
+    """``settle_notes`` for notes that are all seen for the first time, one row each: nothing is grouped or joined but the few rejects."""
+    stamp = F.lit(at).cast("bigint")
+    return ingested.join(rejects.select(*KEY, "reason"), KEY, "left").select(
+        *KEY, "verbatim", F.lit("").alias("cleaned"), stamp.alias("created_at"),
+        F.when(F.col("reason").isNull(), "complete").otherwise("failed").alias("ingest_status"), F.lit(1).alias("ingest_attempts"),
+        stamp.alias("last_attempt_at"),
+    )
+
+
 def settle_notes(notes: DataFrame, ingested: DataFrame, rejects: DataFrame, at: int) -> DataFrame:
     """Notes after an ingest of ``ingested(user_id, braindump_id, verbatim)``: complete, or failed if among ``rejects``.
 

@@ -740,3 +740,78 @@ def test_large_drops_are_several_files_and_arrive_drop_by_drop(spark, monkeypatc
     assert len(seen) == 2 and seen[0][0] == 0 and seen[1][1] == 7999 and seen[0][1] < seen[1][0] and sum(r[2] for r in seen) == 8000
     drops = [len(spark.read.parquet(f"{path}/drop={i}").inputFiles()) for i in range(2)]
     assert drops[0] == drops[1] > 1
+
+
+def by_hand(notes):
+    """Labels and edges of ``(user, note, labels, edges)`` at their lowest places: per note, over all rows of it."""
+    labels, edges = {}, {}
+    for user, note, names, links in notes:
+        for at, name in enumerate(names):
+            labels[user, note, name] = min(at, labels.get((user, note, name), at))
+        for at, link in enumerate(links):
+            edges[(user, note, *link)] = min(at, edges.get((user, note, *link), at))
+    return labels, edges
+
+
+def noted(spark, notes):
+    import json
+
+    rows = [(u, n, f"text {n}", json.dumps({"concepts": [{"label": x} for x in names], "edges": [dict(zip(("source", "type", "target"), e, strict=True)) for e in links]}))
+            for u, n, names, links in notes]
+    return frame(spark, rows, "user_id string, braindump_id bigint, verbatim string, payload string")
+
+
+def some_notes(rng, count, ids):
+    pick = lambda: rng.choice("abcdefgh")
+    return [(rng.choice("uw"), rng.randrange(ids), [pick() for _ in range(rng.randrange(6))],
+             [(pick(), rng.choice("st"), pick()) for _ in range(rng.randrange(6))]) for _ in range(count)]
+
+
+@pytest.mark.parametrize(("limit", "held"), [(3, False), (1 << 20, False), (3, True)])
+def test_ingest_in_chunks_equals_identity_of_every_occurrence(spark, monkeypatch, limit, held):
+    """Labels with vectors of their own, near ones, zero ones and equal directions: as if each occurrence were resolved alone."""
+    from kgspark.plans.ingest import batch_ingest
+    from kgspark.sources import chunks
+
+    monkeypatch.setattr(chunks, "CHUNK_LABELS", limit)
+    monkeypatch.setattr(chunks, "BATCH_NOTES", 4)
+    angle = {"a": 0.0, "b": 0.1, "c": 0.2, "d": 0.3, "e": 0.4, "f": 1.5, "g": 3.0}
+
+    @F.udf("array<float>")
+    def embed(label):
+        if label not in angle:
+            return [0.0, 0.0]
+        return [float(np.cos(angle[label])), float(np.sin(angle[label]))]
+
+    notes = some_notes(random.Random(limit), 40, 10**9)
+    tables = {n: empty(spark, n) for n in TABLES}
+    tables["ontology"] = frame(spark, [(u, i, "s", "S", "", 1) for i, u in enumerate("uw")], TABLES["ontology"])
+    if held:
+        tables["concept_embeddings"] = frame(spark, [("u", "old", [1.0, 0.0]), ("u", "old2", [1.0, 0.0])], TABLES["concept_embeddings"])
+    labels, edges = by_hand(notes)
+    rows = frame(spark, [(u, n, p, w) for (u, n, w), p in labels.items()], "user_id string, braindump_id bigint, pos int, label string")
+    want = resolve_identity(rows, tables["concept_embeddings"], 0.99, 0.8, embed=embed)
+    concept = {(r["user_id"], r["braindump_id"], r["label"]): (r["concept_id"], r["outcome"]) for r in want.occurrences.collect()}
+    after, outcome, _ = batch_ingest(tables, noted(spark, notes), 7, embed=embed, accrete=0.99, floor=0.8)
+    assert pairs(after["concept_provenance"], "user_id", "concept_id", "braindump_id") == sorted({(u, concept[u, n, w][0], n) for u, n, w in labels})
+    assert pairs(after["concepts"], "user_id", "concept_id", "label") == pairs(want.leaders, "user_id", "concept_id", "label")
+    assert pairs(after["merge_suggestions"], "suggestion_id", "existing_concept_id") == pairs(want.suggestions, "suggestion_id", "existing_concept_id")
+    valid = sorted((n, p, u, concept[u, n, s][0], concept[u, n, o][0]) for (u, n, s, t, o), p in edges.items() if t == "s" and (u, n, s) in labels and (u, n, o) in labels)
+    assert pairs(after["edges"], "user_id", "source_concept_id", "target_concept_id") == sorted({(u, s, o) for _, _, u, s, o in valid})
+    assert pairs(after["edge_provenance"], "user_id", "edge_id", "braindump_id") == sorted({(u, f"{s}|s|{o}", n) for n, _, u, s, o in valid})
+    made, counts = {}, {}
+    for n, p, u, s, o in valid:
+        made.setdefault((u, s, o), (u, n))
+    for u, n, w in labels:
+        kind = 1 if concept[u, n, w][1] == "accreted" else 0
+        counts.setdefault((u, n), [0] * 6)[kind] += 1
+        counts[u, n][2] += concept[u, n, w][1] == "suggested"
+    for u, n in made.values():
+        counts[u, n][3] += 1
+    for u, n, *_ in edges:
+        counts.setdefault((u, n), [0] * 6)
+    for u, n in counts:
+        mine = sum(1 for v in valid if (v[2], v[0]) == (u, n))
+        counts[u, n][4:] = [mine - counts[u, n][3], sum(1 for e in edges if e[:2] == (u, n)) - mine]
+    got = {(r["user_id"], r["braindump_id"]): list(r)[2:] for r in outcome.collect()}
+    assert got == {(u, n): counts.get((u, n), [0] * 6) for u, n, *_ in notes}
