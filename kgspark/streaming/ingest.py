@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.ingest import batch_ingest
-from ..session import cut
 from ..sources.store import GraphStore
 
 
@@ -23,9 +22,9 @@ def start_ingest(notes: DataFrame, store: GraphStore, checkpoint: str, clock, tr
             return
         before = store.tables()
         # A batch is an opaque plan: each use would read all columns of its files again, and its size is not known.
-        after, _, _ = batch_ingest(before, cut(batch, "arrived"), clock(batch_id), **kw)
-        changed = {name: df for name, df in after.items() if df is not before.get(name)}
-        store.commit(changed, batch_id)
+        after, _, _ = batch_ingest(before, batch, clock(batch_id), once=True, **kw)
+        changed = {name: df for name, df in after.items() if df is not before.get(name) and name not in after.added}
+        store.commit(changed, batch_id, after.added)
 
     return (
         notes.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)

@@ -831,3 +831,25 @@ def test_ingest_in_chunks_equals_identity_of_every_occurrence(spark, monkeypatch
         counts[u, n][4:] = [mine - counts[u, n][3], sum(1 for e in edges if e[:2] == (u, n)) - mine]
     got = {(r["user_id"], r["braindump_id"]): list(r)[2:] for r in outcome.collect()}
     assert got == {(u, n): counts.get((u, n), [0] * 6) for u, n, *_ in notes}
+
+
+def test_an_ingest_shuffles_no_edge_by_note_and_a_commit_adds_parts(spark, tmp_path, monkeypatch):
+    """A second batch writes its own rows beside the first one's; edges meet the labels of their note without a join on texts."""
+    from kgspark.plans import ingest
+    from kgspark.streaming.ingest import start_ingest
+
+    seen = []
+    monkeypatch.setattr(ingest, "place", lambda chunks, found, place=ingest.place: seen.append(chunks) or place(chunks, found))
+    store = GraphStore(spark, str(tmp_path / "graph"))
+    store.commit({"ontology": frame(spark, [("u", 1, "s", "S", "", 1), ("w", 2, "s", "S", "", 1)], TABLES["ontology"])})
+    first, second = some_notes(random.Random(1), 30, 10**9), some_notes(random.Random(2), 30, 10**9)
+    for i, notes in enumerate((first, second)):
+        noted(spark, notes).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+        stream = spark.readStream.schema("user_id string, braindump_id bigint, verbatim string, payload string").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        start_ingest(stream, store, str(tmp_path / "check"), lambda batch: 7).awaitTermination()
+    tables = {n: empty(spark, n) for n in TABLES} | {"ontology": store.read("ontology")}
+    whole, _, _ = ingest.batch_ingest(ingest.batch_ingest(tables, noted(spark, first), 7)[0], noted(spark, second), 7)
+    for name in ("concepts", "concept_provenance", "edges", "edge_provenance", "edge_type_history", "braindumps", "braindump_embeddings"):
+        assert len(store.state()["tables"][name]) == 2
+        assert pairs(store.read(name), *whole[name].columns) == pairs(whole[name], *whole[name].columns), name
+    assert all("label" not in c.notes.columns for c in seen)
